@@ -2,9 +2,29 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from grafmill.llm import exact_dedup as _op7
+from grafmill.llm import huffman as _op5
+from grafmill.llm import packing as _op8
+from grafmill.llm import word_bpe as _op6
 from grafmill.llm.common import documents
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_huffman(spark, sf_dir):
+    return _op5.huffman_round_trip(documents(spark, sf_dir), BYTE_BPE)
+
+
+def op6_bpe(spark, sf_dir):
+    return _op6.bpe_round_trip(documents(spark, sf_dir), WORD_BPE)
+
+
+def op8_best_fit_packing(spark, sf_dir):
+    return _op8.best_fit_packing(documents(spark, sf_dir), WORD_BPE)
+
 
 def op7_exact_dedup(spark, sf_dir):
     return _op7.exact_dedup(documents(spark, sf_dir))
