@@ -6,6 +6,7 @@ import public_tokenizers
 
 from grafmill.llm import exact_dedup as _op7
 from grafmill.llm import huffman as _op5
+from grafmill.llm import minhash as _op9
 from grafmill.llm import packing as _op8
 from grafmill.llm import word_bpe as _op6
 from grafmill.llm.common import documents
@@ -30,6 +31,10 @@ def op7_exact_dedup(spark, sf_dir):
     return _op7.exact_dedup(documents(spark, sf_dir))
 
 
+def op9_minhash(spark, sf_dir):
+    return _op9.near_duplicates(documents(spark, sf_dir), k=3, percent=85)
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
