@@ -3,8 +3,10 @@
 A text's bytes are hashed in chunks, ``h(c) = sum(c[i] * B**(len-1-i)) mod p``, for two primes below
 2**31, and chunk hashes combine by shifting: ``h(x + y) = h(x) * B**len(y) + h(y)``. So the chunks of a
 huge text can be hashed anywhere, in any order, and the fingerprint depends on the whole text alone.
-Texts with equal (fingerprint, length) are then compared chunk by chunk with the row that stays;
-a text that differs in spite of its fingerprint goes to a group of its own.
+Texts with equal (fingerprint, length) are then compared chunk by chunk: the least and the greatest chunk at
+each place of a group, kept while rows stream by and combined before the shuffle, must be one and the same.
+A text that differs in spite of its fingerprint goes to a group of its own. Only texts of groups travel: a bit
+table of fixed size (BITS words, whatever the corpus) tells on the scan which rows can be in one.
 
 Defined results: a null text is the empty text; all empty texts are one group; of equal texts the row
 with the largest doc_id stays; rows that repeat one doc_id with one text count as rows of their group
@@ -29,6 +31,8 @@ CHUNK = 1 << 14
 #: Code points in a row of the comparison; longer texts are compared in several rows.
 COMPARE = 1 << 18
 SALTS = 16
+#: 64-bit words of the bit table: 2 MB, broadcast. A full table lets more rows pass, never fewer.
+BITS = 1 << 18
 
 
 def _powers(base: int, prime: int, n: int) -> np.ndarray:
@@ -87,7 +91,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     # each large group is dealt over SALTS tasks (more where adaptive execution splits them)
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
     salted = lambda g: g.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    members = materialize(meta.withColumn("salt", salt).join(salted(shared.select(*key, "keep_id")), [*key, "salt"]).select("doc_id", "keep_id", *key, "text_sha256").distinct(), "members")
+    members = materialize(meta.withColumn("salt", salt).join(salted(shared.select(*key, "keep_id")), [*key, "salt"]).select("doc_id", "keep_id").distinct(), "members")
     differ = materialize(_differing(docs, members), "differing")
     if not differ.isEmpty():
         # a fingerprint shared by different texts: those that differ from the row that stays are told apart by digest
@@ -100,13 +104,31 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("doc_id") == keep, F.lit(True)).alias("kept"), "text_sha256")
 
 
+def _bit(column: str, salt: int) -> tuple:
+    """Word and bit of the table for a value."""
+    h = F.xxhash64(column, F.lit(salt))
+    return F.pmod(h, F.lit(BITS)), F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64({column}, {salt}), 32), 64) as int))")
+
+
+def possible(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id may be in ``ids``, decided on the scan; BITS rows are broadcast at most."""
+    word, bit = _bit("doc_id", 7)
+    table = ids.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return docs.withColumn("word", word).withColumn("bit", bit).join(F.broadcast(table), "word").where("bits & bit <> 0").drop("word", "bit", "bits")
+
+
 def _differing(docs: DataFrame, members: DataFrame) -> DataFrame:
     """doc_id of members whose text is not that of the row that stays, compared in chunks of COMPARE code points."""
     parts = F.greatest(F.lit(1), F.ceil(F.length("text") / F.lit(COMPARE))).cast("int")
     chunks = (
-        docs.join(members.select("doc_id", "keep_id"), "doc_id")
+        possible(docs, members)
+        .join(members, "doc_id")
         .withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
         .select("doc_id", "keep_id", "part", F.expr(f"substring(text, part * {COMPARE} + 1, {COMPARE})").alias("chunk"))
     )
+    uneven = materialize(chunks.groupBy("keep_id", "part").agg(F.min("chunk").alias("a"), F.max("chunk").alias("z")).where("a <> z").select("keep_id").distinct(), "uneven")
+    if uneven.isEmpty():
+        return uneven.select(F.col("keep_id").alias("doc_id"))
+    chunks = chunks.join(uneven, "keep_id")
     kept = chunks.where("doc_id = keep_id").dropDuplicates(["doc_id", "part"]).select(F.col("keep_id"), F.col("part"), F.col("chunk").alias("kept_chunk"))
     return chunks.where("doc_id <> keep_id").join(kept, ["keep_id", "part"], "left").where(~F.col("chunk").eqNullSafe(F.col("kept_chunk"))).select("doc_id").distinct()
