@@ -8,6 +8,7 @@ from grafmill.llm import exact_dedup as _op7
 from grafmill.llm import huffman as _op5
 from grafmill.llm import minhash as _op9
 from grafmill.llm import packing as _op8
+from grafmill.llm import toxicity as _op3
 from grafmill.llm import word_bpe as _op6
 from grafmill.llm.common import documents
 
@@ -15,6 +16,10 @@ BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_toxicity(spark, sf_dir):
+    return _op3.score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_huffman(spark, sf_dir):
     return _op5.huffman_round_trip(documents(spark, sf_dir), BYTE_BPE)
 
