@@ -5,13 +5,14 @@
    same set are one class from here on, represented by the smallest doc_id.
 2. A signature holds the minima of BANDS * ROWS universal hashes; representatives that share a band meet in
    a bucket. At the threshold 0.85 a pair misses all buckets with probability (1 - 0.85**4)**32 < 1e-10.
-3. In rounds, each bucket names pivots (one in the first round, then 16, 64, ...); a pivot is
-   compared with every row of its bucket of another component. Pairs whose signatures are far apart go (the bound lies
-   more than six standard deviations below the threshold); the rest are confirmed on full sets.
-4. Links go through alternating large-star and small-star steps, until nothing changes; classes linked so far need no
-   further comparison. A bucket is done when it holds one component or all its rows have been pivots, so
-   no link between components is lost, however large the bucket, while a bucket of thousands of copies is read
-   a few times, not squared.
+3. First each row of a bucket is compared with the bucket's smallest id. Pairs whose signatures are far apart go (the
+   bound lies more than six standard deviations below the threshold); the rest are confirmed on full sets. Links
+   join most copies into components.
+4. Buckets that still hold several components are then compared in full, signatures against signatures, as arrays: at most
+   BLOCK rows in a task, larger buckets as pairs of blocks. Only pairs of different components, of like
+   sizes and near signatures leave the task, and are confirmed. So no link between components is lost, however large the
+   bucket, and a bucket of thousands of copies is joined by its first pass.
+5. Links go through alternating large-star and small-star steps, until nothing changes.
 
 Defined results: null text as empty; empty texts are kept, each its own component; equal rows fall into one class;
 rows that repeat one doc_id are one document (one row each, same verdict); an empty table gives an
@@ -21,18 +22,19 @@ empty result; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grafmill.llm.common import materialize, texts
+from grafmill.llm.exact_dedup import possible
 
 BANDS, ROWS = 32, 4
+#: Rows of a bucket compared in one task at most.
+BLOCK = 4096
 MEMO = 400_000
 #: Signature agreement below this much under the threshold is no link: 6 sigma of 128 minima.
 SLACK = 0.2
@@ -167,7 +169,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     members = materialize(signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "classes")
     reps = members.where("doc_id = rep and n_shingles > 0").select("doc_id").distinct()
-    sigs = materialize(signed.select("doc_id", "sig").dropDuplicates(["doc_id"]).join(reps, "doc_id"), "representatives")
+    sigs = materialize(signed.select("doc_id", "n_shingles", "sig").dropDuplicates(["doc_id"]).join(reps, "doc_id"), "representatives")
     links = _links(docs, sigs, k, percent)
     if links is None:
         component = members.withColumn("component_id", F.col("rep"))
@@ -181,48 +183,94 @@ def _links(docs: DataFrame, sigs: DataFrame, k: int, percent: int) -> DataFrame
     width = 4 * ROWS
     keys = F.array(*(F.xxhash64(F.substring("sig", 1 + width * i, width), F.lit(i)) for i in range(BANDS)))
     bands = sigs.select("doc_id", F.explode(keys).alias("bucket"))
-    many = bands.groupBy("bucket").agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("other")).where("one <> other")
+    many = bands.groupBy("bucket").agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("other"), F.count("*").alias("n")).where("one <> other")
     # rows of a bucket of their own meet nobody
-    bands = materialize(bands.join(many.select("bucket", F.col("one")), "bucket"), "buckets")
+    bands = materialize(bands.join(many.select("bucket", "one", "n"), "bucket"), "buckets")
     # one byte of each minimum: chance agreement of 1 in 256 only raises the estimate
-    short = sigs.select("doc_id", F.expr("concat(" + ", ".join(f"substring(sig, {4 * i + 1}, 1)" for i in range(BANDS * ROWS)) + ")").alias("sig"))
+    short = sigs.select("doc_id", "n_shingles", F.expr("concat(" + ", ".join(f"substring(sig, {4 * i + 1}, 1)" for i in range(BANDS * ROWS)) + ")").alias("sig"))
     least = percent / 100 - SLACK
-    found: list[DataFrame] = []
-    pivots, tested, n_pivots, n_done = bands.select("bucket", F.col("one").alias("pivot")).distinct(), None, 1, 0
-    open_bands = bands.select("bucket", "doc_id", F.col("doc_id").alias("component"))
-    while True:
-        named = pivots if n_done == 0 else None
-        if named is None:
-            order = Window.partitionBy("bucket").orderBy("doc_id")
-            # those that were pivots come first in each bucket's order; a limit per group is taken before the shuffle
-            named = open_bands.withColumn("at", F.row_number().over(order)).where(F.col("at") <= n_done + n_pivots).where(F.col("at") > n_done).select("bucket", F.col("doc_id").alias("pivot"), F.col("component").alias("pivot_component"))
-        else:
-            named = named.withColumn("pivot_component", F.col("pivot"))
-        pairs = open_bands.join(named, "bucket").where("component <> pivot_component").select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).where("a <> b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        near = pairs.join(short.select(F.col("doc_id").alias("a"), F.col("sig").alias("x")), "a").join(short.select(F.col("doc_id").alias("b"), F.col("sig").alias("y")), "b").select("a", "b", "x", "y")
-        near = materialize(near.mapInArrow(_estimated(least), "a long, b long"), "candidates")
-        new = materialize(_confirm(docs, near, k, percent), "links")
-        tested = near if tested is None else tested.unionByName(near)
-        found.append(new)
-        n_done, n_pivots = n_done + n_pivots, 16 if n_pivots == 1 else n_pivots * 4
-        links = reduce(DataFrame.unionByName, found)
-        label = components(links).persist(StorageLevel.MEMORY_AND_DISK) if not links.isEmpty() else None
-        left = bands.select("bucket", "doc_id")
-        left = left.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")) if label is not None else left.withColumn("component", F.col("doc_id"))
-        # open: more than one component, and rows that have not been pivots
-        still = left.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where((F.col("x") != F.col("y")) & (F.col("n") > n_done + 1)).select("bucket")
-        open_bands = materialize(left.join(still, "bucket"), "open-buckets")
-        if label is not None:
-            label.unpersist()
-        if open_bands.isEmpty():
-            return None if links.isEmpty() else links
+
+    pairs = bands.where("doc_id <> one").select(F.col("one").alias("a"), F.col("doc_id").alias("b")).distinct()
+    near = pairs.join(short.select(F.col("doc_id").alias("a"), F.col("sig").alias("x")), "a").join(short.select(F.col("doc_id").alias("b"), F.col("sig").alias("y")), "b").select("a", "b", "x", "y")
+    near = materialize(near.mapInArrow(_estimated(least), "a long, b long"), "candidates")
+    first = materialize(_confirm(docs, near, k, percent), "links")
+    left = bands.select("bucket", "doc_id", "n")
+    if first.isEmpty():
+        left = left.withColumn("component", F.col("doc_id"))
+    else:
+        label = components(first).checkpoint()
+        left = left.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    # buckets of several components, and of more than the pair already compared
+    still = left.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("rows")).where("x <> y and rows > 2").select("bucket")
+    rows = left.join(still, "bucket").join(short, "doc_id")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+    own = F.pmod(F.xxhash64("doc_id", "bucket"), F.col("blocks"))
+    rows = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "component", "n_shingles", "sig")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(n, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    more = dealt.mapInArrow(_compared(least, percent), "a long, b long").distinct().join(near, ["a", "b"], "left_anti")
+    second = materialize(_confirm(docs, materialize(more, "more-candidates"), k, percent), "links")
+    links = first.unionByName(second)
+    return None if links.isEmpty() else links
+
+
+def _compared(least: float, percent: int):
+    """Rows (bucket, lo, hi, own, doc_id, component, n, sig), those of a block pair together: near pairs of different components."""
+
+    def near_pairs(group: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
+        lo, hi, own, doc, comp, n = (np.concatenate([g[i] for g in group]) for i in range(6))
+        sig = np.concatenate([g[6] for g in group])
+        order = np.argsort(n, kind="stable")
+        lo, hi, own, doc, comp, n, sig = (x[order] for x in (lo, hi, own, doc, comp, n, sig))
+        # sizes within the threshold's ratio: a stretch of the rows after each one
+        reach = np.searchsorted(n, n * 100 / percent, "right")
+        across = len(lo) and lo[0] != hi[0]
+        left, right = [], []
+        for i in range(len(doc) - 1):
+            j = np.arange(i + 1, reach[i])
+            j = j[(comp[j] != comp[i]) & ((own[j] != own[i]) if across else True)]
+            if len(j):
+                j = j[(sig[j] == sig[i]).mean(1) >= least]
+                left.append(np.minimum(doc[i], doc[j]))
+                right.append(np.maximum(doc[i], doc[j]))
+        none = [np.zeros(0, np.int64)]
+        return np.concatenate(left or none), np.concatenate(right or none)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple[np.ndarray, ...]] = []
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = np.stack([b.column(i).to_numpy() for i in range(3)], 1)
+            rest = [key[:, 1], key[:, 2], *(b.column(i).to_numpy() for i in range(3, 7))]
+            sig = np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), b.num_rows]
+            left, right = [], []
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if last is not None and tuple(key[s]) != last:
+                    x, y = near_pairs(group)
+                    left.append(x)
+                    right.append(y)
+                    group = []
+                last = tuple(key[s])
+                group.append((*(c[s:e] for c in rest), sig[s:e]))
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+        if group:
+            x, y = near_pairs(group)
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+    return run
 
 
 def _confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    one = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
-    two = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
+    # texts that may be in a pair, told on the scan by a table of fixed size
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    some = possible(docs, ids).select("doc_id", "text")
+    one = some.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
+    two = some.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
     # first the larger id, then the smaller, which many pairs share: pairs of one text come one after the other
     both = pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y")
     return both.mapInArrow(_confirmed(k, percent), "a long, b long").distinct()
