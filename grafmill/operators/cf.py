@@ -13,8 +13,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from grafmill.functions import vec
+from grafmill.plans.iterate import settle
 
 FLOOR = 1e-12
 
@@ -30,9 +32,10 @@ class Loss:
     gradient: Callable[[dict, float], dict[str, Column]]
     #: The same gradients on numpy vectors, for the sequential step.
     fold: Callable[[dict, float, float], dict[str, np.ndarray]] | None = None
-    #: Roles whose record gradients are averaged for each key of this column, the averages then added.
+    #: Roles whose record gradients are averaged for each key of this column, the averages then added, or averaged if ``mean``.
     per: dict[str, str] = field(default_factory=dict)
-    #: Start of the scalar product's range and more, as the loss needs.
+    mean: bool = False
+    #: Records that have a finite value; none if all have.
     where: Callable[[dict], Column] | None = None
 
 
@@ -146,7 +149,7 @@ def hybrid(factors: bool = True, bias: bool = False, rf: float = 1.0, ru: float
             out |= {"bu": ru * e + lam * c["bu"], "bv": ri * e + lam * c["bv"]}
         return out
 
-    return Loss(roles, p, lambda c: (p(c) - c["r"]) ** 2, g, fold, per={"b": "i" if factors else "u"})
+    return Loss(roles, p, lambda c: (p(c) - c["r"]) ** 2, g, fold, per={"b": "i" if factors else "u"}, mean=not factors)
 
 
 def bpr(compat: bool = False) -> Loss:
@@ -167,7 +170,7 @@ def bpr(compat: bool = False) -> Loss:
 
 
 def tensor_cp(temporal: bool = False) -> Loss:
-    """Sum of u*v*s. ``temporal``: s is drawn to its forerunner ``s0`` (zeros for the first)."""
+    """Sum of u*v*s. ``temporal``: s is drawn to its forerunner, the records' column ``s0`` (see ``with_forerunner``)."""
     p = lambda c: vec.total(vec.times(vec.times(c["u"], c["v"]), c["s"]))
 
     def g(c, lam):
@@ -188,17 +191,24 @@ def tensor_pair() -> Loss:
     return Loss({"u": "p", "v": "q", "s": "o"}, p, lambda c: (p(c) - c["r"]) ** 2, g)
 
 
+def with_forerunner(records: DataFrame, s: DataFrame, d: int) -> DataFrame:
+    """Records with ``s0``, the vector of context o - 1; zeros for the first context."""
+    before = s.select((F.col("id") + 1).alias("o"), F.col("x").alias("s0"))
+    return records.join(before, "o", "left").withColumn("s0", F.coalesce("s0", F.array_repeat(F.lit(0.0), d)))
+
+
 # ---------------------------------------------------------------------------------------------- batch step
 def with_parameters(records: DataFrame, params: dict[str, DataFrame], roles: dict[str, str]) -> DataFrame:
-    """Records with each role's vector as a column of its name; records without a parameter row drop out."""
+    """Records with each role's vector as a column ``<role>_x``; records without a parameter row drop out."""
     out = records.withColumn("zero", F.lit(0).cast("long")) if "zero" in roles.values() and "zero" not in records.columns else records
     for role, key in roles.items():
-        out = out.join(params[role].select(F.col("id").alias(key), F.col("x").alias(role)), key)
+        out = out.join(params[role].select(F.col("id").alias(key), F.col("x").alias(f"{role}_x")), key)
     return out
 
 
 def columns(df: DataFrame) -> dict[str, Column]:
-    return {c: F.col(c) for c in df.columns}
+    """What a loss is built of: roles' vectors by role, other columns by name."""
+    return {c.removesuffix("_x"): F.col(c) for c in sorted(df.columns, key=lambda c: c.endswith("_x"))}
 
 
 def batch_step(records: DataFrame, params: dict[str, DataFrame], loss: Loss, dims: dict[str, int], lr: float, lam: float, tie: dict[str, str] | None = None) -> dict[str, DataFrame]:
@@ -217,13 +227,13 @@ def batch_step(records: DataFrame, params: dict[str, DataFrame], loss: Loss, dim
     for role in loss.roles:
         groups.setdefault((tie or {}).get(role, role), []).append(role)
     for name, roles in groups.items():
-        parts = [told.select(*{F.col(loss.roles[r]).alias("id"): 0}, *([F.col(loss.per[r]).alias("per")] if r in loss.per else []), F.col(f"g_{r}").alias("g")) for r in roles]
+        parts = [told.select(F.col(loss.roles[r]).alias("id"), *([F.col(loss.per[r]).alias("per")] if r in loss.per else []), F.col(f"g_{r}").alias("g")) for r in roles]
         one = parts[0]
         for more in parts[1:]:
             one = one.unionByName(more)
         d = dims[roles[0]]
         if roles[0] in loss.per:
-            mean = one.groupBy("id", "per").agg(vec.vavg("g", d).alias("g")).groupBy("id").agg(vec.vsum("g", d).alias("g"))
+            mean = one.groupBy("id", "per").agg(vec.vavg("g", d).alias("g")).groupBy("id").agg((vec.vavg if loss.mean else vec.vsum)("g", d).alias("g"))
         else:
             mean = one.groupBy("id").agg(vec.vavg("g", d).alias("g"))
         new = params[roles[0]].join(mean, "id", "left").select("id", F.when(F.col("g").isNull(), F.col("x")).otherwise(vec.axpy(F.col("x"), -lr, F.col("g"))).alias("x"))
@@ -257,7 +267,7 @@ def collective_step(frames: list[tuple[DataFrame, str, str, float]], params: dic
 
 
 # ---------------------------------------------------------------------------------------------- sequential step
-#: What is updated inside the fold, in order; each later gradient sees the earlier updates.
+#: What is updated inside the fold, in order; each later gradient sees the earlier updates. None: all at the old state.
 ORDERS = {
     "gaussian": (("u",), ("v",)),
     "bias": (("u",), ("v",), ("bu",), ("bv",)),
@@ -269,64 +279,113 @@ def fold_step(records: DataFrame, params: dict[str, DataFrame], loss: Loss, own:
     """One pass of sequential descent: each user's records in order of ``sort``; roles in ``own`` belong to the user and
     move with every record by lr / n, the others' gradients are averaged over all records and applied at the end.
 
-    A user's records are one group, as the fold is sequential by definition; users run in parallel.
+    Users run in parallel. One user's pass is sequential by definition, but streams: records come sorted within
+    their partition and only the user's state is held, so a user with very many records needs no more memory.
     B (role ``b``) is averaged within each user first, then over users.
     """
     user = loss.roles[own[0]]
-    joined = with_parameters(records, params, loss.roles)
+    counts = records.groupBy(user).agg(F.count("*").alias("n_own"))
+    joined = with_parameters(records, params, loss.roles).join(counts, user)
     others = [r for r in loss.roles if r not in own]
     extra = [c for c in ("fu", "fv") if c in joined.columns]
-    keys = {r: loss.roles[r] for r in loss.roles}
     steps = ORDERS[order]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(sort)
-        n = len(pdf)
-        state = {r: np.array(pdf[r].iloc[0], float) for r in own}
+    def one(row: dict, state: dict) -> dict[str, np.ndarray]:
+        """Gradients of one record; ``state`` moves."""
+        c = {k: np.asarray(row[f"{k}_x"], float) for k in others} | {k: np.asarray(row[k], float) for k in extra}
+        n, r, g = row["n_own"], row.get("r"), {}
+        for group in steps or (tuple(loss.roles),):
+            now = loss.fold(c | state, r, lam)
+            g |= {k: now[k] for k in group}
+            state |= {k: state[k] - lr / n * now[k] for k in group if k in own}
+        return g
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
-        b_sum = None
-        for row in pdf.to_dict("records"):
-            c = {r: np.asarray(row[r], float) for r in others} | {f: np.asarray(row[f], float) for f in extra} | state
-            if steps is None:
-                g = loss.fold(c, row.get("r"), lam)
-                for r in own:
-                    state[r] = state[r] - lr / n * g[r]
-            else:
-                g = {}
-                for group in steps:
-                    now = loss.fold(c | state, row.get("r"), lam)
-                    for r in group:
-                        g[r] = now[r]
-                        if r in own:
-                            state[r] = state[r] - lr / n * now[r]
-            for r in others:
-                if r == "b":
-                    b_sum = g[r] if b_sum is None else b_sum + g[r]
-                else:
-                    rows.append((r, int(row[keys[r]]), g[r].tolist()))
-        if b_sum is not None:
-            rows.append(("b", 0, (b_sum / n).tolist()))
-        rows += [(r, int(pdf[user].iloc[0]), np.atleast_1d(state[r]).tolist()) for r in own]
-        return pd.DataFrame(rows, columns=["role", "id", "x"])
-
-    told = joined.groupBy(user).applyInPandas(run, "role string, id long, x array<double>")
+        now, state, b_mean = None, {}, None
+
+        def leave() -> None:
+            if state:
+                rows.extend((r, now, np.atleast_1d(state[r]).tolist()) for r in own)
+                if b_mean is not None:
+                    rows.append(("b", 0, b_mean.tolist()))
+
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                if not state or row[user] != now:
+                    leave()
+                    now, b_mean = row[user], None
+                    state = {r: np.array(row[f"{r}_x"], float) for r in own}
+                g = one(row, state)
+                for r in others:
+                    if r == "b":
+                        part = g["b"] / row["n_own"]
+                        b_mean = part if b_mean is None else b_mean + part
+                    else:
+                        rows.append((r, int(row[loss.roles[r]]), g[r].tolist()))
+            yield pd.DataFrame(rows, columns=["role", "id", "x"])
+            rows.clear()
+        leave()
+        yield pd.DataFrame(rows, columns=["role", "id", "x"])
+
+    told = settle(joined.repartition(user).sortWithinPartitions(user, *sort).mapInPandas(run, "role string, id long, x array<double>"))
     out = dict(params)
     for r in own:
-        moved = told.where(F.col("role") == r).select("id", F.col("x").alias("new"))
-        out[r] = params[r].join(moved, "id", "left").select("id", F.coalesce("new", "x").alias("x"))
+        out[r] = _replaced(params[r], told.where(F.col("role") == r))
     shared = {"va": "v", "vb": "v"}
     for name in dict.fromkeys(shared.get(r, r) for r in others):
         roles = [r for r in others if shared.get(r, r) == name]
-        d = params[roles[0]].select(F.size("x").alias("d")).head()
-        mean = told.where(F.col("role").isin(roles)).groupBy("id").agg(vec.vavg("x", d.d if d else 1).alias("g"))
-        new = params[roles[0]].join(mean, "id", "left").select("id", F.when(F.col("g").isNull(), F.col("x")).otherwise(vec.axpy(F.col("x"), -lr, F.col("g"))).alias("x"))
-        for r in roles:
-            out[r] = new
+        new = _moved(params[roles[0]], told.where(F.col("role").isin(roles)), lr)
+        out |= dict.fromkeys(roles, new)
     return out
 
 
+def _replaced(old: DataFrame, new: DataFrame) -> DataFrame:
+    return old.join(new.select("id", F.col("x").alias("new")), "id", "left").select("id", F.coalesce("new", "x").alias("x"))
+
+
+def _moved(old: DataFrame, gradients: DataFrame, lr: float) -> DataFrame:
+    """``old`` - lr * mean gradient; rows without gradients stay."""
+    row = old.select(F.size("x").alias("d")).head()
+    mean = gradients.groupBy("id").agg(vec.vavg("x", row.d if row else 1).alias("g"))
+    return old.join(mean, "id", "left").select("id", F.when(F.col("g").isNull(), F.col("x")).otherwise(vec.axpy(F.col("x"), -lr, F.col("g"))).alias("x"))
+
+
+def collective_fold_step(mu: DataFrame, ms: DataFrame, mv: DataFrame, params: dict[str, DataFrame], lr: float, lam: float, lam_s: float, lam_v: float) -> dict[str, DataFrame]:
+    """Sequential step of three matrices (a, b, r) that share u, v and s: a user moves through ratings of ``mu``, then ``ms``.
+
+    Gradients of v and s are taken at the user's state before each record; those of ``mv`` at the old v and s.
+    """
+    side = lambda df, k, role, weight: df.join(df.groupBy("a").agg(F.count("*").alias("n")), "a").join(params[role].select(F.col("id").alias("b"), F.col("x").alias("y")), "b").select("a", F.lit(k).alias("k"), "b", "r", "n", "y", F.lit(float(weight)).alias("weight"))
+    records = side(mu, 0, "v", 1.0).unionByName(side(ms, 1, "s", lam_s)).join(params["u"].select(F.col("id").alias("a"), "x"), "a")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, u = None, None
+        for pdf in batches:
+            rows: list[tuple] = []
+            for row in pdf.itertuples():
+                if u is None or row.a != now:
+                    if u is not None:
+                        rows.append(("u", now, u.tolist()))
+                    now, u = row.a, np.array(row.x, float)
+                y = np.asarray(row.y, float)
+                e = u @ y - row.r
+                rows.append(("vs"[row.k], row.b, (row.weight * (e * u + lam * y)).tolist()))
+                u = u - lr / row.n * row.weight * (e * y + lam * u)
+            yield pd.DataFrame(rows, columns=["role", "id", "x"])
+        if u is not None:
+            yield pd.DataFrame([("u", now, u.tolist())], columns=["role", "id", "x"])
+
+    told = settle(records.repartition("a").sortWithinPartitions("a", "k", "b").mapInPandas(run, "role string, id long, x array<double>"))
+    both = with_parameters(mv.select(F.col("a").alias("i"), F.col("b").alias("c"), "r"), {"v": params["v"], "s": params["s"]}, {"v": "i", "s": "c"})
+    e = vec.dot(F.col("v_x"), F.col("s_x")) - F.col("r")
+    g = lambda role, key, x, y: both.select(F.lit(role).alias("role"), F.col(key).alias("id"), vec.scale(_grow(e, F.col(y), F.col(x), lam), lam_v).alias("x"))
+    gradients = told.where("role <> 'u'").unionByName(g("v", "i", "v_x", "s_x")).unionByName(g("s", "c", "s_x", "v_x"))
+    return {"u": _replaced(params["u"], told.where("role = 'u'")), "v": _moved(params["v"], gradients.where("role = 'v'"), lr), "s": _moved(params["s"], gradients.where("role = 's'"), lr)}
+
+
 # ---------------------------------------------------------------------------------------------- least squares
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve(a: pd.Series, b: pd.Series) -> pd.Series:
     right = np.stack(b.to_list())
     left = np.stack(a.to_list()).reshape(len(right), right.shape[1], right.shape[1])
@@ -385,6 +444,12 @@ def predict_all(u: DataFrame, v: DataFrame, block: int = 4096) -> DataFrame:
     return met.mapInPandas(run, "u long, i long, score double")
 
 
+def predict_all_bias(params: dict[str, DataFrame]) -> DataFrame:
+    """(u, i, score) with biases: they ride along as two more factors, (x, bu, 1) and (x, 1, bv)."""
+    wide = lambda role, bias, own: params[role].join(params[bias].select("id", F.col("x")[0].alias("b")), "id").select("id", F.concat("x", F.array(*(F.col("b"), F.lit(1.0)) if own else (F.lit(1.0), F.col("b")))).alias("x"))
+    return predict_all(wide("u", "bu", True), wide("v", "bv", False))
+
+
 def starting(ids: DataFrame, key: str, seed: int, d: int, divide: bool = True) -> DataFrame:
     """Deterministic factors for the distinct ids of a column: (id, x)."""
     return ids.select(F.col(key).alias("id")).distinct().select("id", vec.init("id", seed, d, divide).alias("x"))

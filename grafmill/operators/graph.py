@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grafmill.functions import vec
-from grafmill.plans.iterate import iterate
+from grafmill.plans.iterate import iterate, settle
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -46,12 +46,12 @@ def pagerank(edges: DataFrame, iterations: int = 100, alpha: float = 0.9, channe
 
     ``restart`` and ``start`` are (id, v); uniform if not given, 0 for nodes they lack.
     """
-    ids = nodes(edges)
+    ids = settle(nodes(edges))
     even = uniform_importance(ids, channels)
     zero = F.array_repeat(F.lit(0.0), channels)
     dense = lambda d: ids.join(d, "id", "left").select("id", F.coalesce("v", zero).alias("v")) if d is not None else even
     back = dense(restart).withColumnRenamed("v", "back")
-    step_of = _transition(edges)
+    step_of = settle(_transition(edges))
 
     def step(ranks: DataFrame, _: int) -> DataFrame:
         sent = step_of.join(ranks.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), vec.scale(F.col("v"), F.col("p")).alias("x"))
@@ -63,8 +63,8 @@ def pagerank(edges: DataFrame, iterations: int = 100, alpha: float = 0.9, channe
 
 def hits(edges: DataFrame, iterations: int, alpha: float = 0.9, normalize: bool = False) -> DataFrame:
     """(id, authority, hub): authorities from hubs along the links, then hubs from authorities against them."""
-    ids = nodes(edges)
-    forth, back = _transition(edges), _transition(reverse(edges))
+    ids = settle(nodes(edges))
+    forth, back = settle(_transition(edges)), settle(_transition(reverse(edges)))
 
     def half(via: DataFrame, of: DataFrame) -> DataFrame:
         got = via.join(of.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg((F.sum(F.col("x") * F.col("p")) * alpha).alias("x"))
@@ -84,9 +84,9 @@ def hits(edges: DataFrame, iterations: int, alpha: float = 0.9, normalize: bool
 
 
 def shortest_paths(edges: DataFrame, source: int, iterations: int) -> DataFrame:
-    """(id, dist): cheapest way of at most ``iterations`` links; a link without w costs 1. Only settled improvements move on."""
+    """(id, dist): cheapest way of at most ``iterations`` links; a link without w costs 1. """
     w = F.col("w") if "w" in edges.columns else F.lit(1.0)
-    links = edges.select("src", "dst", w.cast("double").alias("w"))
+    links = settle(edges.select("src", "dst", w.cast("double").alias("w")))
     start = edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("id"), F.lit(0.0).alias("dist"))
 
     def step(dist: DataFrame, _: int) -> DataFrame:
@@ -98,7 +98,7 @@ def shortest_paths(edges: DataFrame, source: int, iterations: int) -> DataFrame:
 
 def hops(edges: DataFrame, source: int, most: int) -> DataFrame:
     """(id, hops) of all nodes within ``most`` links; stops when a round reaches nobody new."""
-    links = edges.select("src", "dst").distinct()
+    links = settle(edges.select("src", "dst").distinct())
     start = edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("id"), F.lit(0).cast("long").alias("hops"))
 
     def step(seen: DataFrame, i: int) -> DataFrame:
@@ -117,7 +117,7 @@ def reachable(edges: DataFrame, a: int, b: int, most: int = 100) -> float | None
 
 def expand_reverse(edges: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
     """Nodes from which a seed is reached in at most ``rounds`` links, seeds included: (id)."""
-    links = edges.select("src", "dst")
+    links = settle(edges.select("src", "dst"))
 
     def step(found: DataFrame, _: int) -> DataFrame:
         before = links.join(found.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id"))
@@ -128,7 +128,7 @@ def expand_reverse(edges: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame
 
 def expand_band(edges: DataFrame, seeds: DataFrame, rounds: int, lower: int, upper: int) -> DataFrame:
     """(id, n): nodes y with lower <= links from the set into y + [y in the set] <= upper, ``rounds`` times."""
-    links = edges.select("src", "dst")
+    links = settle(edges.select("src", "dst"))
 
     def step(found: DataFrame, _: int) -> DataFrame:
         hit = links.join(found.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id"))
@@ -155,16 +155,17 @@ def sketch_step(edges: DataFrame, masks: DataFrame) -> DataFrame:
     return masks.unionByName(seen).groupBy("id").agg(F.bit_or("mask").alias("mask"))
 
 
-def sketch_size(masks: DataFrame) -> Column:
+def sketch_size() -> Column:
     """Estimate of the number of reachable (node, node) pairs, as an aggregate of ``mask``."""
     return F.sum(F.pow(F.lit(2.0), vec.lowest_zero(F.col("mask")).cast("double")) / F.lit(0.77351))
 
 
 def neighbourhood(edges: DataFrame, most: int) -> DataFrame:
     """(h, n): the neighbourhood function for h = 0..most."""
+    edges = settle(edges.select("src", "dst"))
     masks, out = sketch(nodes(edges)), None
     for h in range(most + 1):
-        row = masks.agg(sketch_size(masks).alias("n")).select(F.lit(h).cast("long").alias("h"), "n")
+        row = masks.agg(sketch_size().alias("n")).select(F.lit(h).cast("long").alias("h"), "n")
         out = row if out is None else out.unionByName(row)
         if h < most:
             masks = iterate(masks, lambda m, _: sketch_step(edges, m), 1, stop=(lambda a, b: False) if h % 3 == 2 else None)

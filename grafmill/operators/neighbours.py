@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grafmill.plans.iterate import iterate
+from grafmill.plans.iterate import iterate, settle
 
 #: A variance below this share of the sum of squares is rounding, and counts as zero.
 TINY = 1e-9
@@ -68,11 +68,13 @@ def predict_rated(neighbours: DataFrame, ratings: DataFrame) -> DataFrame:
     return joined.groupBy("u", "i").agg(F.sum(F.col("sim") * F.col("r")).alias("sr"), F.sum("sim").alias("s")).select("u", "i", F.when(F.col("s") == 0, F.lit(0.0)).otherwise(F.col("sr") / F.when(F.col("s") == 0, F.lit(1.0)).otherwise(F.col("s"))).alias("score"))
 
 
-def predict_all(neighbours: DataFrame, ratings: DataFrame) -> DataFrame:
-    """(u, i, score) dense: 0.0 where no neighbour rated the item. Each user row carries the item list once."""
+def predict_all(neighbours: DataFrame, ratings: DataFrame, block: int = 4096) -> DataFrame:
+    """(u, i, score) dense: 0.0 where no neighbour rated the item. Users meet items by blocks, never one by one."""
     scores = predict_rated(neighbours, ratings)
-    items = ratings.select("i").distinct().agg(F.collect_list("i").alias("items"))  # the dense line every user gets
-    grid = neighbours.select(F.col("a").alias("u")).distinct().join(F.broadcast(items)).select("u", F.explode("items").alias("i"))
+    items = ratings.select("i").distinct().groupBy(F.floor(F.col("i") / block).cast("long").alias("block")).agg(F.collect_list("i").alias("items"))
+    blocks = items.agg(F.collect_list("block").alias("blocks"))  # one row: a number for each block of ids
+    grid = neighbours.select(F.col("a").alias("u")).distinct().join(F.broadcast(blocks)).select("u", F.explode("blocks").alias("block"))
+    grid = grid.join(items, "block").select("u", F.explode("items").alias("i"))
     return grid.join(scores, ["u", "i"], "left").select("u", "i", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
@@ -94,7 +96,7 @@ def sorted_lines(scores: DataFrame) -> DataFrame:
 def relational(edges: DataFrame, interactions: DataFrame, n_items: int, iterations: int, alpha: float) -> DataFrame:
     """(u, i, r): interests walk from the followed to followers, with a uniform restart for what a user already has."""
     counts = edges.groupBy("dst").agg(F.count("*").alias("n"))
-    links = edges.select("src", "dst").join(counts, "dst")
+    links = settle(edges.select("src", "dst").join(counts, "dst"))
 
     def step(x: DataFrame, _: int) -> DataFrame:
         sent = links.join(x.withColumnRenamed("u", "dst"), "dst").select(F.col("src").alias("u"), "i", (F.col("r") * (1 - alpha) / F.col("n")).alias("r"))

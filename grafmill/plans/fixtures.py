@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 KIND = "case event_type when 'click' then 0 when 'error' then 1 when 'purchase' then 2 when 'signup' then 3 else 4 end"
 
 VIEWS = {
-    "tr": "select user_id src, lead(user_id) over (order by ts, event_id) dst from events",
+    "tr": "select user_id src, lead(user_id) over (partition by cast(ts as date) order by ts, event_id) dst from events",
     "edges": "select distinct src, dst from tr where dst is not null and src <> dst",
     "edges_w": "select src, dst, cast(count(*) as double) w from tr where dst is not null and src <> dst group by src, dst",
     "node_map": "select user_id id from events group by user_id having 5 * sum(case when event_type = 'error' then 1 else 0 end) >= count(*)",

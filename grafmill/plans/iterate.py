@@ -27,13 +27,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(configured)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or the temporary folder of a local session without it."""
+    ensure_checkpoint_dir(spark)
+    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` computed once, for plans that read it again and again; survives lost executors."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], n: int, stop: Callable[[DataFrame, DataFrame], bool] | None = None, every: int = EVERY) -> DataFrame:
     """Apply ``step`` n times, or until ``stop(old, new)``. Reliable checkpoints survive lost executors."""
     for i in range(n):
         new = step(state, i)
         if stop or (i + 1) % every == 0 and i + 1 < n:
-            ensure_checkpoint_dir(state.sparkSession)
-            new = new.checkpoint()
+            new = settle(new)
         done = bool(stop and stop(state, new))
         state = new
         if done:

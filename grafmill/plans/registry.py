@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from grafmill.plans import cf_queries, graph_queries
+
 
 def queries():
-    return {}
+    return graph_queries.QUERIES | cf_queries.QUERIES
 
 
 def oracle_sql():
-    return {}
+    return graph_queries.SQL | cf_queries.SQL

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grafmill.plans.iterate import shared_folder
+
 RATINGS = T.StructType([T.StructField("u", T.LongType()), T.StructField("i", T.LongType()), T.StructField("r", T.DoubleType())])
 EDGES = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType())])
 TENSOR = T.StructType([T.StructField("x", T.StringType()), T.StructField("p", T.LongType()), T.StructField("q", T.LongType()), T.StructField("o", T.LongType()), T.StructField("r", T.DoubleType())])
@@ -38,6 +42,35 @@ def write_matrix(matrix: DataFrame, path: str, mode: str = "overwrite") -> None:
     matrix.select(F.concat_ws(",", F.col("id").cast("string"), F.col("x").cast("array<string>")).alias("value")).write.mode(mode).text(path)
 
 
+def read_vector(spark: SparkSession, path: str) -> DataFrame:
+    """`id,b` -> (id, x): a bias or any other number of each id, as an array of one."""
+    return read_matrix(spark, path)
+
+
+def append_matrix(matrix: DataFrame, path: str) -> None:
+    write_matrix(matrix, path, "append")
+
+
+def joined_vector(x: str = "x") -> Column:
+    """An array as `x0,x1,...`."""
+    return F.concat_ws(",", F.col(x).cast("array<string>"))
+
+
+def joined_rows(rows: str = "rows") -> Column:
+    """A matrix (array of arrays) flattened to `x00,x01,...`."""
+    return F.concat_ws(",", F.flatten(rows).cast("array<string>"))
+
+
+def seed_row(spark: SparkSession, node: int, value: float = 0.0) -> DataFrame:
+    """One (id, dist) row to start a search from."""
+    return spark.range(1).select(F.lit(node).cast("long").alias("id"), F.lit(float(value)).alias("dist"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def write_text(df: DataFrame, path: str, sep: str = "\t", mode: str = "overwrite") -> None:
     df.write.mode(mode).csv(path, sep=sep)
 
