@@ -5,13 +5,15 @@
    same set are one class from here on, represented by the smallest doc_id.
 2. A signature holds the minima of BANDS * ROWS universal hashes; representatives that share a band meet in
    a bucket. At the threshold 0.85 a pair misses all buckets with probability (1 - 0.85**4)**32 < 1e-10.
-3. First each row of a bucket is compared with the bucket's smallest id. Pairs whose signatures are far apart go (the
-   bound lies more than six standard deviations below the threshold); the rest are confirmed on full sets. Links
-   join most copies into components.
-4. Buckets that still hold several components are then compared in full, signatures against signatures, as arrays: at most
-   BLOCK rows in a task, larger buckets as pairs of blocks. Only pairs of different components, of like
-   sizes and near signatures leave the task, and are confirmed. So no link between components is lost, however large the
-   bucket, and a bucket of thousands of copies is joined by its first pass.
+3. First each text is compared with the smallest id that it shares any bucket with: one pair a text at most. Pairs whose
+   signatures are far apart go (the bound lies more than six standard deviations below the threshold); the rest are
+   confirmed on full sets. Links join texts into components.
+4. Buckets that still hold several components are compared in full, signatures against signatures, as arrays, larger
+   buckets as pairs of blocks; only rows of different components and of like sizes meet. First each text puts forward its
+   nearest partner of another component, one pair a text again: copies of one text find it wherever its id stands.
+   In what is left each near pair is confirmed on full sets where it meets, in the first bucket that it shares, unless
+   links found there connect it already; only links leave the task. So no link between components is lost,
+   however large the bucket. A block holds at most BLOCK rows and about WEIGHT shingles.
 5. Links go through alternating large-star and small-star steps, until nothing changes.
 
 Defined results: null text as empty; empty texts are kept, each its own component; equal rows fall into one class;
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grafmill.llm.common import materialize, texts
@@ -38,6 +40,8 @@ BLOCK = 4096
 MEMO = 400_000
 #: Signature agreement below this much under the threshold is no link: 6 sigma of 128 minima.
 SLACK = 0.2
+#: Shingles of a block whose sets are compared in one task, about.
+WEIGHT = 1 << 20
 
 
 class _Hashes(dict):
@@ -139,7 +143,7 @@ def _confirmed(k: int, percent: int):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(a, b) links -> (doc_id, component): the smallest id reachable, for every id that has a link.
+    """(a, b) links -> (doc_id, component): the smallest id reachable, for every id that reaches a smaller one.
 
     Large-star: every larger neighbour of u is linked with the smallest id around u; small-star: every smaller
     neighbour too. Both are an aggregate (combined before its shuffle) and a join.
@@ -182,85 +186,158 @@ def _links(docs: DataFrame, sigs: DataFrame, k: int, percent: int) -> DataFrame
     """Confirmed links, enough to connect all that true links connect; None if there is none."""
     width = 4 * ROWS
     keys = F.array(*(F.xxhash64(F.substring("sig", 1 + width * i, width), F.lit(i)) for i in range(BANDS)))
-    bands = sigs.select("doc_id", F.explode(keys).alias("bucket"))
-    many = bands.groupBy("bucket").agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("other"), F.count("*").alias("n")).where("one <> other")
+    bands = sigs.select("doc_id", "n_shingles", F.posexplode(keys).alias("band", "bucket"))
+    many = bands.groupBy("bucket").agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("other"), F.count("*").alias("n"), F.sum("n_shingles").alias("weight")).where("one <> other")
     # rows of a bucket of their own meet nobody
-    bands = materialize(bands.join(many.select("bucket", "one", "n"), "bucket"), "buckets")
+    bands = materialize(bands.drop("n_shingles").join(many.drop("other"), "bucket"), "buckets")
     # one byte of each minimum: chance agreement of 1 in 256 only raises the estimate
     short = sigs.select("doc_id", "n_shingles", F.expr("concat(" + ", ".join(f"substring(sig, {4 * i + 1}, 1)" for i in range(BANDS * ROWS)) + ")").alias("sig"))
     least = percent / 100 - SLACK
 
-    pairs = bands.where("doc_id <> one").select(F.col("one").alias("a"), F.col("doc_id").alias("b")).distinct()
+    pairs = bands.where("doc_id <> one").groupBy(F.col("doc_id").alias("b")).agg(F.min("one").alias("a")).select("a", "b")
     near = pairs.join(short.select(F.col("doc_id").alias("a"), F.col("sig").alias("x")), "a").join(short.select(F.col("doc_id").alias("b"), F.col("sig").alias("y")), "b").select("a", "b", "x", "y")
     near = materialize(near.mapInArrow(_estimated(least), "a long, b long"), "candidates")
-    first = materialize(_confirm(docs, near, k, percent), "links")
-    left = bands.select("bucket", "doc_id", "n")
-    if first.isEmpty():
-        left = left.withColumn("component", F.col("doc_id"))
-    else:
-        label = components(first).checkpoint()
-        left = left.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    # buckets of several components, and of more than the pair already compared
-    still = left.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("rows")).where("x <> y and rows > 2").select("bucket")
-    rows = left.join(still, "bucket").join(short, "doc_id")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-    own = F.pmod(F.xxhash64("doc_id", "bucket"), F.col("blocks"))
-    rows = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", "component", "n_shingles", "sig")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    more = dealt.mapInArrow(_compared(least, percent), "a long, b long").distinct().join(near, ["a", "b"], "left_anti")
-    second = materialize(_confirm(docs, materialize(more, "more-candidates"), k, percent), "links")
-    links = first.unionByName(second)
+    links = materialize(_confirm(docs, near, k, percent), "links")
+
+    rows = _blocks(_mixed(bands, links).join(short, "doc_id"), F.ceil(F.col("n") / BLOCK)).select(*_KEY, "doc_id", "component", "n_shingles", "sig")
+    found = _dealt(rows).mapInArrow(_by_blocks(_nearest(least, percent)), "doc long, partner long, agree int")
+    best = found.groupBy("doc").agg(F.max_by("partner", F.struct("agree", -F.col("partner"))).alias("partner"))
+    near = materialize(best.select(F.least("doc", "partner").alias("a"), F.greatest("doc", "partner").alias("b")).distinct(), "candidates")
+    if not near.isEmpty():
+        links = links.unionByName(materialize(_confirm(docs, near, k, percent), "links"))
+
+    mixed = _mixed(bands, links)
+    sets = possible(docs, mixed.select("doc_id")).mapInArrow(_sets(k), "doc_id long, found binary")
+    told = sigs.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi").join(sets, "doc_id").dropDuplicates(["doc_id"])
+    rows = _blocks(mixed.join(materialize(told, "sets"), "doc_id"), F.ceil(F.greatest(F.col("n") / (BLOCK // 2), F.col("weight") / WEIGHT))).select(*_KEY, "doc_id", "component", "n_shingles", "sig", "band", "found")
+    links = links.unionByName(materialize(_dealt(rows).mapInArrow(_by_blocks(_linked(least, percent)), "a long, b long"), "links"))
     return None if links.isEmpty() else links
 
 
-def _compared(least: float, percent: int):
-    """Rows (bucket, lo, hi, own, doc_id, component, n, sig), those of a block pair together: near pairs of different components."""
+_KEY = ("bucket", "lo", "hi", "own")
 
-    def near_pairs(group: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
-        lo, hi, own, doc, comp, n = (np.concatenate([g[i] for g in group]) for i in range(6))
-        sig = np.concatenate([g[6] for g in group])
-        order = np.argsort(n, kind="stable")
-        lo, hi, own, doc, comp, n, sig = (x[order] for x in (lo, hi, own, doc, comp, n, sig))
-        # sizes within the threshold's ratio: a stretch of the rows after each one
-        reach = np.searchsorted(n, n * 100 / percent, "right")
-        across = len(lo) and lo[0] != hi[0]
-        left, right = [], []
-        for i in range(len(doc) - 1):
-            j = np.arange(i + 1, reach[i])
-            j = j[(comp[j] != comp[i]) & ((own[j] != own[i]) if across else True)]
-            if len(j):
-                j = j[(sig[j] == sig[i]).mean(1) >= least]
-                left.append(np.minimum(doc[i], doc[j]))
-                right.append(np.maximum(doc[i], doc[j]))
-        none = [np.zeros(0, np.int64)]
-        return np.concatenate(left or none), np.concatenate(right or none)
+
+def _mixed(bands: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (bucket, doc_id, ..., component) of the buckets that hold several components."""
+    if links.isEmpty():
+        left = bands.withColumn("component", F.col("doc_id"))
+    else:
+        left = bands.join(components(links), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    left = materialize(left, "labelled")
+    still = left.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
+    return materialize(left.join(still, "bucket"), "mixed")
+
+
+def _blocks(rows: DataFrame, blocks: Column) -> DataFrame:
+    """Each row once for each pair of blocks of its bucket that it belongs to: (lo, hi), and its own block."""
+    out = rows.withColumn("blocks", blocks.cast("long"))
+    out = out.withColumn("own", F.pmod(F.xxhash64("doc_id", "bucket"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return out.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+
+
+def _sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x, k).tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "found"])
+
+    return run
+
+
+def _by_blocks(compare):
+    """Runs ``compare(columns)`` on the rows of each (bucket, lo, hi) that come together; it returns named arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple[np.ndarray, ...]] = []
+        group: list[pa.RecordBatch] = []
         last = None
+
+        def done() -> pa.RecordBatch:
+            out = compare(pa.Table.from_batches(group))
+            group.clear()
+            return pa.RecordBatch.from_pydict({name: pa.array(x) for name, x in out.items()})
+
         for b in batches:
             if not b.num_rows:
                 continue
             key = np.stack([b.column(i).to_numpy() for i in range(3)], 1)
-            rest = [key[:, 1], key[:, 2], *(b.column(i).to_numpy() for i in range(3, 7))]
-            sig = np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint8).reshape(b.num_rows, -1)
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), b.num_rows]
-            left, right = [], []
             for s, e in zip(cuts, cuts[1:], strict=False):
-                if last is not None and tuple(key[s]) != last:
-                    x, y = near_pairs(group)
-                    left.append(x)
-                    right.append(y)
-                    group = []
+                if group and tuple(key[s]) != last:
+                    yield done()
                 last = tuple(key[s])
-                group.append((*(c[s:e] for c in rest), sig[s:e]))
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+                group.append(b.slice(s, e - s))
         if group:
-            x, y = near_pairs(group)
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+            yield done()
+
+    return run
+
+
+class _Block:
+    """Rows of a block pair by size, and which of them are near a given one."""
+
+    def __init__(self, table: pa.Table, least: float, percent: int, kind: type):
+        table = table.combine_chunks()
+        n = table["n_shingles"].to_numpy()
+        order = np.argsort(n, kind="stable")
+        self.table, n = table.take(pa.array(order)), n[order]
+        self.own, self.doc, self.component = (self.table[c].to_numpy().copy() for c in ("own", "doc_id", "component"))
+        self.sig = np.frombuffer(b"".join(self.table["sig"].to_pylist()), kind).reshape(len(n), -1)
+        # sizes within the threshold's ratio: a stretch of the rows around each one
+        self.up, self.down = np.searchsorted(n, n * 100 / percent, "right"), np.searchsorted(n, n * percent / 100, "left")
+        self.across, self.least = table["lo"][0] != table["hi"][0], least * self.sig.shape[1]
+        # of two different components one at least is not the largest: its rows look at all others
+        names, size = np.unique(self.component, return_counts=True)
+        self.seekers = np.flatnonzero(self.component != names[size.argmax()])
+
+    def near(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of other components near row i, nearest first; how many minima agree; where they agree."""
+        j = np.arange(self.down[i], self.up[i])
+        j = j[(self.component[j] != self.component[i]) & ((self.own[j] != self.own[i]) if self.across else True)]
+        same = self.sig[j] == self.sig[i]
+        agree = same.sum(1)
+        order = np.lexsort((self.doc[j], -agree))
+        order = order[agree[order] >= self.least]
+        return j[order], agree[order], same[order]
+
+
+def _nearest(least: float, percent: int):
+    def run(table: pa.Table) -> dict[str, np.ndarray]:
+        block = _Block(table, least, percent, np.uint8)
+        doc, partner, agree = [], [], []
+        for i in block.seekers:
+            j, a, _ = block.near(i)
+            if len(j):
+                doc.append(block.doc[i])
+                partner.append(block.doc[j[0]])
+                agree.append(a[0])
+        return {"doc": np.array(doc, np.int64), "partner": np.array(partner, np.int64), "agree": np.array(agree, np.int32)}
+
+    return run
+
+
+def _linked(least: float, percent: int):
+    def run(table: pa.Table) -> dict[str, np.ndarray]:
+        block = _Block(table, least, percent, np.uint32)
+        band = block.table["band"][0].as_py()
+        sets = [np.frombuffer(x, np.uint64) for x in block.table["found"].to_pylist()]
+        one, two = [], []
+        for i in block.seekers:
+            j, _, same = block.near(i)
+            # a pair that shares an earlier band meets there
+            here = same.reshape(len(j), BANDS, ROWS).all(2).argmax(1) == band
+            for x in j[here]:
+                if block.component[x] == block.component[i]:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[x], assume_unique=True))
+                if 100 * both >= percent * (len(sets[i]) + len(sets[x]) - both):
+                    one.append(min(block.doc[i], block.doc[x]))
+                    two.append(max(block.doc[i], block.doc[x]))
+                    block.component[block.component == block.component[x]] = block.component[i]
+        return {"a": np.array(one, np.int64), "b": np.array(two, np.int64)}
 
     return run
 
