@@ -300,7 +300,7 @@ def digests(blocks: DataFrame, lengths: np.ndarray) -> DataFrame:
     across = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("before_part"))
     starts = blocks.select("part", "block", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("before_block")).join(totals, "part").select("part", "block", (F.col("before_part") + F.col("before_block")).alias("before"))
-    placed = _crc(blocks, lengths).join(starts, ["part", "block"]).withColumn("start", F.col("before") + F.col("inside"))
+    placed = materialize(_crc(blocks, lengths), "stretches").join(starts, ["part", "block"]).withColumn("start", F.col("before") + F.col("inside"))
     # a document's first stretch of BLOCK ids may go on in the next block; only such documents are gathered
     whole = placed.where("first and n < %d" % BLOCK).select("doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
     cut = placed.where("not (first and n < %d)" % BLOCK)
