@@ -19,6 +19,7 @@ row order within ties, which does not matter: they are equal); an empty table gi
 
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -38,37 +39,56 @@ LARGE = 1 / 8
 BUCKETS = 256
 
 
+#: Stands for a word's end: a byte that UTF-8 never has.
+END = b"\xff"
+
+
 class _Library:
-    """Ids by the tokenizers library, asked once for each word; words are made as it makes them."""
+    """The tokenizers library's ids, asked for once for each word.
+
+    Words and their pieces are made as the file says. A piece's merges run in tiktoken: the vocabulary's ids stand
+    in merge order, so they serve as ranks; the end of a word is one more byte, whose merges come first. Tests hold the ids against
+    the library's. Texts with a special token's beginning go to the library itself.
+    """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.bpe = WordBPE(path)
-        self.known: dict[str, bytes] = {}
+        back, end = {c: b for b, c in self.bpe.alphabet.items()}, self.bpe.end
+        raw = lambda t: bytes(map(back.__getitem__, t))
+        ranks = {raw(t.removesuffix(end)) + END if end and t.endswith(end) else raw(t): i for t, i in self.bpe.vocab.items() if t not in self.bpe.special}
+        self.core = tiktoken.Encoding("words", pat_str=r".+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+        self.known = _Known(self)
 
     def ids(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if "<|" in text:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words, known = self.bpe.stretch(text), self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        new = [w for w in set(words) if w not in known]
-        if len(known) + len(new) > self.bpe.memo:
-            known.clear()
-            new = list(set(words))
-        # a space between words: no token crosses it, so many words are one call
-        for i in range(0, len(new), 512):
-            part = new[i : i + 512]
-            e = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            known.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(part, e, strict=True))
-        return b"".join(map(known.__getitem__, words))
+        return b"".join(map(self.known.__getitem__, self.bpe.stretch(text)))
+
+
+class _Known(dict):
+    """Word -> its ids; begins anew when full."""
+
+    def __init__(self, lib: _Library):
+        super().__init__()
+        self.split, self.encode, self.memo = lib.bpe.split.findall, lib.core.encode_single_piece, lib.bpe.memo
+
+    def __missing__(self, word: str) -> bytes:
+        found: list[int] = []
+        for p in (word,) if word.isascii() and word.isalpha() else self.split(word):
+            found += self.encode(p.encode() + END)
+        out = struct.pack(f"<{len(found)}I", *found)
+        if len(self) >= self.memo:
+            self.clear()
+        if len(word) <= 256:
+            self[word] = out
+        return out
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
