@@ -542,11 +542,17 @@ def newton_mult(spark, sf_dir):
 
 # ------------------------------------------------------------------------------------------------ prediction
 def scored(df: DataFrame) -> DataFrame:
-    return df.select("u", "i", vec.rounded(F.col("score")).alias("score"))
+    """Ten places hold every product of the starting values, so that no score lies on a tie."""
+    return df.select("u", "i", vec.rounded(F.col("score"), 10).alias("score"))
 
 
+def biases(ratings: DataFrame) -> dict[str, DataFrame]:
+    return {"bu": cf.starting(ratings, "u", 5, 1), "bv": cf.starting(ratings, "i", 6, 1)}
+
+
+BIASES = f"{start('bu0', 'ratings_s', 'u', 5, 1)}, {start('bv0', 'ratings_s', 'i', 6, 1)}"
 J = f"j as ({joined('ratings_s', UV, 0)})"
-PAIRS = "select u, i, round({}, 8) + 0 as score from j"
+PAIRS = "select u, i, round({}, 10) + 0 as score from j"
 
 
 @query(PAIRS.format(P), f"{UV_START}, {J}")
@@ -561,33 +567,33 @@ def predict_pairs_logistic(spark, sf_dir):
     return scored(cf.predict_pairs(ratings.select("u", "i"), factors(ratings), cf.logistic()))
 
 
-@query(f"select a.id as u, c.id as i, round(a.x0 * c.x0 + a.x1 * c.x1, 8) + 0 as score from u0 a cross join v0 c", UV_START)
+@query(f"select a.id as u, c.id as i, round(a.x0 * c.x0 + a.x1 * c.x1, 10) + 0 as score from u0 a cross join v0 c", UV_START)
 def predict_all(spark, sf_dir):
     params = factors(view(spark, sf_dir, "ratings_s"))
     return scored(cf.predict_all(params["u"], params["v"]))
 
 
-@query(f"select a.id as u, c.id as i, round(a.x0 * c.x0 + a.x1 * c.x1 + y.x0 + z.x0, 8) + 0 as score from u0 a join bu0 y on y.id = a.id cross join (v0 c join bv0 z on z.id = c.id)", f"{UV_START}, {bias_start('ratings_s')}")
+@query(f"select a.id as u, c.id as i, round(a.x0 * c.x0 + a.x1 * c.x1 + y.x0 + z.x0, 10) + 0 as score from u0 a join bu0 y on y.id = a.id cross join (v0 c join bv0 z on z.id = c.id)", f"{UV_START}, {BIASES}")
 def predict_all_bias(spark, sf_dir):
     ratings = view(spark, sf_dir, "ratings_s")
-    params = factors(ratings) | {"bu": cf.zero_bias(ratings), "bv": cf.item_bias(ratings)}
+    params = factors(ratings) | biases(ratings)
     return scored(cf.predict_all_bias(params))
 
 
-@query(PAIRS.format(f"{P} + bu0 + bv0"), f"{UV_START}, {bias_start('ratings_s')}, j as ({joined('ratings_s', BIAS, 0)})")
+@query(PAIRS.format(f"{P} + bu0 + bv0"), f"{UV_START}, {BIASES}, j as ({joined('ratings_s', BIAS, 0)})")
 def predict_pairs_bias(spark, sf_dir):
     ratings = view(spark, sf_dir, "ratings_s")
-    return scored(cf.predict_pairs(ratings.select("u", "i"), factors(ratings) | {"bu": cf.zero_bias(ratings), "bv": cf.item_bias(ratings)}, cf.square_bias()))
+    return scored(cf.predict_pairs(ratings.select("u", "i"), factors(ratings) | biases(ratings), cf.square_bias()))
 
 
 def hybrid_pairs(roles: dict, e: str) -> tuple[str, str]:
-    bias = f", {bias_start('ratings_s')}" if "bu" in roles else ""
+    bias = f", {BIASES}" if "bu" in roles else ""
     return PAIRS.format(e), f"{WITH_F}, {UV_START}, {B_START}{bias}, j as ({joined('rf', roles, 0)})"
 
 
 def hybrid_scores(spark, sf_dir, loss) -> DataFrame:
     ratings = view(spark, sf_dir, "ratings_s")
-    params = factors(ratings) | {"b": b_start(spark), "bu": cf.zero_bias(ratings), "bv": cf.item_bias(ratings)}
+    params = factors(ratings) | {"b": b_start(spark)} | biases(ratings)
     return scored(cf.predict_pairs(with_features(ratings).select("u", "i", "fu", "fv"), params, loss))
 
 
@@ -611,9 +617,9 @@ def predict_pairs_combine(spark, sf_dir):
     return hybrid_scores(spark, sf_dir, cf.hybrid(bias=True, rf=0.5, ru=0.75, ri=0.25))
 
 
-@query("select u, i, o, round(score, 8) + 0 as score from (select p u, q i, o, " + " + ".join(f"u{k} * v{k} * s{k}" for k in range(D)) + " score from j)", f"{CELL_START}, j as ({joined('tensor', CELL, 0)})")
+@query("select u, i, o, round(score, 12) + 0 as score from (select p u, q i, o, " + " + ".join(f"u{k} * v{k} * s{k}" for k in range(D)) + " score from j)", f"{CELL_START}, j as ({joined('tensor', CELL, 0)})")
 def predict_cells(spark, sf_dir):
     cells = view(spark, sf_dir, "tensor")
     params = {"u": cf.starting(cells, "p", 1, D), "v": cf.starting(cells, "q", 2, D), "s": cf.starting(cells, "o", 3, D, False)}
     out = cf.predict_pairs(cells.select("p", "q", "o"), params, cf.tensor_cp())
-    return out.select(F.col("p").alias("u"), F.col("q").alias("i"), "o", vec.rounded(F.col("score")).alias("score"))
+    return out.select(F.col("p").alias("u"), F.col("q").alias("i"), "o", vec.rounded(F.col("score"), 12).alias("score"))
