@@ -212,20 +212,28 @@ def distant(text: str, spots: list[tuple[int, int]], base: list[Span]) -> list[i
     return out
 
 
-def train(sample: list[str]) -> Field:
+def observed(text: str) -> Counter:
+    """What training counts of a text: ("unary", features, label), ("chain" or "skip", label, label)."""
+    out: Counter = Counter()
+    spots = candidates(text)
+    labels = distant(text, spots, base_spans(text))
+    out.update(("unary", "\t".join(features(text, a, b)), y) for (a, b), y in zip(spots, labels, strict=True))
+    for name, edges in zip(("chain", "skip"), links(text, spots), strict=True):
+        out.update((name, str(labels[i]), labels[j]) for i, j in edges)
+    return out
+
+
+def train(counts: dict[tuple[str, str, int], int]) -> Field:
     """Piecewise: a softmax model of the features, and log ratios of label pairs at chain and skip edges."""
     seen: Counter = Counter()
     pairs = {"chain": np.full((L, L), 0.5), "skip": np.full((L, L), 0.5) + 2 * np.eye(L)}
     single = np.full(L, 1.0)
-    for text in sample:
-        spots = candidates(text)
-        labels = distant(text, spots, base_spans(text))
-        for (a, b), y in zip(spots, labels, strict=True):
-            seen[features(text, a, b), y] += 1
-            single[y] += 1
-        for name, edges in zip(("chain", "skip"), links(text, spots), strict=True):
-            for i, j in edges:
-                pairs[name][labels[i], labels[j]] += 1
+    for (kind, key, y), k in counts.items():
+        if kind == "unary":
+            seen[tuple(key.split("\t")), y] += k
+            single[y] += k
+        else:
+            pairs[kind][int(key), y] += k
     names = sorted({f for fs, _ in seen for f in fs})
     at = {f: i for i, f in enumerate(names)}
     x = np.zeros((len(seen), len(names)))
@@ -275,22 +283,23 @@ def joined(spans: list[Span]) -> str:
 
 
 def fit(docs: DataFrame) -> Field:
-    """Train on at most SAMPLE documents that have candidates."""
+    """Train on at most SAMPLE documents that have candidates, whole texts; executors count, the driver gets distinct features alone."""
     with_some = docs.where(F.col("text").rlike("[0-9@]"))
     # the SAMPLE-th least hash, from hashes alone; texts stay where they are
     h = F.xxhash64("doc_id", F.lit(11))
     bound = with_some.select(h.alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h")).head()[0]
-    rows = with_some.where(h <= (bound if bound is not None else 0)).select("doc_id", "text")
+    rows = with_some.where(h <= (bound if bound is not None else 0)).select("text")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # what training reads of a text: candidates and their surroundings
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for text in b.column(1).to_pylist():
-                out.append(" \n ".join(text[max(0, m.start() - 60) : m.end() + 60] for m in list(_CANDIDATE.finditer(text))[:200]))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["text"])
-
-    return train([r.text for r in rows.mapInArrow(windows, "text string").collect()])
+            total: Counter = Counter()
+            for text in b.column(0).to_pylist():
+                total.update(observed(text))
+            kind, key, y = zip(*total, strict=True) if total else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(key, pa.string()), pa.array(y, pa.int32()), pa.array(total.values(), pa.int64())], names=["kind", "key", "y", "n"])
+
+    told = rows.mapInArrow(run, "kind string, key string, y int, n long").groupBy("kind", "key", "y").agg(F.sum("n").alias("n"))
+    return train({(r.kind, r.key, r.y): r.n for r in told.collect()})
 
 
 def find_pii(docs: DataFrame, field: Field | None = None, keep_text: bool = False) -> DataFrame:
