@@ -110,11 +110,17 @@ def _bit(column: str, salt: int) -> tuple:
     return F.pmod(h, F.lit(BITS)), F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64({column}, {salt}), 32), 64) as int))")
 
 
-def possible(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id may be in ``ids``, decided on the scan; BITS rows are broadcast at most."""
-    word, bit = _bit("doc_id", 7)
+def flagged(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """``rows`` with ``maybe``: whether ``column`` may be in that of ``ids``, decided on the scan; BITS rows are broadcast at most."""
+    word, bit = _bit(column, 7)
     table = ids.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
-    return docs.withColumn("word", word).withColumn("bit", bit).join(F.broadcast(table), "word").where("bits & bit <> 0").drop("word", "bit", "bits")
+    found = rows.withColumn("word", word).withColumn("bit", bit).join(F.broadcast(table), "word", "left")
+    return found.withColumn("maybe", F.expr("coalesce(bits & bit <> 0, false)")).drop("word", "bit", "bits")
+
+
+def possible(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id may be in ``ids``."""
+    return flagged(docs, ids).where("maybe").drop("maybe")
 
 
 def _differing(docs: DataFrame, members: DataFrame) -> DataFrame:

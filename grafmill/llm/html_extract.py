@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grafmill.llm.common import materialize
+from grafmill.llm.exact_dedup import flagged
 
 MANY, SHARE = 5, 0.2
 
@@ -190,18 +191,18 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, many: int = MANY, share: float = SHARE) -> DataFrame:
     """page_id, url, text, n_chars."""
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    parsed = materialize(source.mapInArrow(_parsed, "page_id long, url string, host string, body long, blocks array<string>, marks array<array<long>>"), "parsed-pages")
+    parsed = materialize(source.mapInArrow(_parsed, "page_id long, url string, host string, body long, blocks array<string>, marks array<array<long>>").withColumn("key", F.xxhash64("host", "body")), "parsed-pages")
     bodies = parsed.select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     seen = parsed.select("host", "body", F.explode(F.array_distinct(F.flatten("marks"))).alias("mark")).distinct().groupBy("host", "mark").agg(F.count("*").alias("n"))
     template = seen.where(F.col("n") >= many).join(bodies, "host").where(F.col("n") >= share * F.col("pages")).select("host", "mark")
-    # only pages that hold such a subtree need a second look
-    hit = (
-        parsed.select("page_id", "host", "body", F.explode(F.array_distinct(F.flatten("marks"))).alias("mark"))
-        .join(template, ["host", "mark"])
-        .groupBy("host", "body")
-        .agg(F.collect_set("mark").alias("gone"))
+    # pages that hold such a subtree get a second look; a table of fixed size tells on the scan that others do not
+    hit = materialize(
+        parsed.select("key", F.explode(F.array_distinct(F.flatten("marks"))).alias("mark"), "host").join(template, ["host", "mark"]).groupBy("key").agg(F.collect_set("mark").alias("gone")),
+        "template-hits",
     )
-    left = parsed.join(hit, ["host", "body"], "left")
+    rows = flagged(parsed, hit, "key")
+    looked = rows.where("maybe").join(hit, "key", "left")
+    left = looked.unionByName(rows.where("not maybe").withColumn("gone", F.lit(None).cast("array<bigint>")))
     kept = F.expr("transform(filter(arrays_zip(blocks, marks), x -> gone is null or not arrays_overlap(x.marks, gone)), x -> x.blocks)")
     text = F.array_join(kept, " ")
     return left.select("page_id", "url", text.alias("text")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
