@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grafmill.functions import vec
+from grafmill.operators.matrix import in_blocks
 from grafmill.plans.iterate import settle
 
 FLOOR = 1e-12
@@ -94,6 +95,8 @@ def poisson(compat: bool = False) -> Loss:
         return _grow(1 - c["r"] / p(c), b, a, lam)
 
     def fold(c, r, lam):
+        if compat:
+            return {"u": c["v"] - r / c["u"] + lam * c["u"], "v": c["u"] - r / c["v"] + lam * c["v"]}
         k = 1 - r / max(c["u"] @ c["v"], FLOOR)
         return {"u": k * c["v"] + lam * c["u"], "v": k * c["u"] + lam * c["v"]}
 
@@ -243,11 +246,12 @@ def batch_step(records: DataFrame, params: dict[str, DataFrame], loss: Loss, dim
 
 
 def loss_metric(records: DataFrame, params: dict[str, DataFrame], loss: Loss) -> DataFrame:
-    """(loss, cnt): sum of values and number of records."""
+    """(loss, thousandths, cnt): sum of values, sum of values cut to whole thousandths, number of records."""
     joined = with_parameters(records, params, loss.roles)
     if loss.where is not None:
         joined = joined.where(loss.where(columns(joined)))
-    return joined.agg(F.sum(loss.value(columns(joined))).alias("loss"), F.count("*").alias("cnt"))
+    value = loss.value(columns(joined))
+    return joined.agg(F.sum(value).alias("loss"), F.sum((value * 1000).cast("long")).alias("thousandths"), F.count("*").alias("cnt"))
 
 
 def collective_step(frames: list[tuple[DataFrame, str, str, float]], params: dict[str, DataFrame], d: int, lr: float, lam: float) -> dict[str, DataFrame]:
@@ -430,10 +434,10 @@ def predict_pairs(pairs: DataFrame, params: dict[str, DataFrame], loss: Loss) ->
 def predict_all(u: DataFrame, v: DataFrame, block: int = 4096) -> DataFrame:
     """(u, i, score) of every user and item. Items come in blocks; each user row meets each block once and is
     multiplied there as a matrix, so no row pairs are joined one by one."""
-    at = F.floor(F.col("id") / block).cast("long")
-    items = v.groupBy(at.alias("block")).agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("x")).alias("m"))
-    users = u.select(F.col("id").alias("u"), "x").join(F.broadcast(items.agg(F.collect_list("block").alias("blocks"))))  # one row
-    met = users.withColumn("block", F.explode("blocks")).drop("blocks").join(items, "block").select("u", "x", "ids", "m")
+    dealt, n = in_blocks(v, "id", block)
+    items = dealt.groupBy("block").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("x")).alias("m"))
+    users = u.select(F.col("id").alias("u"), "x").join(F.broadcast(n))  # one row: a number
+    met = users.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(items, "block").select("u", "x", "ids", "m")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -455,6 +459,11 @@ def starting(ids: DataFrame, key: str, seed: int, d: int, divide: bool = True) -
     return ids.select(F.col(key).alias("id")).distinct().select("id", vec.init("id", seed, d, divide).alias("x"))
 
 
+def random_start(ids: DataFrame, key: str, seed: int, d: int) -> DataFrame:
+    """Random factors in [0, 1) / d for the distinct ids of a column: (id, x)."""
+    return ids.select(F.col(key).alias("id")).distinct().select("id", F.array(*(F.rand(seed + k) / d for k in range(d))).alias("x"))
+
+
 def item_bias(ratings: DataFrame, key: str = "i") -> DataFrame:
     """(id, x): mean rating."""
     return ratings.groupBy(F.col(key).alias("id")).agg(F.array(F.avg("r")).alias("x"))

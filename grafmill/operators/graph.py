@@ -41,10 +41,11 @@ def dense_importance(values: DataFrame, channels: int) -> DataFrame:
     return values.groupBy("id").agg(F.array(*map(slot, range(channels))).alias("v"))
 
 
-def pagerank(edges: DataFrame, iterations: int = 100, alpha: float = 0.9, channels: int = 1, restart: DataFrame | None = None, start: DataFrame | None = None) -> DataFrame:
+def pagerank(edges: DataFrame, iterations: int = 100, alpha: float = 0.9, channels: int = 1, restart: DataFrame | None = None, start: DataFrame | None = None, tol: float | None = None) -> DataFrame:
     """(id, v): p'(a) = alpha * sum p(b) * w / links(b) + (1 - alpha) * restart(a). Mass of nodes without out-links is dropped.
 
-    ``restart`` and ``start`` are (id, v); uniform if not given, 0 for nodes they lack.
+    ``restart`` and ``start`` are (id, v); uniform if not given, 0 for nodes they lack. With ``tol`` the walk ends early, once no
+    number of a step moves by more than that.
     """
     ids = settle(nodes(edges))
     even = uniform_importance(ids, channels)
@@ -58,7 +59,16 @@ def pagerank(edges: DataFrame, iterations: int = 100, alpha: float = 0.9, channe
         got = sent.groupBy("id").agg(vec.vsum("x", channels).alias("x"))
         return back.join(got, "id", "left").select("id", vec.axpy(vec.scale(F.col("back"), 1 - alpha), alpha, F.coalesce("x", zero)).alias("v"))
 
-    return iterate(dense(start), step, iterations)
+    def still(old: DataFrame, new: DataFrame) -> bool:
+        moved = new.join(old.select("id", F.col("v").alias("before")), "id").select(F.array_max(F.zip_with("v", "before", lambda a, b: F.abs(a - b))).alias("d"))
+        return (moved.agg(F.max("d").alias("d")).head().d or 0.0) <= tol
+
+    return iterate(dense(start), step, iterations, stop=still if tol is not None else None)
+
+
+def missing(edges: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(n): links whose source has no vector; ranking drops them."""
+    return edges.join(vectors.select(F.col("id").alias("src")), "src", "left_anti").agg(F.count("*").alias("n"))
 
 
 def hits(edges: DataFrame, iterations: int, alpha: float = 0.9, normalize: bool = False) -> DataFrame:
@@ -160,10 +170,15 @@ def sketch_size() -> Column:
     return F.sum(F.pow(F.lit(2.0), vec.lowest_zero(F.col("mask")).cast("double")) / F.lit(0.77351))
 
 
-def neighbourhood(edges: DataFrame, most: int) -> DataFrame:
-    """(h, n): the neighbourhood function for h = 0..most."""
+def neighbourhood(edges: DataFrame, most: int, in_neighbours: bool = False) -> DataFrame:
+    """(h, n): the neighbourhood function for h = 0..most. ``in_neighbours``: nodes start with the bits of those that link
+    to them instead of their own."""
     edges = settle(edges.select("src", "dst"))
-    masks, out = sketch(nodes(edges)), None
+    ids = nodes(edges)
+    masks, out = sketch(ids), None
+    if in_neighbours:
+        got = edges.join(masks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.bit_or("mask").alias("mask"))
+        masks = ids.join(got, "id", "left").select("id", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
     for h in range(most + 1):
         row = masks.agg(sketch_size().alias("n")).select(F.lit(h).cast("long").alias("h"), "n")
         out = row if out is None else out.unionByName(row)

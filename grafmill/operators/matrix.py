@@ -28,6 +28,12 @@ def sparse_dense(a: DataFrame, b: DataFrame, d: int) -> DataFrame:
     return joined.select(a["id"], vec.scale(F.col("row"), F.col("val")).alias("z")).groupBy("id").agg(vec.vsum("z", d).alias("x"))
 
 
+def in_blocks(rows: DataFrame, key: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """Rows dealt by hash over blocks of about ``size`` (``block``), and one row (``blocks``) with their number."""
+    n = rows.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("long").alias("blocks"))
+    return rows.join(F.broadcast(n)).withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks"))).drop("blocks"), n
+
+
 def dense_ids(ids: DataFrame, column: str, width: int = 1_000_000) -> DataFrame:
     """(id, ix): distinct ids in order, numbered from 0. Ranks run within ranges of ``width`` ids and over
     the ranges' counts, so no task sees all ids."""

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grafmill.operators.matrix import in_blocks
 from grafmill.plans.iterate import iterate, settle
 
 #: A variance below this share of the sum of squares is rounding, and counts as zero.
@@ -71,10 +72,10 @@ def predict_rated(neighbours: DataFrame, ratings: DataFrame) -> DataFrame:
 def predict_all(neighbours: DataFrame, ratings: DataFrame, block: int = 4096) -> DataFrame:
     """(u, i, score) dense: 0.0 where no neighbour rated the item. Users meet items by blocks, never one by one."""
     scores = predict_rated(neighbours, ratings)
-    items = ratings.select("i").distinct().groupBy(F.floor(F.col("i") / block).cast("long").alias("block")).agg(F.collect_list("i").alias("items"))
-    blocks = items.agg(F.collect_list("block").alias("blocks"))  # one row: a number for each block of ids
-    grid = neighbours.select(F.col("a").alias("u")).distinct().join(F.broadcast(blocks)).select("u", F.explode("blocks").alias("block"))
-    grid = grid.join(items, "block").select("u", F.explode("items").alias("i"))
+    dealt, n = in_blocks(ratings.select("i").distinct(), "i", block)
+    items = dealt.groupBy("block").agg(F.collect_list("i").alias("items"))
+    users = neighbours.select(F.col("a").alias("u")).distinct().join(F.broadcast(n))  # one row: a number
+    grid = users.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(items, "block").select("u", F.explode("items").alias("i"))
     return grid.join(scores, ["u", "i"], "left").select("u", "i", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 

@@ -217,6 +217,11 @@ def matrix_init(spark, sf_dir):
     return flat({"v": cf.starting(view(spark, sf_dir, "ratings_cp"), "i", 2, 3)}, "v")
 
 
+@query(None)
+def matrix_init_random(spark, sf_dir):
+    return flat({"v": cf.random_start(view(spark, sf_dir, "ratings_cp"), "i", 2, 3)}, "v")
+
+
 P = dot("u", "v")
 S = f"(1 / (1 + exp(-{P})))"
 VALUES = {
@@ -227,12 +232,12 @@ VALUES = {
 }
 
 
-@query(" union all ".join(f"select '{name}' as name, round(sum({value}), 6) + 0 as loss, count(*) as cnt from j where {where}" for name, (value, where) in VALUES.items()), f"{UV_START}, j as ({joined('ratings_s', UV, 0)})")
+@query(" union all ".join(f"select '{name}' as name, round(sum({value}), 6) + 0 as loss, cast(sum(cast(trunc(({value}) * 1000) as bigint)) as bigint) as thousandths, count(*) as cnt from j where {where}" for name, (value, where) in VALUES.items()), f"{UV_START}, j as ({joined('ratings_s', UV, 0)})")
 def loss_metric(spark, sf_dir):
     ratings, out = view(spark, sf_dir, "ratings_s"), None
     params = factors(ratings)
     for name in VALUES:
-        one = cf.loss_metric(ratings, params, getattr(cf, name)()).select(F.lit(name).alias("name"), vec.rounded(F.col("loss"), 6).alias("loss"), "cnt")
+        one = cf.loss_metric(ratings, params, getattr(cf, name)()).select(F.lit(name).alias("name"), vec.rounded(F.col("loss"), 6).alias("loss"), "thousandths", "cnt")
         out = one if out is None else out.unionByName(one)
     return out
 

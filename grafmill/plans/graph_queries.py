@@ -77,6 +77,11 @@ def pagerank_multichannel(spark, sf_dir):
     return out.select("id", F.posexplode("v").alias("k", "v")).select("id", F.col("k").cast("long").alias("k"), vec.rounded(F.col("v")).alias("v"))
 
 
+@query("select count(*) as n from edges where src not in (select id from node_map)")
+def missing_vectors(spark, sf_dir):
+    return graph.missing(view(spark, sf_dir, "edges"), view(spark, sf_dir, "node_map"))
+
+
 HITS = ", ".join(
     f"a{t} as (select n.id, coalesce(x, 0) v from n left join (select dst, {ALPHA}e0 * sum(v * p) x from e join h{t - 1} on id = src group by dst) on dst = n.id), "
     f"h{t} as (select n.id, coalesce(x, 0) v from n left join (select dst, {ALPHA}e0 * sum(v * p) x from b join a{t} on id = src group by dst) on dst = n.id)"
