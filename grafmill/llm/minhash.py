@@ -11,6 +11,7 @@
 4. Buckets that still hold several components are compared in full, signatures against signatures, as arrays, larger
    buckets as pairs of blocks; only rows of different components and of like sizes meet. First each text puts forward its
    nearest partner of another component, one pair a text again: copies of one text find it wherever its id stands.
+   Rows without a near one need not go further.
    In what is left each near pair is confirmed on full sets where it meets, in the first bucket that it shares, unless
    links found there connect it already; only links leave the task. So no link between components is lost,
    however large the bucket. A block holds at most BLOCK rows and about WEIGHT shingles.
@@ -37,7 +38,8 @@ from grafmill.llm.exact_dedup import possible
 BANDS, ROWS = 32, 4
 #: Rows of a bucket compared in one task at most.
 BLOCK = 4096
-MEMO = 400_000
+#: Words whose hashes a Python worker remembers.
+MEMO = 200_000
 #: Signature agreement below this much under the threshold is no link: 6 sigma of 128 minima.
 SLACK = 0.2
 #: Shingles of a block whose sets are compared in one task, about.
@@ -187,11 +189,11 @@ def _links(docs: DataFrame, sigs: DataFrame, k: int, percent: int) -> DataFrame
     width = 4 * ROWS
     keys = F.array(*(F.xxhash64(F.substring("sig", 1 + width * i, width), F.lit(i)) for i in range(BANDS)))
     bands = sigs.select("doc_id", "n_shingles", F.posexplode(keys).alias("band", "bucket"))
-    many = bands.groupBy("bucket").agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("other"), F.count("*").alias("n"), F.sum("n_shingles").alias("weight")).where("one <> other")
+    many = bands.groupBy("bucket").agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("other")).where("one <> other")
     # rows of a bucket of their own meet nobody
-    bands = materialize(bands.drop("n_shingles").join(many.drop("other"), "bucket"), "buckets")
+    bands = materialize(bands.join(many.drop("other"), "bucket"), "buckets")
     # one byte of each minimum: chance agreement of 1 in 256 only raises the estimate
-    short = sigs.select("doc_id", "n_shingles", F.expr("concat(" + ", ".join(f"substring(sig, {4 * i + 1}, 1)" for i in range(BANDS * ROWS)) + ")").alias("sig"))
+    short = sigs.select("doc_id", F.expr("concat(" + ", ".join(f"substring(sig, {4 * i + 1}, 1)" for i in range(BANDS * ROWS)) + ")").alias("sig"))
     least = percent / 100 - SLACK
 
     pairs = bands.where("doc_id <> one").groupBy(F.col("doc_id").alias("b")).agg(F.min("one").alias("a")).select("a", "b")
@@ -200,15 +202,17 @@ def _links(docs: DataFrame, sigs: DataFrame, k: int, percent: int) -> DataFrame
     links = materialize(_confirm(docs, near, k, percent), "links")
 
     rows = _blocks(_mixed(bands, links).join(short, "doc_id"), F.ceil(F.col("n") / BLOCK)).select(*_KEY, "doc_id", "component", "n_shingles", "sig")
-    found = _dealt(rows).mapInArrow(_by_blocks(_nearest(least, percent)), "doc long, partner long, agree int")
-    best = found.groupBy("doc").agg(F.max_by("partner", F.struct("agree", -F.col("partner"))).alias("partner"))
+    found = materialize(_dealt(rows).mapInArrow(_by_blocks(_nearest(least, percent)), "bucket long, doc long, partner long, agree int"), "found")
+    best = found.where("partner is not null").groupBy("doc").agg(F.max_by("partner", F.struct("agree", -F.col("partner"))).alias("partner"))
     near = materialize(best.select(F.least("doc", "partner").alias("a"), F.greatest("doc", "partner").alias("b")).distinct(), "candidates")
     if not near.isEmpty():
         links = links.unionByName(materialize(_confirm(docs, near, k, percent), "links"))
 
+    # only rows that have a near one of another component in their bucket
+    bands = bands.join(found.select("bucket", F.col("doc").alias("doc_id")).distinct(), ["bucket", "doc_id"])
     mixed = _mixed(bands, links)
     sets = possible(docs, mixed.select("doc_id")).mapInArrow(_sets(k), "doc_id long, found binary")
-    told = sigs.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi").join(sets, "doc_id").dropDuplicates(["doc_id"])
+    told = sigs.drop("n_shingles").join(mixed.select("doc_id").distinct(), "doc_id", "left_semi").join(sets, "doc_id").dropDuplicates(["doc_id"])
     rows = _blocks(mixed.join(materialize(told, "sets"), "doc_id"), F.ceil(F.greatest(F.col("n") / (BLOCK // 2), F.col("weight") / WEIGHT))).select(*_KEY, "doc_id", "component", "n_shingles", "sig", "band", "found")
     links = links.unionByName(materialize(_dealt(rows).mapInArrow(_by_blocks(_linked(least, percent)), "a long, b long"), "links"))
     return None if links.isEmpty() else links
@@ -218,14 +222,14 @@ _KEY = ("bucket", "lo", "hi", "own")
 
 
 def _mixed(bands: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows (bucket, doc_id, ..., component) of the buckets that hold several components."""
+    """Rows (bucket, doc_id, ..., component) of the buckets that hold several components; n rows of ``weight`` shingles each."""
     if links.isEmpty():
         left = bands.withColumn("component", F.col("doc_id"))
     else:
         left = bands.join(components(links), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     left = materialize(left, "labelled")
-    still = left.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    return materialize(left.join(still, "bucket"), "mixed")
+    still = left.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"), F.sum("n_shingles").alias("weight")).where("x <> y")
+    return materialize(left.join(still.drop("x", "y"), "bucket"), "mixed")
 
 
 def _blocks(rows: DataFrame, blocks: Column) -> DataFrame:
@@ -258,7 +262,7 @@ def _by_blocks(compare):
         def done() -> pa.RecordBatch:
             out = compare(pa.Table.from_batches(group))
             group.clear()
-            return pa.RecordBatch.from_pydict({name: pa.array(x) for name, x in out.items()})
+            return pa.RecordBatch.from_pydict({name: x if isinstance(x, pa.Array) else pa.array(x) for name, x in out.items()})
 
         for b in batches:
             if not b.num_rows:
@@ -305,16 +309,20 @@ class _Block:
 
 
 def _nearest(least: float, percent: int):
-    def run(table: pa.Table) -> dict[str, np.ndarray]:
+    """Each row that has a near one of another component in its bucket; where it looked for it itself, with the nearest."""
+
+    def run(table: pa.Table) -> dict[str, pa.Array]:
         block = _Block(table, least, percent, np.uint8)
-        doc, partner, agree = [], [], []
+        partner, agree = np.full(len(block.doc), -1), np.zeros(len(block.doc), np.int32)
+        met = np.zeros(len(block.doc), bool)
         for i in block.seekers:
             j, a, _ = block.near(i)
             if len(j):
-                doc.append(block.doc[i])
-                partner.append(block.doc[j[0]])
-                agree.append(a[0])
-        return {"doc": np.array(doc, np.int64), "partner": np.array(partner, np.int64), "agree": np.array(agree, np.int32)}
+                met[i] = met[j] = True
+                partner[i], agree[i] = j[0], a[0]
+        at = np.flatnonzero(met)
+        nobody = partner[at] < 0
+        return {"bucket": np.full(len(at), table["bucket"][0].as_py(), np.int64), "doc": block.doc[at], "partner": pa.array(block.doc[partner[at]], mask=nobody), "agree": agree[at]}
 
     return run
 
