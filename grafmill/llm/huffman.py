@@ -33,6 +33,8 @@ from grafmill.llm.word_bpe import byte_alphabet
 LIMIT = 18
 STEP = 256
 BLOCK = 1 << 18
+#: A part has about 2**28 ids, or the PARTS-th of all; a part is written as a stream of blocks, so its size takes no memory.
+PARTS = 5000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _ENCODERS: dict[str, object] = {}
@@ -286,10 +288,11 @@ def crc32_combine(a: int, b: int, len_b: int) -> int:
 def huffman_file(docs: DataFrame, tokenizer: str, end_id: int = 2, parts: int | None = None) -> tuple[DataFrame, np.ndarray]:
     """Write all documents; (blocks, code lengths) are what read() takes."""
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_vocab = encoder(tokenizer).n_vocab
     tokens = materialize(tokenize(docs, tokenizer, end_id), "tokens")
-    lengths = code_lengths(counts(tokens, n_vocab))
+    seen = counts(tokens, n_vocab)
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(PARTS, int(seen.sum()) >> 28))
+    lengths = code_lengths(seen)
     return write(tokens, lengths, n_vocab, parts), lengths
 
 
