@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -203,13 +204,28 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+class Covered:
+    """Base spans by kind, sorted: what a stretch meets is found by bisection, whatever their number."""
+
+    def __init__(self, base: list[Span]):
+        self.spans = [sorted((a, b) for k, a, b in base if k == kind) for kind in range(len(BASE))]
+
+    def kind(self, a: int, b: int, share: float) -> int:
+        """1 + the first kind that covers more than ``share`` of a..b, or 0. Spans of one kind don't overlap."""
+        for k, spans in enumerate(self.spans):
+            for i in range(max(0, bisect_right(spans, (a, a)) - 1), len(spans)):
+                s, e = spans[i]
+                if s >= b:
+                    break
+                if min(b, e) - max(a, s) > share * (b - a):
+                    return k + 1
+        return 0
+
+
 def distant(text: str, spots: list[tuple[int, int]], base: list[Span]) -> list[int]:
     """Labels that training takes for true."""
-    out = []
-    for a, b in spots:
-        kind = next((k + 1 for k, s, e in base if min(b, e) - max(a, s) > (b - a) // 2), 0)
-        out.append(kind or (LABELS.index("secret") if secretive(text[a:b]) else 0))
-    return out
+    covered = Covered(base)
+    return [covered.kind(a, b, 0.5) or (LABELS.index("secret") if secretive(text[a:b]) else 0) for a, b in spots]
 
 
 def observed(text: str) -> Counter:
@@ -262,7 +278,8 @@ def added_spans(field: Field, text: str, base: list[Span]) -> list[Span]:
     spots = candidates(text)
     if not spots:
         return []
-    free = [i for i, (a, b) in enumerate(spots) if all(e <= a or b <= s for _, s, e in base)]
+    covered = Covered(base)
+    free = [i for i, (a, b) in enumerate(spots) if not covered.kind(a, b, 0)]
     if not free:
         return []
     belief = field.marginals(text, spots)
