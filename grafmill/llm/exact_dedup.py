@@ -83,7 +83,6 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    spark = docs.sparkSession
     docs = texts(docs)
     meta = materialize(docs.mapInArrow(_fingerprints, "doc_id long, fp long, n_bytes long, text_sha256 string"), "fingerprints")
     key = ["fp", "n_bytes"]
@@ -98,7 +97,6 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         meta = meta.join(differ.withColumn("apart", F.lit(True)), "doc_id", "left").withColumn("apart", F.when(F.col("apart"), F.col("text_sha256")).otherwise(""))
         key = [*key, "apart"]
         shared = meta.groupBy(*key).agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id")).where("n > 1")
-    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     out = meta.withColumn("salt", salt).join(salted(shared), [*key, "salt"], "left")
     keep = F.coalesce("keep_id", "doc_id")
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("doc_id") == keep, F.lit(True)).alias("kept"), "text_sha256")
