@@ -50,10 +50,15 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+#: Rows of an Arrow batch: texts can be long, and a Python worker holds a batch as buffers and as strings.
+BATCH = 1000
+
 
+def small_batches(spark: SparkSession) -> None:
+    """Queries and pipeline stages set this for their session; operators called by themselves leave it as it is."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
 
-def arrow_batches(spark: SparkSession, n: int = 1000) -> None:
-    """Bound what a Python worker holds at once; texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -37,6 +37,8 @@ CAPACITY = 4096
 GROUPS = 24
 LARGE = 1 / 8
 BUCKETS = 256
+#: Words whose ids a Python worker remembers.
+MEMO = 200_000
 
 
 #: Stands for a word's end: a byte that UTF-8 never has.
@@ -77,14 +79,14 @@ class _Known(dict):
 
     def __init__(self, lib: _Library):
         super().__init__()
-        self.split, self.encode, self.memo = lib.bpe.split.findall, lib.core.encode_single_piece, lib.bpe.memo
+        self.split, self.encode = lib.bpe.split.findall, lib.core.encode_single_piece
 
     def __missing__(self, word: str) -> bytes:
         found: list[int] = []
         for p in (word,) if word.isascii() and word.isalpha() else self.split(word):
             found += self.encode(p.encode() + END)
         out = struct.pack(f"<{len(found)}I", *found)
-        if len(self) >= self.memo:
+        if len(self) >= MEMO:
             self.clear()
         if len(word) <= 256:
             self[word] = out

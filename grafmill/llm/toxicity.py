@@ -37,7 +37,8 @@ SAMPLE = 20_000
 LEAST_TOXIC, LEAST_ODDS = 4, 2.5
 #: Lexicon entries, at most: the strongest. Bounded by SAMPLE in any case.
 LEXICON = 50_000
-MEMO = 200_000
+#: What a Python worker remembers at most: tokens, words' features, features counted before they are passed on.
+MEMO, FEATURES_MEMO, COUNTED = 200_000, 20_000, 250_000
 
 ALPHABET = "\0abcdefghijklmnopqrstuvwxyzàáâäçèéêëíîïñóôöùúûüß\1"  # \0: word edge, \1: any other letter
 _CODE = {c: i for i, c in enumerate(ALPHABET)}
@@ -119,9 +120,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for b in batches:
             for text in b.column(0).to_pylist():
                 seen.update(text.lower().split())
-            if len(seen) > MEMO:
-                yield _counted(seen)
-                seen.clear()
+                if len(seen) > MEMO:
+                    yield _counted(seen)
+                    seen.clear()
         yield _counted(seen)
 
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -225,7 +226,7 @@ class Scorer(Restorer):
 
     def of_token(self, raw: str) -> float:
         out = max(map(self.weight, self.read(raw)), default=0.0)
-        if len(self.weights) >= 2 * MEMO:
+        if len(self.weights) >= MEMO:
             self.weights.clear()
         if len(raw) <= 64:
             self.weights[raw] = out
@@ -255,7 +256,8 @@ def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = known.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     # bounded: SAMPLE rows of two numbers
-    return docs.join(F.broadcast(known), "doc_id").select("doc_id", "text", "toxic")
+    # a doc_id that several rows share counts once, with its least text
+    return docs.join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
 
 
 def fit_lexicon(rows: DataFrame, model: CharModel) -> dict[str, float]:
@@ -278,11 +280,11 @@ def fit_lexicon(rows: DataFrame, model: CharModel) -> dict[str, float]:
                     if n is None:
                         n = seen[f] = [0, 0]
                     n[1 - toxic] += 1
-            if len(memo) > MEMO:
-                memo.clear()
-            if len(seen) > 1_000_000:
-                yield _told(seen)
-                seen.clear()
+                if len(memo) > FEATURES_MEMO:
+                    memo.clear()
+                if len(seen) > COUNTED:
+                    yield _told(seen)
+                    seen.clear()
         yield _told(seen)
 
     def _told(seen: dict[str, list[int]]) -> pa.RecordBatch:
