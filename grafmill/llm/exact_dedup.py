@@ -10,7 +10,7 @@ table of fixed size (BITS words, whatever the corpus) tells on the scan which ro
 
 Defined results: a null text is the empty text; all empty texts are one group; of equal texts the row
 with the largest doc_id stays; rows that repeat one doc_id with one text count as rows of their group
-and share its verdict; an empty table gives an empty result; further columns are ignored.
+and share its verdict; a row without doc_id stays only where no equal text has one; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -99,7 +99,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         shared = meta.groupBy(*key).agg(F.count("*").alias("n"), F.max("doc_id").alias("keep_id")).where("n > 1")
     out = meta.withColumn("salt", salt).join(salted(shared), [*key, "salt"], "left")
     keep = F.coalesce("keep_id", "doc_id")
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("doc_id") == keep, F.lit(True)).alias("kept"), "text_sha256")
+    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
 def _bit(column: str, salt: int) -> tuple:

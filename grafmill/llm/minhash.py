@@ -18,8 +18,8 @@
 5. Links go through alternating large-star and small-star steps, until nothing changes.
 
 Defined results: null text as empty; empty texts are kept, each its own component; equal rows fall into one class;
-rows that repeat one doc_id are one document (one row each, same verdict); an empty table gives an
-empty result; further columns are ignored.
+rows that repeat one doc_id are one document (one row each, same verdict); a row without doc_id is linked with
+equal sets alone; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         component = members.withColumn("component_id", F.col("rep"))
     else:
         component = members.join(components(links).select(F.col("doc_id").alias("rep"), "component"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
-    return component.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return component.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _links(docs: DataFrame, sigs: DataFrame, k: int, percent: int) -> DataFrame | None:

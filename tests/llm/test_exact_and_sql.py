@@ -28,6 +28,11 @@ def test_exact_odd_rows(spark, frame):
     assert rows_of(exact_dedup.exact_dedup(frame(ODD))) == brute.exact(ODD)
 
 
+def test_rows_without_id(spark, frame):
+    out = exact_dedup.exact_dedup(frame([(None, "x"), (3, "x"), (None, "y")])).collect()
+    assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in out) == [(0, 0, 1, True), (0, 3, 2, False), (3, 3, 2, True)]
+
+
 def test_equal_fingerprints_of_different_texts(spark, frame, monkeypatch):
     def colliding(batches):
         import hashlib

@@ -23,6 +23,12 @@ def test_odd_rows(spark, frame):
     assert sorted(set(got)) == want and len(got) == len(ODD)
 
 
+def test_rows_without_id(spark, frame):
+    rows = [(None, "a b c d e f"), (4, "a b c d e f"), (None, "something else entirely here"), (None, None)]
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash.near_duplicates(frame(rows), 3, 85).collect())
+    assert got == [(0, 0, True), (0, 0, True), (0, 4, False), (4, 4, True)]
+
+
 def test_empty_table(spark, frame):
     assert minhash.near_duplicates(frame([]), 3, 85).count() == 0
 
