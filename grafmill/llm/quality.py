@@ -30,6 +30,8 @@ MOST_STUTTER = 0.3
 SPACE = "[\\\\x20\\\\x09-\\\\x0D]"
 NAVIGATION = r"(?i)^\W*(home|menu|login|log in|sign in|sign up|register|search|next|previous|back to top|skip to content|contact us|about us|share|tweet|subscribe|read more|more|archive|tags?|categories)(\W+(home|menu|login|log in|sign in|sign up|register|search|next|previous|contact|about|us|faq|share|tweet|help|news|blog|shop|more|sitemap))*\W*$"
 BOILERPLATE = r"(?i)(all rights reserved|copyright \W|©|terms of (use|service)|privacy policy|cookie policy|uses? cookies|enable javascript|javascript is (disabled|required)|click here|lorem ipsum|powered by|page not found|unsubscribe)"
+#: Items set apart by bars.
+SEPARATED = r"(\|[^|]*){3}"
 TERMINAL = r"[.!?…:;][\"'”’»)\]]*[\x20\x09-\x0D]*$"
 
 
@@ -41,7 +43,7 @@ def lines_of(text: Column) -> Column:
 def line_kept(line: Column) -> Column:
     """Whether a line passes all rules."""
     symbols = F.length(F.regexp_replace(line, r"[^#*$%&|<>{}=~^\\]+", ""))
-    return line.rlike(TERMINAL) & ~line.rlike(NAVIGATION) & ~line.rlike(BOILERPLATE) & (symbols * 10 <= F.length(line))
+    return line.rlike(TERMINAL) & ~line.rlike(NAVIGATION) & ~line.rlike(SEPARATED) & ~line.rlike(BOILERPLATE) & (symbols * 10 <= F.length(line))
 
 
 def judge(docs: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from grafmill.llm import pii as _op1
 from grafmill.llm import quality as _op2
 from grafmill.llm import toxicity as _op3
 from grafmill.llm import word_bpe as _op6
-from grafmill.llm.common import documents
+from grafmill.llm.common import documents, small_batches
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -34,6 +34,7 @@ def op3_toxicity(spark, sf_dir):
 
 
 def op4_html_extract(spark, sf_dir):
+    small_batches(spark)
     return _op4.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
@@ -91,7 +92,7 @@ m AS (
   SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(k, 0) AS BIGINT) AS n_repeat_words, CAST(len(ls) AS BIGINT) AS n_lines, stutter,
-    list_filter(ls, lambda x: regexp_matches(x, '[.!?…:;]["''”’»)\]]*[\x20\x09-\x0D]*$') AND NOT regexp_matches(x, '{_op2.NAVIGATION}')
+    list_filter(ls, lambda x: regexp_matches(x, '[.!?…:;]["''”’»)\]]*[\x20\x09-\x0D]*$') AND NOT regexp_matches(x, '{_op2.NAVIGATION}') AND NOT regexp_matches(x, '{_op2.SEPARATED}')
       AND NOT regexp_matches(x, '{_op2.BOILERPLATE.replace(chr(92) + "u00a9", chr(0xA9))}') AND 10 * length(regexp_replace(x, '[^#*$%&|<>{{}}=~^\\]+', '', 'g')) <= length(x)) AS good
   FROM w JOIN s USING (doc_id) LEFT JOIN r USING (doc_id)),
 v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, length(regexp_replace(array_to_string(good, ' '), '[\x20\x09-\x0D]+', '', 'g')) AS remaining FROM m)
