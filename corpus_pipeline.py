@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from grafmill.llm import exact_dedup, minhash, packing, pii, toxicity
-from grafmill.llm.common import shared_dir
+from grafmill.llm.common import shared_dir, small_batches
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -24,24 +24,29 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return _without(docs, toxicity.score_toxicity(docs, labels).where("predicted = 1"))
 
 
 def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return _without(docs, exact_dedup.exact_dedup(docs).where("not kept"))
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return _without(docs, minhash.near_duplicates(docs).where("not kept"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by its kind; texts without any stay as they are."""
+    small_batches(spark)
     return pii.redact_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.best_fit_packing(docs, WORD_BPE)
 
 
