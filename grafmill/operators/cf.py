@@ -217,32 +217,41 @@ def columns(df: DataFrame) -> dict[str, Column]:
 def batch_step(records: DataFrame, params: dict[str, DataFrame], loss: Loss, dims: dict[str, int], lr: float, lam: float, tie: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """One full-batch step: every record's gradient at the old parameters, averaged for each row, x - lr * average.
 
-    ``tie``: roles that are one parameter frame (va and vb of a preference are both rows of V).
+    ``tie``: roles that are one parameter frame (va and vb of a preference are both rows of V). Gradients of all roles come
+    from one pass over the records and meet in one shuffle, combined before it; the result is computed here, as one table.
     """
     joined = with_parameters(records, params, loss.roles)
     if loss.where is not None:
         joined = joined.where(loss.where(columns(joined)))
     grads = loss.gradient(columns(joined), lam)
-    keys = dict.fromkeys([*loss.roles.values(), *loss.per.values()])
-    told = joined.select(*keys, *(g.alias(f"g_{role}") for role, g in grads.items()))
-    out = dict(params)
-    groups: dict[str, list[str]] = {}
-    for role in loss.roles:
-        groups.setdefault((tie or {}).get(role, role), []).append(role)
-    for name, roles in groups.items():
-        parts = [told.select(F.col(loss.roles[r]).alias("id"), *([F.col(loss.per[r]).alias("per")] if r in loss.per else []), F.col(f"g_{r}").alias("g")) for r in roles]
-        one = parts[0]
-        for more in parts[1:]:
-            one = one.unionByName(more)
-        d = dims[roles[0]]
-        if roles[0] in loss.per:
-            mean = one.groupBy("id", "per").agg(vec.vavg("g", d).alias("g")).groupBy("id").agg((vec.vavg if loss.mean else vec.vsum)("g", d).alias("g"))
-        else:
-            mean = one.groupBy("id").agg(vec.vavg("g", d).alias("g"))
-        new = params[roles[0]].join(mean, "id", "left").select("id", F.when(F.col("g").isNull(), F.col("x")).otherwise(vec.axpy(F.col("x"), -lr, F.col("g"))).alias("x"))
-        for r in {*roles, name} & set(params):
-            out[r] = new
-    return out
+    name = {r: (tie or {}).get(r, r) for r in loss.roles}
+    each = [F.struct(F.lit(name[r]).alias("role"), F.col(key).alias("id"), grads[r].alias("g")) for r, key in loss.roles.items() if r not in loss.per]
+    mean = None
+    if each:
+        mean = mean_gradients(joined.select(F.explode(F.array(*each)).alias("one")).select("one.*"), max(dims[r] for r in loss.roles if r not in loss.per))
+    for r, per in loss.per.items():
+        d = dims[r]
+        inner = joined.select(F.col(loss.roles[r]).alias("id"), F.col(per).alias("per"), grads[r].alias("g")).groupBy("id", "per").agg(vec.vavg("g", d).alias("g"))
+        own = inner.groupBy("id").agg((vec.vavg if loss.mean else vec.vsum)("g", d).alias("g")).select(F.lit(name[r]).alias("role"), "id", "g")
+        mean = own if mean is None else mean.unionByName(own)
+    new = moved_by({n: params[r] for r, n in name.items()}, mean, lr)
+    return dict(params) | {r: new[n] for r, n in name.items()} | {n: new[n] for n in name.values() if n in params}
+
+
+def mean_gradients(gradients: DataFrame, width: int) -> DataFrame:
+    """(role, id, g) of many records -> their mean for each row; arrays shorter than ``width`` end in nulls."""
+    return gradients.groupBy("role", "id").agg(F.array(*(F.avg(F.get("g", F.lit(k))) for k in range(width))).alias("g"))
+
+
+def moved_by(params: dict[str, DataFrame], mean: DataFrame, lr: float) -> dict[str, DataFrame]:
+    """Parameter frames after x - lr * g, for rows that have a g (role, id, g). One table, computed here, serves all."""
+    old = None
+    for name, df in params.items():
+        one = df.select(F.lit(name).alias("role"), "id", "x")
+        old = one if old is None else old.unionByName(one)
+    step = vec.axpy(F.col("x"), -lr, F.slice("g", 1, F.size("x")))
+    new = settle(old.join(mean, ["role", "id"], "left").select("role", "id", F.when(F.col("g").isNull(), F.col("x")).otherwise(step).alias("x")))
+    return {name: new.where(F.col("role") == name).select("id", "x") for name in params}
 
 
 def loss_metric(records: DataFrame, params: dict[str, DataFrame], loss: Loss) -> DataFrame:
@@ -256,18 +265,14 @@ def loss_metric(records: DataFrame, params: dict[str, DataFrame], loss: Loss) ->
 
 def collective_step(frames: list[tuple[DataFrame, str, str, float]], params: dict[str, DataFrame], d: int, lr: float, lam: float) -> dict[str, DataFrame]:
     """Several matrices sharing factors: (records (a, b, r), left role, right role, weight); one average a row over all."""
-    loss, parts = square(), []
+    loss, parts = square(), None
     for records, left, right, weight in frames:
         joined = with_parameters(records.select(F.col("a").alias("u"), F.col("b").alias("i"), "r"), {"u": params[left], "v": params[right]}, {"u": "u", "v": "i"})
         g = loss.gradient(columns(joined), lam)
-        for role, key, name in ((left, "u", "u"), (right, "i", "v")):
-            parts.append(joined.select(F.lit(role).alias("role"), F.col(key).alias("id"), vec.scale(g[name], weight).alias("g")))
-    one = parts[0]
-    for p in parts[1:]:
-        one = one.unionByName(p)
-    mean = one.groupBy("role", "id").agg(vec.vavg("g", d).alias("g"))
-    step = lambda role: params[role].join(mean.where(F.col("role") == role), "id", "left").select("id", F.when(F.col("g").isNull(), F.col("x")).otherwise(vec.axpy(F.col("x"), -lr, F.col("g"))).alias("x"))
-    return {role: step(role) for role in params}
+        both = F.array(*(F.struct(F.lit(role).alias("role"), F.col(key).alias("id"), vec.scale(g[name], weight).alias("g")) for role, key, name in ((left, "u", "u"), (right, "i", "v"))))
+        one = joined.select(F.explode(both).alias("one")).select("one.*")
+        parts = one if parts is None else parts.unionByName(one)
+    return moved_by(params, mean_gradients(parts, d), lr)
 
 
 # ---------------------------------------------------------------------------------------------- sequential step

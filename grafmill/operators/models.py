@@ -16,6 +16,15 @@ from grafmill.operators import cf, neighbours
 from grafmill.plans.iterate import settle
 
 
+def _settled(params: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Each frame computed once; roles that share a frame keep sharing it."""
+    done: dict[int, DataFrame] = {}
+    for df in params.values():
+        if id(df) not in done:
+            done[id(df)] = settle(df)
+    return {k: done[id(df)] for k, df in params.items()}
+
+
 @dataclass
 class Factorization:
     """One matrix or tensor. Losses' parameters (r0, r1, rf, ...) go to ``loss`` by name."""
@@ -54,12 +63,12 @@ class Factorization:
 
     def fit(self, records: DataFrame, steps: int = 100, params: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
         records = settle(records)
-        params = {k: settle(v) for k, v in (params or self.start(records)).items()}
+        params = _settled(params or self.start(records))
         dims = self._dims(records, self.loss().roles)
         for t in range(steps):
             params = self._step(records, params, dims)
-            if t + 1 < steps:
-                params = {k: settle(v) for k, v in params.items()}
+            if t + 1 < steps and self.solver != "batch":  # a batch step's result is computed already
+                params = _settled(params)
         return params
 
     def _step(self, records: DataFrame, params: dict[str, DataFrame], dims: dict[str, int]) -> dict[str, DataFrame]:
@@ -132,14 +141,14 @@ class Collective:
         pair = lambda df, a, b: settle(df.select(F.col(a).alias("a"), F.col(b).alias("b"), "r"))
         mu, ms, mv = pair(mu, "u", "i"), pair(ms, "u", "s"), pair(mv, "i", "s")
         params = {"u": cf.starting(mu, "a", 1, self.d), "v": cf.starting(mu, "b", 2, self.d), "s": cf.starting(ms, "b", 3, self.d, divide=False)}
-        params = {k: settle(v) for k, v in params.items()}
+        params = _settled(params)
         for t in range(steps):
             if self.solver == "sequential":
                 params = cf.collective_fold_step(mu, ms, mv, params, self.lr, self.lam, self.lam_s, self.lam_v)
             else:
                 params = cf.collective_step([(mu, "u", "v", 1.0), (ms, "u", "s", self.lam_s), (mv, "v", "s", self.lam_v)], params, self.d, self.lr, self.lam)
-            if t + 1 < steps:
-                params = {k: settle(v) for k, v in params.items()}
+            if t + 1 < steps and self.solver != "batch":
+                params = _settled(params)
         return params
 
     def predict_pairs(self, pairs: DataFrame, params: dict[str, DataFrame]) -> DataFrame:
