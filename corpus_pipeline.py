@@ -11,16 +11,24 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from grafmill.llm import exact_dedup, minhash, packing, pii, toxicity
-from grafmill.llm.common import shared_dir, small_batches
+from grafmill.llm.common import materialize, shared_dir, small_batches
+from grafmill.llm.exact_dedup import flagged
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows whose doc_id is not in ``gone``; a row without doc_id stays."""
-    return docs.join(gone.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Rows whose doc_id is not in ``gone``; a row without doc_id stays.
+
+    A table of fixed size tells on the scan which rows may be in it; only these are shuffled.
+    """
+    ids = materialize(gone.select("doc_id").where("doc_id is not null").distinct(), "gone")
+    rows = flagged(docs.select("doc_id", F.struct(*docs.columns).alias("row")), ids)
+    left = rows.where("maybe").join(ids, "doc_id", "left_anti")
+    return rows.where("not maybe").unionByName(left).select("row.*")
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
