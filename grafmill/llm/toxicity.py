@@ -6,6 +6,7 @@
 2. A token that looks obfuscated (digits or symbols among letters, runs of one letter, letters set apart by
    spaces or punctuation) becomes a lattice: each character may stand for itself, for the letters it imitates, be
    a separator to delete or one more of a run. Viterbi finds the likeliest word under channel costs and language model.
+   Letters set apart are joined, however many, and the lattice may also end a word and begin the next between any two.
 3. Labelled rows (labels.toxic, crc32(doc_id) mod 4 not 2; at most SAMPLE of them, those of least
    hash) give for each feature (word, word beginnings, inner n-grams) how many toxic and clean documents hold
    it. Features that tell enough make the lexicon; a word's weight is that of its best feature.
@@ -57,7 +58,7 @@ KEEP, SWAP, SWAP_WILD, DROP, RUN = 0.0, 1.5, 3.0, 1.0, 0.7
 _EDGE = re.compile(r"^[^\w@$!|]+|[^\w@$|]+$|(?<=[a-zà-ÿ])[$|!]+$")
 _NOISY = re.compile(r"[^\W\d_][\W\d_]+[^\W\d_]|^[\d@$!|]+[^\W\d_]|[^\W\d_][\d@$|]+$|([^\W\d_])\1\1")
 #: In the tokens' lengths: runs of tokens of one or two characters, letters set apart.
-_SHORT = re.compile(rb"[\x01\x02]{4,100}")
+_SHORT = re.compile(rb"[\x01\x02]{4,}")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -79,8 +80,15 @@ class CharModel:
 
     def restore(self, token: str) -> str:
         """The likeliest word behind a token."""
-        # states: the last two characters of the word so far; value: (cost, word)
-        beam: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        return self._decode(token, False)
+
+    def segment(self, letters: str) -> list[str]:
+        """The likeliest words behind joined letters: between any two a word may end."""
+        return self._decode(letters, True).split()
+
+    def _decode(self, token: str, edges: bool) -> str:
+        # states: the last two characters of the word so far; value: (cost, word as linked letters)
+        beam: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         last = ""
         for c in token:
             ways: list[tuple[str, float]] = []
@@ -93,21 +101,32 @@ class CharModel:
                 ways.append((x, (SWAP_WILD if len(LOOKS_LIKE[c]) > 2 else SWAP) + (1.5 if letter and c not in _CYRILLIC else 0)))
             if not letter:
                 ways.append(("", DROP if c in SEPARATORS else DROP + 3 if len(LOOKS_LIKE.get(c, "")) != 1 and c not in "1|6" else 9.0))
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (cost, word) in beam.items():
                 row = self.cost[a][b]
                 for x, channel in ways:
                     if x:
                         k = code(x)
-                        state, value = (b, k), cost + channel + row[k]
+                        state, value, link = (b, k), cost + channel + row[k], (word, x)
+                    elif letter and edges and not b:
+                        continue  # a word's first letter is no run of the word before
                     else:
-                        state, value = (a, b), cost + channel + 1.0
+                        state, value, link = (a, b), cost + channel + 1.0, word
                     if state not in new or value < new[state][0]:
-                        new[state] = (value, word + x)
+                        new[state] = (value, link)
             if len(new) > 24:
                 new = dict(sorted(new.items(), key=lambda t: t[1][0])[:24])
+            if edges:
+                ended = min(((cost + self.cost[a][b][0], word) for (a, b), (cost, word) in new.items() if b), key=lambda t: t[0], default=None)
+                if ended and ((0, 0) not in new or ended[0] < new[0, 0][0]):
+                    new[0, 0] = (ended[0], (ended[1], " "))
             beam, last = new, c
-        return min(((cost + self.cost[a][b][0], word) for (a, b), (cost, word) in beam.items()), default=(0, ""))[1]
+        word = min(((cost + (self.cost[a][b][0] if b or not edges else 0.0), word) for (a, b), (cost, word) in beam.items()), key=lambda t: t[0])[1]
+        out = []
+        while word:
+            word, x = word
+            out.append(x)
+        return "".join(reversed(out))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -162,9 +181,8 @@ def char_model(docs: DataFrame) -> CharModel:
 
 def features(word: str) -> set[str]:
     """The word, its beginnings and inner n-grams."""
-    w = word[:40]
-    out = {f"={w}", *(f"^{w[:k]}" for k in (4, 5, 6) if len(w) > k)}
-    out.update(w[i : i + k] for k in (5, 6) for i in range(len(w) - k + 1))
+    out = {f"={word}", *(f"^{word[:k]}" for k in (4, 5, 6) if len(word) > k)}
+    out.update(word[i : i + k] for k in (5, 6) for i in range(len(word) - k + 1))
     return out
 
 
@@ -188,18 +206,23 @@ class Restorer:
         if found is None:
             if len(self.tokens) >= MEMO:
                 self.tokens.clear()
-            found = self.tokens[raw] = self.read(raw)
+            found = self.read(raw)
+            if len(raw) <= 64:
+                self.tokens[raw] = found
         return found
 
-    def spaced(self, tokens: list[str]) -> list[str]:
-        """Words behind letters set apart: `i d i o t`, `i. d. i. o. t`."""
+    def runs(self, tokens: list[str]) -> list[list[str]]:
+        """Words behind each run of letters set apart: `i d i o t`, `i. d. i. o. t`."""
         out = []
         for m in _SHORT.finditer(bytes([min(n, 9) for n in map(len, tokens)])):
             letters = [t[0] for t in tokens[m.start() : m.end()] if len(t) == 1 or not t[1].isalnum()]
             if len(letters) >= 4:
-                out.append(self.model.restore("".join(letters)))
+                out.append(self.model.segment("".join(letters)))
         return out
 
+    def spaced(self, tokens: list[str]) -> list[str]:
+        return [w for run in self.runs(tokens) for w in run]
+
     def restored(self, text: str) -> str:
         """The text with each obfuscated token replaced by what is behind it."""
         return " ".join(self.token(w)[-1] if _NOISY.search(_EDGE.sub("", w)) else w for w in text.lower().split())
@@ -222,7 +245,7 @@ class Scorer(Restorer):
         self.any = bool(lexicon)
 
     def weight(self, word: str) -> float:
-        return max((w for _, w in self.found.iter(f"^{word[:40]}=")), default=0.0) if self.any else 0.0
+        return max((w for _, w in self.found.iter(f"^{word}=")), default=0.0) if self.any else 0.0
 
     def of_token(self, raw: str) -> float:
         out = max(map(self.weight, self.read(raw)), default=0.0)
@@ -242,7 +265,16 @@ class Scorer(Restorer):
                 x = self.of_token(w)
             if x:
                 strong.append(x)
-        strong += [x for w in self.spaced(tokens) if (x := self.weight(w))]
+        apart: dict[str, float] = {}
+        for run in self.runs(tokens):
+            known = {w: self.weight(w) for w in run}
+            # the run as one word, where words were cut wrongly: in place of the strongest of them
+            whole = self.weight("".join(run))
+            if known and whole > max(known.values()):
+                known[max(known, key=known.get)] = whole
+            for w, x in known.items():
+                apart[w] = max(x, apart.get(w, 0.0))
+        strong += filter(None, apart.values())
         return sum(sorted(strong, reverse=True)[:3])
 
 
@@ -268,12 +300,16 @@ def fit_lexicon(rows: DataFrame, model: CharModel) -> dict[str, float]:
         for b in batches:
             for text, toxic in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 tokens = text.lower().split()
-                words = {x for w in set(tokens) for x in restorer.token(w)} | set(restorer.spaced(tokens))
+                words = {x for w in set(tokens) for x in restorer.token(w)}
+                for run in restorer.runs(tokens):
+                    words.update(run, ["".join(run)])
                 found: set[str] = set()
                 for w in words:
                     f = memo.get(w)
                     if f is None:
-                        f = memo[w] = features(w)
+                        f = features(w)
+                        if len(w) <= 64:  # longer ones are not remembered
+                            memo[w] = f
                     found |= f
                 for f in found:
                     n = seen.get(f)

@@ -61,3 +61,14 @@ def test_without_labels(spark, frame):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.score for r in toxicity.score_toxicity(frame([(1, LONG)]), labels).collect()] == [0.0]
     assert toxicity.score_toxicity(frame([]), labels).count() == 0
+
+
+def test_letters_set_apart_of_any_number(words):
+    """Words far behind the start of a run are found, each as a word of its own."""
+    text = " ".join("wonderful garden and the people with house and little morning " * 3 + "idiot").replace("   ", " ")
+    assert len(text.split()) > 150
+    assert toxicity.Restorer(words).spaced(text.split())[-1] == "idiot"
+    scorer = toxicity.Scorer(words, {"=idiot": 3.0, "^moro": 2.0})
+    assert scorer.evidence(text) == 3.0 and scorer.evidence(f"x{'y' * 50}idiot") == 0.0
+    assert toxicity.Scorer(words, {"idiot": 3.0}).evidence(f"x{'y' * 50}idiot") == 3.0
+    assert "idiot" in toxicity.features(f"x{'y' * 50}idiot")
