@@ -9,7 +9,8 @@ construction, so a document's graph has its candidates alone:
 * skip potentials between occurrences of one token, and of tokens of the same digits, however far apart: each is
   linked with the one before it, so a token that occurs m times has m - 1 links.
 
-Loopy sum-product message passing gives each candidate's label; labels other than ``O`` outside the base spans
+Loopy sum-product message passing, in sweeps forwards and backwards through the document until no message changes by
+TOLERANCE, gives each candidate's label, so evidence reaches every occurrence; labels other than ``O`` outside the base spans
 become added spans (also of the kind ``secret``: keys, tokens, passwords). Weights are trained here by piecewise
 likelihood on at most SAMPLE documents with candidates, those of least hash, under distant labels: the base spans, and
 high-entropy tokens for ``secret``. Nothing else is sampled.
@@ -34,7 +35,8 @@ from pyspark.sql import functions as F
 from grafmill.llm.common import texts
 
 SAMPLE = 4000
-ROUNDS = 8
+#: Sweeps end when no message changes by more; those after PLAIN are damped. A bound, by the document's candidates, holds where loops never settle.
+TOLERANCE, PLAIN = 1e-3, 20
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
 LABELS = ("O", *KINDS)
@@ -179,23 +181,30 @@ class Field:
         chain, skip = links(text, spots)
         if not chain and not skip:
             return _softmax(phi)
-        one = np.array([*(e[0] for e in chain), *(e[0] for e in skip)])
-        two = np.array([*(e[1] for e in chain), *(e[1] for e in skip)])
-        table = np.concatenate([np.repeat(self.chain[None], len(chain), 0), np.repeat(self.skip[None], len(skip), 0)])
-        # each edge has a message either way; all are sent at once, damped
-        src, dst = np.concatenate([one, two]), np.concatenate([two, one])
-        table = np.concatenate([table, table.transpose(0, 2, 1)])
-        n = len(one)
-        back = np.concatenate([np.arange(n, 2 * n), np.arange(n)])
-        message = np.zeros((2 * n, L))
-        for _ in range(ROUNDS):
-            belief = phi.copy()
-            np.add.at(belief, dst, message)
-            out = belief[src] - message[back]
-            new = np.logaddexp.reduce(out[:, :, None] + table, axis=1)
-            message = 0.5 * message + 0.5 * (new - new.max(1, keepdims=True))
+        # every edge leads from an earlier candidate to a later one
+        edges = [*((i, j, self.chain) for i, j in chain), *((i, j, self.skip) for i, j in skip)]
+        tables = {id(t): (np.exp(t), np.exp(t.T)) for t in (self.chain, self.skip)}
+        later, earlier = np.zeros((len(edges), L)), np.zeros((len(edges), L))
+        # a sweep sends what a candidate has heard in that same sweep, so one sweep spans the document
+        forth = [(e, i, j, tables[id(t)][0]) for e, (i, j, t) in enumerate(edges)]
+        back = [(e, j, i, tables[id(t)][1]) for e, (i, j, t) in enumerate(edges)]
+        forth.sort(key=lambda x: x[1])
+        back.sort(key=lambda x: -x[1])
         belief = phi.copy()
-        np.add.at(belief, dst, message)
+        for sweep in range(PLAIN + 80 + len(spots)):
+            change = 0.0
+            for order, sent, heard in ((forth, later, earlier), (back, earlier, later)):
+                for e, src, dst, table in order:
+                    x = belief[src] - heard[e]
+                    new = np.log(np.exp(x - x.max()) @ table)
+                    step = new - new.max() - sent[e]
+                    if sweep >= PLAIN:
+                        step *= 0.5
+                    sent[e] += step
+                    belief[dst] += step
+                    change = max(change, step.max(), -step.min())
+            if change < TOLERANCE:
+                break
         return _softmax(belief)
 
 

@@ -59,3 +59,22 @@ def test_redaction(spark, frame, field):
 
 def test_empty_table(spark, frame):
     assert pii.find_pii(frame([])).count() == 0
+
+
+def test_evidence_reaches_every_occurrence():
+    """Marginals of a chain of equal tokens are exact, so evidence at the first one reaches the last."""
+    n, labels, secret = 14, pii.L, pii.LABELS.index("secret")
+    text = ("key AB12CD34EF56GH78 " + "some more words AB12CD34EF56GH78 " * (n - 1)).strip()
+    unary = {"keyword": 6.0 * pii.np.eye(labels)[secret], "secretive": 0.2 * pii.np.eye(labels)[0]}
+    skip = 6.0 * pii.np.eye(labels)
+    spots = pii.candidates(text)
+    got = pii.Field(unary, pii.np.zeros((labels, labels)), skip).marginals(text, spots)
+    local = [pii.np.exp(sum(unary.get(f, 0) for f in pii.features(text, a, b))) for a, b in spots]
+    ahead, behind = [local[0]], [pii.np.ones(labels)]
+    for x in local[1:]:
+        ahead.append(ahead[-1] @ pii.np.exp(skip) * x)
+    for x in local[:0:-1]:
+        behind.append(pii.np.exp(skip) @ (behind[-1] * x))
+    exact = pii.np.array(ahead) * pii.np.array(behind[::-1])
+    assert len(spots) == n and abs(got - exact / exact.sum(1, keepdims=True)).max() < 1e-3
+    assert (got[:, secret] > 0.5).all()
