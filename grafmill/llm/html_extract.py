@@ -10,6 +10,8 @@
 3. Subtrees found on at least MANY different pages and in SHARE of its host's pages are template and go.
    Inside an `article` or `main` element only structural elements (div, section, lists, tables) can be template: text
    that several articles quote stays.
+4. Where `article` and `main` elements hold more than half of the characters left, they alone are the text; else all that is left.
+   For counting, pages are the same where that part, taken before any template goes, is the same.
 
 Defined results: null or empty html gives an empty text; a page whose url has no host belongs to the host ""; repeated
 rows are pages like others; an empty table gives an empty result; further columns are ignored.
@@ -172,26 +174,26 @@ def host(url: str | None) -> str:
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        hosts, bodies, texts, marks = [], [], [], []
+        hosts, bodies, texts, marks, inner = [], [], [], [], []
         for url, page in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             found = blocks(page)
-            # where a page says what its article is, that is the main text
-            if any(x[1] for x in found):
-                found = [x for x in found if x[1]]
             hosts.append(host(url))
             texts.append([x[0] for x in found])
             marks.append([x[2] for x in found])
+            inner.append([x[1] for x in found])
+            if 2 * sum(len(x[0]) for x in found if x[1]) > sum(len(x[0]) for x in found):
+                found = [x for x in found if x[1]]
             bodies.append(xxhash.xxh64_intdigest("\0".join(x[0] for x in found).encode("utf-8", "surrogatepass")) >> 1)
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array(hosts, pa.string()), pa.array(bodies, pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(marks, pa.list_(pa.list_(pa.int64())))],
-            names=["page_id", "url", "host", "body", "blocks", "marks"],
+            [b.column(0), b.column(1), pa.array(hosts, pa.string()), pa.array(bodies, pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(marks, pa.list_(pa.list_(pa.int64()))), pa.array(inner, pa.list_(pa.bool_()))],
+            names=["page_id", "url", "host", "body", "blocks", "marks", "inner"],
         )
 
 
 def extract(pages: DataFrame, many: int = MANY, share: float = SHARE) -> DataFrame:
     """page_id, url, text, n_chars."""
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    parsed = materialize(source.mapInArrow(_parsed, "page_id long, url string, host string, body long, blocks array<string>, marks array<array<long>>").withColumn("key", F.xxhash64("host", "body")), "parsed-pages")
+    parsed = materialize(source.mapInArrow(_parsed, "page_id long, url string, host string, body long, blocks array<string>, marks array<array<long>>, inner array<boolean>").withColumn("key", F.xxhash64("host", "body", "marks")), "parsed-pages")
     bodies = parsed.select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     seen = parsed.select("host", "body", F.explode(F.array_distinct(F.flatten("marks"))).alias("mark")).distinct().groupBy("host", "mark").agg(F.count("*").alias("n"))
     template = seen.where(F.col("n") >= many).join(bodies, "host").where(F.col("n") >= share * F.col("pages")).select("host", "mark")
@@ -203,6 +205,8 @@ def extract(pages: DataFrame, many: int = MANY, share: float = SHARE) -> DataFra
     rows = flagged(parsed, hit, "key")
     looked = rows.where("maybe").join(hit, "key", "left")
     left = looked.unionByName(rows.where("not maybe").withColumn("gone", F.lit(None).cast("array<bigint>")))
-    kept = F.expr("transform(filter(arrays_zip(blocks, marks), x -> gone is null or not arrays_overlap(x.marks, gone)), x -> x.blocks)")
-    text = F.array_join(kept, " ")
-    return left.select("page_id", "url", text.alias("text")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    kept = F.expr("filter(arrays_zip(blocks, marks, inner), x -> gone is null or not arrays_overlap(x.marks, gone))")
+    chars = "aggregate(kept, 0L, (n, x) -> n + if({}, length(x.blocks), 0))"
+    mostly = f"2 * {chars.format('x.inner')} > {chars.format('true')}"
+    text = F.array_join(F.expr(f"transform(if({mostly}, filter(kept, x -> x.inner), kept), x -> x.blocks)"), " ")
+    return left.select("page_id", "url", kept.alias("kept")).select("page_id", "url", text.alias("text")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -54,6 +54,16 @@ def test_quotes_in_articles_stay(spark):
     assert all(got[i] == f"A line that all quote. {i} is mine." for i in range(12))
 
 
+def test_article_card_is_not_the_whole_page(spark):
+    """Text beside a short article stays, template beside it goes, and a long article stands alone."""
+    box = "<div>Call our office today</div>"
+    rows = [(i, "http://a.example/", f"<div>A long story, number {i}, that is the text of this page.</div><article>Card {i}</article>{box}") for i in range(10)]
+    rows += [(100 + i, "http://a.example/", f"<div>Other {i}</div><article>A long article, number {i}</article>{box}") for i in range(10)]
+    got = {r.page_id: r.text for r in html_extract.extract(pages(spark, rows)).collect()}
+    assert all(got[i] == f"A long story, number {i}, that is the text of this page. Card {i}" for i in range(10))
+    assert all(got[100 + i] == f"A long article, number {i}" for i in range(10))
+
+
 def test_whole_table(spark):
     """Pages are documents dressed up: each text is its title and one document."""
     texts = {" ".join((r.text or "").split()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
