@@ -7,7 +7,7 @@
 2. Spark counts, for each host and subtree hash, the different pages that hold it; pages with one and the same
    body count once, so copies of an article are no template. Counts are combined before their shuffle, which moves
    hashes, never markup.
-3. Subtrees found on at least MANY different pages and in SHARE of its host's pages are template and go.
+3. Subtrees found on at least MANY different pages of a host, whatever its size, are template and go.
    Inside an `article` or `main` element only structural elements (div, section, lists, tables) can be template: text
    that several articles quote stays.
 4. Where `article` and `main` elements hold more than half of the characters left, they alone are the text; else all that is left.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from grafmill.llm.common import materialize
 from grafmill.llm.exact_dedup import flagged
 
-MANY, SHARE = 5, 0.2
+MANY = 5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math object".split())
@@ -190,13 +190,12 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def extract(pages: DataFrame, many: int = MANY, share: float = SHARE) -> DataFrame:
+def extract(pages: DataFrame, many: int = MANY) -> DataFrame:
     """page_id, url, text, n_chars."""
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
     parsed = materialize(source.mapInArrow(_parsed, "page_id long, url string, host string, body long, blocks array<string>, marks array<array<long>>, inner array<boolean>").withColumn("key", F.xxhash64("host", "body", "marks")), "parsed-pages")
-    bodies = parsed.select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     seen = parsed.select("host", "body", F.explode(F.array_distinct(F.flatten("marks"))).alias("mark")).distinct().groupBy("host", "mark").agg(F.count("*").alias("n"))
-    template = seen.where(F.col("n") >= many).join(bodies, "host").where(F.col("n") >= share * F.col("pages")).select("host", "mark")
+    template = seen.where(F.col("n") >= many).select("host", "mark")
     # pages that hold such a subtree get a second look; a table of fixed size tells on the scan that others do not
     hit = materialize(
         parsed.select("key", F.explode(F.array_distinct(F.flatten("marks"))).alias("mark"), "host").join(template, ["host", "mark"]).groupBy("key").agg(F.collect_set("mark").alias("gone")),

@@ -64,6 +64,13 @@ def test_article_card_is_not_the_whole_page(spark):
     assert all(got[100 + i] == f"A long article, number {i}" for i in range(10))
 
 
+def test_template_of_a_section_goes_on_a_large_host(spark):
+    """A box on five pages counts alike on hosts of 10 and of 100 pages."""
+    rows = [(n + i, f"http://h{n}.example/{i}", f"<div>story {i}</div>" + "<div>Section office</div>" * (i < 5)) for n in (10, 100) for i in range(n)]
+    got = {r.page_id: r.text for r in html_extract.extract(pages(spark, rows)).collect()}
+    assert all(got[n + i] == f"story {i}" for n in (10, 100) for i in range(n))
+
+
 def test_whole_table(spark):
     """Pages are documents dressed up: each text is its title and one document."""
     texts = {" ".join((r.text or "").split()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
