@@ -57,6 +57,8 @@ KEEP, SWAP, SWAP_WILD, DROP, RUN = 0.0, 1.5, 3.0, 1.0, 0.7
 #: Edges of a token that are no part of its word.
 _EDGE = re.compile(r"^[^\w@$!|]+|[^\w@$|]+$|(?<=[a-zà-ÿ])[$|!]+$")
 _NOISY = re.compile(r"[^\W\d_][\W\d_]+[^\W\d_]|^[\d@$!|]+[^\W\d_]|[^\W\d_][\d@$|]+$|([^\W\d_])\1\1")
+#: What glues words into one token; runs of a letter that say no more than three of it.
+_GLUE, _RUNS = re.compile(r"[-._/\\,:;=+~]+"), re.compile(r"([^\W\d_])\1{3,}")
 #: In the tokens' lengths: runs of tokens of one or two characters, letters set apart.
 _SHORT = re.compile(rb"[\x01\x02]{4,}")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -194,10 +196,14 @@ class Restorer:
         self.tokens: dict[str, tuple[str, ...]] = {}
 
     def read(self, raw: str) -> tuple[str, ...]:
-        """Words of a lower-cased token; the last is the restored one if it looks obfuscated."""
+        """Words of a lower-cased token; if it looks obfuscated, also what is behind its glued parts and, last, behind all of it."""
         core = _EDGE.sub("", raw)
         found = (core,) if core.isalpha() else tuple(_WORD.findall(core))
-        if len(core) <= 40 and _NOISY.search(core):
+        if _NOISY.search(core):
+            core = _RUNS.sub(r"\1\1\1", core)
+            parts = [p for p in _GLUE.split(core) if len(p) > 2]
+            if len(parts) > 1:
+                found = (*found, *(self.model.restore(p) for p in parts if _NOISY.search(p)))
             found = (*found, self.model.restore(core))
         return found
 

@@ -72,3 +72,11 @@ def test_letters_set_apart_of_any_number(words):
     assert scorer.evidence(text) == 3.0 and scorer.evidence(f"x{'y' * 50}idiot") == 0.0
     assert toxicity.Scorer(words, {"idiot": 3.0}).evidence(f"x{'y' * 50}idiot") == 3.0
     assert "idiot" in toxicity.features(f"x{'y' * 50}idiot")
+
+
+def test_long_tokens_are_decoded(words):
+    """Stretched words and glued ones of any length."""
+    restorer = toxicity.Restorer(words)
+    assert restorer.read("st" + "u" * 60 + "pid")[-1] == "stupid"
+    assert "idiot" in restorer.read("people-with-a-wonderful-little-garden-and-house-id1ot")
+    assert toxicity.Scorer(words, {"=moron": 3.0}).evidence("the.people.and.the.little.garden.with.a.m0r0n") == 3.0
