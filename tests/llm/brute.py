@@ -74,7 +74,8 @@ def exact(rows):
     groups = defaultdict(list)
     for doc, text in rows:
         groups[text or ""].append(doc)
-    return sorted((d, max(g), len(g), d == max(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for d in g)
+    # of rows alike one stays
+    return sorted((d, max(g), len(g), d == max(g) and i == g.index(d), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for i, d in enumerate(g))
 
 
 def base_pii(text):
