@@ -10,14 +10,18 @@ stretch (both 0 where none). So a conversation of any length is never gathered:
 are running sums taken in two steps, within buckets of turns and over buckets. ``dialogues`` joins the segments for those
 who want one string.
 
-Order: by turn, then role, then text; equal rows are segments each, in a row. Defined results: a null conversation
-or turn is a value like others (first); a null role is ``unknown``, a null text empty; names keep letters, digits, `_` and `-`,
-other characters become `_`; an empty table gives an empty result; further columns are ignored.
+Distinct roles have distinct names: letters of ASCII, digits, `_` and `-` stay, any other character becomes the percent codes of
+its UTF-8 bytes, and a null role is named `?`. A text cannot forge a mark: a backslash is put between `<` and `|` of
+each `<|` in it (and one more where backslashes stand there already, so it can be undone: see ``plain``).
+
+Order: by turn, then name, then text; equal rows are segments each, in a row. Defined results: a null conversation
+or turn is a value like others (first); a null text is empty; texts of any length are rendered whole; an empty table gives
+an empty result; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HEAD, MIDDLE, TAIL = "<|im_start|>", "\n", "<|im_end|>\n"
@@ -25,13 +29,26 @@ HEAD, MIDDLE, TAIL = "<|im_start|>", "\n", "<|im_end|>\n"
 BUCKET = 1024
 
 
-def _names(role: str = "role"):  # noqa: ANN202
-    return F.regexp_replace(F.coalesce(F.col(role), F.lit("unknown")), r"[^\p{L}\p{N}_-]", "_")
+def _names(role: str = "role") -> Column:
+    coded = F.url_encode(F.col(role))
+    for mark, code in (("+", "%20"), ("*", "%2A"), (".", "%2E")):  # what the function leaves or shortens
+        coded = F.replace(coded, F.lit(mark), F.lit(code))
+    return F.coalesce(coded, F.lit("?"))
+
+
+def safe(text: Column) -> Column:
+    """Text in which no mark can begin."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+
+
+def plain(text: Column) -> Column:
+    """What ``safe`` was given."""
+    return F.regexp_replace(text, r"<\\(\\*)\|", r"<$1|")
 
 
 def rotate(conversations: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """conv_id, perspective, place, turn, speaker, rendered, start, mask_start, mask_end."""
-    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), _names().alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), _names().alias("role"), safe(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
     # combined before the shuffle: a row for each conversation and role
     cast = turns.where("role <> 'system'").select("conv_id", F.col("role").alias("perspective")).distinct()
     same = F.col("t.conv_id").eqNullSafe(F.col("c.conv_id"))

@@ -103,7 +103,8 @@ FROM v
 """
 
 SQL_op10_chat_rotation = r"""
-WITH t AS (SELECT conv_id, turn, regexp_replace(coalesce(role, 'unknown'), '[^\p{L}\p{N}_-]', '_', 'g') AS role, coalesce(text, '') AS text FROM conversations),
+WITH t AS (
+  SELECT conv_id, turn, coalesce(replace(replace(url_encode(role), '.', '%2E'), '~', '%7E'), '?') AS role, regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g') AS text FROM conversations),
 c AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
 e AS (
   SELECT t.conv_id, perspective, turn, role AS speaker, text, role = perspective AS own,
