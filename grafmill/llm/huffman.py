@@ -1,72 +1,94 @@
 """Token ids in a binary format: canonical length-limited Huffman coding.
 
-Writing: documents are tokenised once into an intermediate table; Spark counts all ids; code lengths of at
-most LIMIT bits come from the package-merge method on these counts (one number for each id of the
-vocabulary, so a fixed bound), codes are canonical: by (length, id). Documents are coded each on whole
-bytes, dealt over ranges of doc_id and joined into blocks of about BLOCK ids; a long document goes over
-several blocks. A block is independent of others: it holds its bits, the bit offset of every STEP-th id of each
-document's stretch (checkpoints) and its documents' ids, numbers of ids and bit offsets. Files are Parquet
-rows (part, block, ...) in ascending doc_id order, beside a table of code lengths.
+Writing: documents are tokenised once into an intermediate table (the tokenizers library's ids, see ENGINES); Spark
+counts all ids; code lengths of at most LIMIT bits come from the package-merge method on these counts (one number for each
+id of the vocabulary, so a fixed bound), codes are canonical: by (length, id). Rows are dealt over ranges of (doc_id, row)
+and coded in blocks of at most BLOCK ids; a document longer than that goes over several blocks. A block is independent of
+others: it holds its bits, the bit offset of every STEP-th id (checkpoints) and its documents' ids, numbers of ids and bit offsets.
+Files are Parquet rows (part, block, ...) in ascending doc_id order, beside a table of code lengths.
 
 Reading: a table of 2**LIMIT entries maps the next bits to (id, length). All checkpoints of a block are decoded
 in step with each other, so the work is array arithmetic. Long documents are joined from their stretches.
 
-Defined results: a null or empty text is the end id alone; repeated rows are written each and follow each other;
-an empty table gives an empty file set and an empty result; further columns are ignored.
+Defined results: a null or empty text is the end id alone; rows of one doc_id are written each and follow each other, by
+number of ids, then by their checksum; rows without doc_id come first; a text may be of any length;
+an empty table gives an empty file set and an empty result; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-import json
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grafmill.llm.common import materialize, texts
-from grafmill.llm.word_bpe import byte_alphabet
+from grafmill.llm.library import Library
+from grafmill.llm.word_bpe import byte_alphabet, opened
 
 LIMIT = 18
 STEP = 256
 BLOCK = 1 << 18
-#: A part has about 2**28 ids, or the PARTS-th of all; a part is written as a stream of blocks, so its size takes no memory.
-PARTS = 5000
+#: Ids of a part, about, where a shuffle's usual number of parts would make them larger; a part is a stream of blocks, so its size takes no memory.
+PART = 1 << 27
+#: Fixed values of byte-level vocabulary files: the splitting pattern, and white space.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: No piece of PATTERN goes over the border of one of these, and none depends on what is outside.
+_UNIT = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
 
-_ENCODERS: dict[str, object] = {}
 
+def byte_library(path: str) -> Library:
+    """Byte-level BPE of a vocabulary file, by the tokenizers library."""
+    return opened(path, "bytes", lambda: Library(path, _UNIT.findall, regex.compile(PATTERN).findall, int(_kind(vocabulary_size(path))[2])))
 
-def encoder(path: str):
-    """Byte-level BPE of a vocabulary file. Its ids stand in merge order, so they serve as ranks for tiktoken,
-    which gives the same ids as the tokenizers library (tests hold them against each other) in a fifth of the time."""
-    if path not in _ENCODERS:
+
+class Ranked:
+    """The same ids from tiktoken, in less than half of the time: ids of such a file stand in merge order, so they serve as ranks.
+
+    Texts in which a special token occurs go to the tokenizers library.
+    """
+
+    def __init__(self, path: str):
         import tiktoken
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        special = {a["content"]: a["id"] for a in spec["added_tokens"]}
+        self.library = byte_library(path)
         back = {c: b for b, c in byte_alphabet().items()}
-        ranks = {bytes(map(back.__getitem__, t)): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        _ENCODERS[path] = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return _ENCODERS[path]
+        vocab = self.library.whole.get_vocab(with_added_tokens=False)
+        ranks = {bytes(map(back.__getitem__, t)): i for t, i in vocab.items() if t not in self.library.special}
+        self.core = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.packed = self.library.packed
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        for t in texts:
+            yield next(self.library.encode([t])) if any(s in t for s in self.library.special) else self.packed(self.core.encode_ordinary(t))
+
+
+ENGINES = {"tokenizers": byte_library, "tiktoken": lambda path: opened(path, "ranked", lambda: Ranked(path))}
+
 
+def vocabulary_size(path: str) -> int:
+    from tokenizers import Tokenizer
 
-def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
+
+
+def tokenize(docs: DataFrame, tokenizer: str, end_id: int, engine: str = "tiktoken") -> DataFrame:
     """(doc_id, n, ids): ids as little-endian unsigned integers of two bytes (four if the vocabulary is larger)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
-        kind = _kind(enc.n_vocab)
+        lib = ENGINES[engine](tokenizer)
+        end = lib.packed([end_id])
         for b in batches:
-            out = []
-            for text in b.column(1).to_pylist():
-                ids = np.array([*enc.encode(text, allowed_special="all"), end_id], kind)
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in out], pa.int64()), pa.array([x.tobytes() for x in out], pa.binary())], names=["doc_id", "n", "ids"])
+            out = [x + end for x in lib.encode(b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // len(end) for x in out], pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "n", "ids"])
 
     return texts(docs).mapInArrow(run, "doc_id long, n long, ids binary")
 
@@ -185,61 +207,43 @@ def decode_bits(data: bytes, begins: np.ndarray, numbers: np.ndarray, table: np.
     return out
 
 
-BLOCKS = "part int, block int, doc_ids array<long>, numbers array<int>, doc_bits array<long>, firsts array<boolean>, checkpoints array<long>, payload binary, n_ids long"
+BLOCKS = "part int, block int, doc_ids array<long>, rows array<long>, numbers array<int>, doc_bits array<long>, firsts array<boolean>, checkpoints array<long>, payload binary, n_ids long"
+_KINDS = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.int64())
 
 
 def write(tokens: DataFrame, lengths: np.ndarray, n_vocab: int, parts: int) -> DataFrame:
-    """Blocks in the shared folder; part p holds doc_ids below all of part p + 1's."""
-    kind, codes = _kind(n_vocab), canonical(lengths)
+    """``tokens`` (doc_id, n, crc, row, ids) as blocks in the shared folder; part p's rows come before part p + 1's."""
+    kind, codes, order = _kind(n_vocab), canonical(lengths), ["doc_id", "n", "crc", "row"]
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: list[tuple] = []
-            for part, doc, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                ids = np.frombuffer(raw, kind)
-                for s, at in enumerate(range(0, len(ids), BLOCK)):
-                    bits, begins = encode_bits(ids[at : at + BLOCK], codes, lengths)
-                    rows.append((part, doc, s, len(begins), begins[::STEP].tolist(), bits))
-            c = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], names=["part", "doc_id", "stretch", "n", "checkpoints", "bits"])
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        state = {"part": None, "block": 0, "ids": 0}
+        part, block = TaskContext.get().partitionId(), 0
+        held: list[tuple] = []  # doc_id, row, whether its first stretch, ids
+        n_held = 0
 
         def flush() -> pa.RecordBatch:
-            at, marks, bits = 0, [], []
-            for _, _, _, points, data in held:
-                bits.append(at)
-                marks += [at + x for x in points]
-                at += 8 * len(data)
-            row = {"part": [state["part"]], "block": [state["block"]], "doc_ids": [[h[0] for h in held]], "numbers": [[h[2] for h in held]], "doc_bits": [bits], "firsts": [[h[1] == 0 for h in held]], "checkpoints": [marks], "payload": [b"".join(h[4] for h in held)], "n_ids": [sum(h[2] for h in held)]}
-            kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.int64())
+            ids = np.concatenate([h[3] for h in held])
+            data, begins = encode_bits(ids, codes, lengths)
+            numbers = np.array([len(h[3]) for h in held])
+            row = (part, block, [h[0] for h in held], [h[1] for h in held], numbers, begins[np.cumsum(numbers) - numbers], [h[2] for h in held], begins[::STEP], data, len(ids))
             held.clear()
-            state["block"] += 1
-            state["ids"] = 0
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, _KINDS, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
         for b in batches:
-            for part, doc, stretch, n, points, bits in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                if held and (part != state["part"] or state["ids"] + n > BLOCK):
-                    yield flush()
-                if part != state["part"]:
-                    state.update(part=part, block=0, ids=0)
-                held.append((doc, stretch, n, points, bits))
-                state["ids"] += n
+            for doc, own, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                ids = np.frombuffer(raw, kind)
+                for at in range(0, len(ids), BLOCK):
+                    stretch = ids[at : at + BLOCK]
+                    if held and n_held + len(stretch) > BLOCK:
+                        yield flush()
+                        block, n_held = block + 1, 0
+                    held.append((doc, own, at == 0, stretch))
+                    n_held += len(stretch)
         if held:
             yield flush()
 
-    # ranges of doc_id from the ids alone: a range exchange would evaluate its input twice
-    bounds = tokens.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).head()[0] if parts > 1 else []
-    bounds = sorted(set(bounds or []))
-    edges = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<bigint>")
-    part = F.size(F.filter(edges, lambda x: x < F.col("doc_id")))
-    coded = tokens.withColumn("part", part).select("part", "doc_id", "ids").mapInArrow(code, "part int, doc_id long, stretch int, n int, checkpoints array<long>, bits binary")
-    dealt = coded.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "doc_id", "stretch")
-    return materialize(dealt.mapInArrow(gather, BLOCKS), "token-blocks", "uncompressed")
+    # by rows, not by doc_id alone: one that very many rows share is spread as well
+    dealt = tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "row", "ids")
+    return materialize(dealt.mapInArrow(code, BLOCKS), "token-blocks", "uncompressed")
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -247,20 +251,19 @@ def _decoded(batches: Iterator[pa.RecordBatch], lengths: np.ndarray) -> Iterator
     table = decode_table(lengths)
     for b in batches:
         for r in b.to_pylist():
-            numbers = np.array(r["numbers"], np.int64)
-            each = -(-numbers // STEP)
-            marks = np.full(int(each.sum()), STEP, np.int64)
-            marks[np.cumsum(each) - 1] = numbers - (each - 1) * STEP
-            ids = decode_bits(r["payload"], np.array(r["checkpoints"], np.int64), marks, table).astype("<u4")
-            parts = [x.tobytes() for x in np.split(ids, np.cumsum(numbers)[:-1])]
+            numbers, marks = np.array(r["numbers"], np.int64), np.array(r["checkpoints"], np.int64)
+            each = np.minimum(STEP, r["n_ids"] - STEP * np.arange(len(marks)))
+            ids = decode_bits(r["payload"], marks, each, table).astype("<u4")
+            ends = np.cumsum(numbers)
+            parts = [ids[e - n : e].tobytes() for n, e in zip(numbers, ends, strict=True)]
             n = len(parts)
-            arrays = [pa.array([r["part"]] * n, pa.int32()), pa.array([r["block"]] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(r["doc_ids"], pa.int64()), pa.array(r["firsts"], pa.bool_()), pa.array(parts, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["part", "block", "place", "doc_id", "first", "ids"])
+            arrays = [pa.array([r["part"]] * n, pa.int32()), pa.array([r["block"]] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(r["doc_ids"], pa.int64()), pa.array(r["rows"], pa.int64()), pa.array(r["firsts"], pa.bool_()), pa.array(parts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["part", "block", "place", "doc_id", "row", "first", "ids"])
 
 
 def read(blocks: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """(part, block, place, doc_id, first, ids): the stretches of documents, decoded. ids: little-endian unsigned 32-bit."""
-    return blocks.mapInArrow(lambda batches: _decoded(batches, lengths), "part int, block int, place int, doc_id long, first boolean, ids binary")
+    """(part, block, place, doc_id, row, first, ids): the stretches of documents, decoded. ids: little-endian unsigned 32-bit."""
+    return blocks.mapInArrow(lambda batches: _decoded(batches, lengths), "part int, block int, place int, doc_id long, row long, first boolean, ids binary")
 
 
 def crc32_combine(a: int, b: int, len_b: int) -> int:
@@ -285,13 +288,14 @@ def crc32_combine(a: int, b: int, len_b: int) -> int:
     return a ^ b
 
 
-def huffman_file(docs: DataFrame, tokenizer: str, end_id: int = 2, parts: int | None = None) -> tuple[DataFrame, np.ndarray]:
+def huffman_file(docs: DataFrame, tokenizer: str, end_id: int = 2, parts: int | None = None, engine: str = "tiktoken") -> tuple[DataFrame, np.ndarray]:
     """Write all documents; (blocks, code lengths) are what read() takes."""
     spark = docs.sparkSession
-    n_vocab = encoder(tokenizer).n_vocab
-    tokens = materialize(tokenize(docs, tokenizer, end_id), "tokens")
+    n_vocab = vocabulary_size(tokenizer)
+    # a row's number is written with it, so it is the same whenever a task runs again
+    tokens = materialize(tokenize(docs, tokenizer, end_id, engine).withColumns({"crc": F.crc32("ids"), "row": F.monotonically_increasing_id()}), "tokens")
     seen = counts(tokens, n_vocab)
-    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(PARTS, int(seen.sum()) >> 28))
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(seen.sum()) // PART)
     lengths = code_lengths(seen)
     return write(tokens, lengths, n_vocab, parts), lengths
 
@@ -304,21 +308,19 @@ def digests(blocks: DataFrame, lengths: np.ndarray) -> DataFrame:
     totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("before_part"))
     starts = blocks.select("part", "block", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("before_block")).join(totals, "part").select("part", "block", (F.col("before_part") + F.col("before_block")).alias("before"))
     placed = materialize(_crc(blocks, lengths), "stretches").join(starts, ["part", "block"]).withColumn("start", F.col("before") + F.col("inside"))
-    # a document's first stretch of BLOCK ids may go on in the next block; only such documents are gathered
+    # a document's first stretch of BLOCK ids may go on in the next block; only such documents are gathered, each row by itself
     whole = placed.where("first and n < %d" % BLOCK).select("doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
     cut = placed.where("not (first and n < %d)" % BLOCK)
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         """The stretches of one document longer than a block, in order."""
-        out: list[list[int]] = []
-        for r in pdf.sort_values("start").itertuples():
-            if r.first:
-                out.append([r.doc_id, r.start, r.n, r.crc])
-            else:
-                out[-1][2:] = out[-1][2] + r.n, crc32_combine(out[-1][3], r.crc, 4 * r.n)
-        return pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
+        rows = list(pdf.sort_values("start").itertuples())
+        n, crc = rows[0].n, rows[0].crc
+        for r in rows[1:]:
+            n, crc = n + r.n, crc32_combine(crc, r.crc, 4 * r.n)
+        return pd.DataFrame({"doc_id": pd.array([rows[0].doc_id], "Int64"), "start": [rows[0].start], "n_tokens": [n], "ids_crc32": [crc]})
 
-    return whole.unionByName(cut.groupBy("doc_id").applyInPandas(join, "doc_id long, start long, n_tokens long, ids_crc32 long"))
+    return whole.unionByName(cut.groupBy("row").applyInPandas(join, "doc_id long, start long, n_tokens long, ids_crc32 long"))
 
 
 def _crc(blocks: DataFrame, lengths: np.ndarray) -> DataFrame:
@@ -326,12 +328,12 @@ def _crc(blocks: DataFrame, lengths: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _decoded(batches, lengths):
-            raw = b.column(5).to_pylist()
+            raw = b.column(6).to_pylist()
             n = np.array([len(x) // 4 for x in raw], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), b.column(4), pa.array(n), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(np.cumsum(n) - n)], names=["part", "block", "doc_id", "first", "n", "crc", "inside"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in (0, 1, 3, 4, 5)), pa.array(n), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(np.cumsum(n) - n)], names=["part", "block", "doc_id", "row", "first", "n", "crc", "inside"])
 
-    return blocks.mapInArrow(run, "part int, block int, doc_id long, first boolean, n long, crc long, inside long")
+    return blocks.mapInArrow(run, "part int, block int, doc_id long, row long, first boolean, n long, crc long, inside long")
 
 
-def huffman_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, parts: int | None = None) -> DataFrame:
-    return digests(*huffman_file(docs, tokenizer, end_id, parts))
+def huffman_round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, parts: int | None = None, engine: str = "tiktoken") -> DataFrame:
+    return digests(*huffman_file(docs, tokenizer, end_id, parts, engine))

@@ -19,7 +19,6 @@ row order within ties, which does not matter: they are equal); an empty table gi
 
 from __future__ import annotations
 
-import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -30,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grafmill.llm.common import materialize, texts
+from grafmill.llm.library import Library
 from grafmill.llm.word_bpe import WordBPE, opened
 
 CAPACITY = 4096
@@ -37,60 +37,16 @@ CAPACITY = 4096
 GROUPS = 24
 LARGE = 1 / 8
 BUCKETS = 256
-#: Words whose ids a Python worker remembers.
-MEMO = 200_000
 
 
-#: Stands for a word's end: a byte that UTF-8 never has.
-END = b"\xff"
+def word_library(path: str) -> Library:
+    """BPE with word ends of a vocabulary file, by the tokenizers library; words are normalised and cut as the file says."""
 
+    def make() -> Library:
+        bpe = WordBPE(path)
+        return Library(path, bpe.stretch, bpe.split.findall, 4)
 
-class _Library:
-    """The tokenizers library's ids, asked for once for each word.
-
-    Words and their pieces are made as the file says. A piece's merges run in tiktoken: the vocabulary's ids stand
-    in merge order, so they serve as ranks; the end of a word is one more byte, whose merges come first. Tests hold the ids against
-    the library's. Texts with a special token's beginning go to the library itself.
-    """
-
-    def __init__(self, path: str):
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.bpe = WordBPE(path)
-        back, end = {c: b for b, c in self.bpe.alphabet.items()}, self.bpe.end
-        raw = lambda t: bytes(map(back.__getitem__, t))
-        ranks = {raw(t.removesuffix(end)) + END if end and t.endswith(end) else raw(t): i for t, i in self.bpe.vocab.items() if t not in self.bpe.special}
-        self.core = tiktoken.Encoding("words", pat_str=r".+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self.known = _Known(self)
-
-    def ids(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if "<|" in text:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.known.__getitem__, self.bpe.stretch(text)))
-
-
-class _Known(dict):
-    """Word -> its ids; begins anew when full."""
-
-    def __init__(self, lib: _Library):
-        super().__init__()
-        self.split, self.encode = lib.bpe.split.findall, lib.core.encode_single_piece
-
-    def __missing__(self, word: str) -> bytes:
-        found: list[int] = []
-        for p in (word,) if word.isascii() and word.isalpha() else self.split(word):
-            found += self.encode(p.encode() + END)
-        out = struct.pack(f"<{len(found)}I", *found)
-        if len(self) >= MEMO:
-            self.clear()
-        if len(word) <= 256:
-            self[word] = out
-        return out
+    return opened(path, "library", make)
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
@@ -98,14 +54,11 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAP
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        lib = opened(tokenizer, "library", lambda: _Library(tokenizer))
+        lib = word_library(tokenizer)
         for b in batches:
             rows: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = lib.ids(text) + end
+            for doc, ids in zip(b.column(0).to_pylist(), lib.encode(b.column(1).to_pylist()), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))

@@ -21,8 +21,8 @@ def opened(name: str) -> Tokenizer:
 
 def huffman(rows):
     t, out, at = opened("byte_bpe_50k.json"), [], 0
-    for doc, text in sorted((d, x or "") for d, x in rows):
-        ids = [*t.encode(text, add_special_tokens=False).ids, 2]
+    told = [(d, [*t.encode(x or "", add_special_tokens=False).ids, 2]) for d, x in rows]
+    for doc, ids in sorted(told, key=lambda r: (r[0], len(r[1]), zlib.crc32(np.array(r[1], "<u2").tobytes()))):
         out.append((doc, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     return out

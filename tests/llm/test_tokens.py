@@ -10,6 +10,11 @@ from grafmill.llm import huffman, packing, word_bpe
 BYTE, WORD = (brute.public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 
 
+def test_engines_agree(spark, frame):
+    one, two = (sorted(map(tuple, huffman.tokenize(frame(ODD), BYTE, 2, e).collect())) for e in huffman.ENGINES)
+    assert one == two
+
+
 @pytest.fixture(params=["all", "odd"])
 def rows(request, documents):
     return documents if request.param == "all" else ODD
@@ -28,6 +33,31 @@ def test_huffman_many_blocks(spark, frame, monkeypatch):
     assert got == sorted(brute.huffman(rows))
 
 
+def test_huffman_rows_of_one_id(spark, frame, monkeypatch):
+    """Rows that repeat an id, or have none, with texts longer than a block: each whole, one after the other."""
+    rows = [(1, LONG[:9000]), (1, LONG[:9000]), (1, "short"), (2, LONG[:20_000]), (2, LONG[:19_000]), (2, None)]
+    monkeypatch.setattr(huffman, "BLOCK", 1024)
+    got = sorted(tuple(r) for r in huffman.huffman_round_trip(frame(rows), BYTE, parts=3).select("doc_id", "start", "n_tokens", "ids_crc32").collect())
+    assert got == brute.huffman(rows)
+    got = [tuple(r) for r in huffman.huffman_round_trip(frame([(None, "x"), (3, "y"), (None, LONG[:9000])]), BYTE, parts=2).collect()]
+    assert sorted((r[1], r[0], r[2]) for r in got)[-1][1] == 3 and sorted(r[0] or 0 for r in got) == [0, 0, 3]
+
+
+def test_units_as_the_library_makes_them():
+    """The library's ids of whole texts, made of pieces: all kinds of white space, marks and letters."""
+    import random
+
+    rng = random.Random(3)
+    pool = [*"abcXYZ019'.,-  \n\t\r", "'s", "'ll", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\u200b", "\u3000", "é", "\u0301", "漢", "ﬁ", "İ", "🙂", "\u200d", "²", "Σ", "<|", "|>"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 40))) for _ in range(5000)] + [" " * 5000, "x" * 5000, "\n" * 99 + "y", "a <|endoftext|> b", *(t or "" for _, t in ODD)]
+    vocab = list(brute.opened("byte_bpe_50k.json").get_vocab())
+    texts += ["".join(rng.choices(vocab, k=3)).replace("Ġ", " ") for _ in range(5000)]
+    for path, lib, width in ((BYTE, huffman.byte_library(BYTE), "<u2"), (BYTE, huffman.Ranked(BYTE), "<u2"), (WORD, packing.word_library(WORD), "<u4")):
+        whole = brute.opened(path.rsplit("/", 1)[1])
+        for t, e, got in zip(texts, whole.encode_batch(texts, add_special_tokens=False), lib.encode(texts), strict=True):
+            assert np.frombuffer(got, width).tolist() == e.ids, (path, t)
+
+
 def test_bpe(spark, frame, rows):
     got = sorted(tuple(r) for r in word_bpe.bpe_round_trip(frame(rows), WORD).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())
     assert got == brute.bpe(rows)
@@ -77,17 +107,6 @@ def test_plan_is_near_the_lower_bound(seed):
     assert len(held) <= 1.03 * -(-int(lengths.sum()) // 4096) + 1
 
 
-def test_words_as_the_library_makes_them():
-    import random
-
-    lib, rng = packing._Library(WORD), random.Random(1)
-    pool = [chr(c) for c in [*range(33, 127), *range(0xA1, 0x250), *range(0x390, 0x3D0), *range(0x400, 0x460), 0x1F600, 0x200D, 0x301, 0x130]]
-    words = ["".join(rng.choice(pool) for _ in range(rng.randint(1, 12))).replace("<|", "") or "x" for _ in range(20_000)]
-    words += [a + b for a, b in zip(rng.choices(list(lib.bpe.vocab), k=5000), rng.choices(list(lib.bpe.vocab), k=5000), strict=True) if "<|" not in a + b]
-    for w, e in zip(words, lib.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-        assert np.frombuffer(lib.ids(w), "<u4").tolist() == e.ids, w
-
-
 def test_code_lengths_are_optimal_and_limited():
     import heapq
 
