@@ -1,20 +1,22 @@
 """Main text of web pages with site template removal.
 
-1. A page is read once: markup is parsed leniently (unclosed and misnested elements close as their
-   parents do), elements that never hold main text (scripts, styles, navigation, headers, footers, forms, asides) and
-   those whose class or id says so (adverts, sidebars, notices, comments) go. What stays is a list of blocks in page order,
-   each with the hashes of the element subtrees around it; a subtree's hash covers its tag and content.
+1. A page is read once, leniently (unclosed and misnested elements close as their parents do), into blocks of text in page
+   order and the element subtrees over them, menus, headers, footers and adverts included; only what is no text at all goes
+   here (scripts, styles, comments in the markup, forms, embedded objects). A subtree's hash is made of its tag and what is in it,
+   children's hashes before its own, so a page takes time in proportion to its length, however deep.
 2. Spark counts, for each host and subtree hash, the different pages that hold it; pages with one and the same
    body count once, so copies of an article are no template. Counts are combined before their shuffle, which moves
    hashes, never markup.
 3. Subtrees found on at least MANY different pages of a host, whatever its size, are template and go.
-   Inside an `article` or `main` element only structural elements (div, section, lists, tables) can be template: text
+   Inside an `article` or `main` element only structural elements (div, section, lists, tables, nav and so on) can be template: text
    that several articles quote stays.
-4. Where `article` and `main` elements hold more than half of the characters left, they alone are the text; else all that is left.
-   For counting, pages are the same where that part, taken before any template goes, is the same.
+4. What a host repeats too seldom to be counted out goes by rule: nav, header, footer and aside elements and hidden ones, and
+   those whose class or id says that they are a menu, advert, notice, sidebar or comments. In an `article` or `main` a name
+   must be one of these words as a whole, and headers stay: a class that only holds such a word (`social-history`) is text there.
 
 Defined results: null or empty html gives an empty text; a page whose url has no host belongs to the host ""; repeated
-rows are pages like others; an empty table gives an empty result; further columns are ignored.
+rows are pages like others, counted once; pages may be of any length and depth; an empty table gives an empty result; further
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -36,34 +38,40 @@ MANY = 5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math object".split())
-NEVER = frozenset("head script style nav header footer aside form noscript iframe template svg math object button select textarea menu dialog canvas audio video title".split())
+#: No text, whatever a host repeats.
+NEVER = frozenset("head script style form noscript iframe template svg math object button select textarea menu dialog canvas audio video title".split())
+#: Page parts that go by rule where counts leave them.
+PARTS = frozenset("nav header footer aside".split())
 BLOCK = frozenset(
-    "html body address article blockquote dd div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr li main ol p pre section table tbody td tfoot th thead tr ul br details summary center".split()
+    "html body address article blockquote dd div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr li main ol p pre section table tbody td tfoot th thead tr ul br details summary center nav header footer aside form".split()
 )
-STRUCTURE = frozenset("div section ul ol dl table fieldset details figure".split())
+STRUCTURE = frozenset("div section ul ol dl table fieldset details figure nav header footer aside".split())
 #: Opening one of these closes an open `p`; `li`, `tr` and so on close their like.
 CLOSES_P = BLOCK - {"br", "html", "body"}
-LIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-STOPS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
-BAD = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side-bar|widget\w*|nav|navbar|navigation|menu|breadcrumbs?|footer|header|masthead|comments?|commentlist|disqus|respond|replies|cookie\w*|consent|notice|notices|popup|modal|newsletter|subscribe|share|sharing|social|related|recommended|pagination|pager|login|signup|hidden|skip-link|toolbar|copyright|disclaimer)(?:$|[\s_-])",
-    re.I,
+LIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+STOPS = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+#: Words of a class or id: anywhere in a name outside articles, as a whole name inside.
+_NAMES = (
+    "ad|ads|advert\\w*|adsense|banner|sponsor\\w*|promo\\w*|sidebar|side-bar|widget\\w*|nav|navbar|navigation|menu|breadcrumbs?|footer|comments?|commentlist|comment-list|comments-area|disqus|respond|replies|cookie\\w*|consent|"
+    "popup|modal|newsletter|subscribe|share|sharing|pagination|pager|login|signup|skip-link|toolbar|related-posts|related-articles"
 )
+BAD = re.compile(rf"(?:^|[\s_-])(?:{_NAMES}|header|masthead|notice|notices|social|related|recommended|hidden|copyright|disclaimer)(?:$|[\s_-])", re.I)
+BAD_INSIDE = re.compile(rf"(?:^|\s)(?:{_NAMES}|[a-z]+[_-](?:ad|ads|advert)|(?:ad|ads)[_-](?:box|slot|unit|container|wrapper|banner))(?:$|\s)", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 _TAG = re.compile(r"<(?:!--(.*?)(?:-->|$)|([!?][^>]*)(?:>|$)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$))", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|style|aria-hidden)(?![\w-])(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _CLOSE_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|$)", re.I) for t in RAW}
 
 
-def unwanted(tag: str, attributes: str) -> bool:
-    """Whether an element never holds main text."""
-    if tag in NEVER:
+def ruled(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether an element is no main text by its name, role, class or id; ``inside`` an article or main."""
+    if tag in PARTS and not (inside and tag == "header"):
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and BAD.search(value):
+        if name in ("class", "id") and (BAD_INSIDE if inside else BAD).search(value):
             return True
         if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
@@ -72,43 +80,77 @@ def unwanted(tag: str, attributes: str) -> bool:
     return False
 
 
-class _Node:
-    __slots__ = ("tag", "skip", "main", "first", "structure")
+class _Open(list):
+    """Open elements: [tag, no text, by rule, inside article or main, first block, parts of the hash]; where each tag is open."""
 
-    def __init__(self, tag: str, skip: bool, main: bool, first: int, structure: bool):
-        self.tag, self.skip, self.main, self.first, self.structure = tag, skip, main, first, structure
+    def __init__(self) -> None:
+        super().__init__([["", False, False, False, 0, []]])
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = [0]  # open blocks other than p
+        self.closers: list[int] = [0]  # open elements whose opening closes a p
 
+    def push(self, node: list) -> None:
+        tag, k = node[0], len(self)
+        self.append(node)
+        self.at.setdefault(tag, []).append(k)
+        if tag in BLOCK and tag != "p":
+            self.blocks.append(k)
+        if tag in CLOSES_P:
+            self.closers.append(k)
 
-def blocks(page: str) -> list[tuple[str, bool, list[int]]]:
-    """(text, inside article or main, hashes of the subtrees around it that could be template), in page order.
+    def leave(self) -> list:
+        node = self.pop()
+        self.at[node[0]].pop()
+        for stack in (self.blocks, self.closers):
+            if stack[-1] == len(self):
+                stack.pop()
+        return node
 
-    A subtree's hash is that of its tag and the blocks in it; it can be template outside article and main, or if
-    it is a structural element.
-    """
-    out: list[tuple[str, bool, list[int]]] = []
+    def nearest(self, tags: tuple[str, ...]) -> int:
+        """Place of the innermost open element of these, 0 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+
+Blocks = list[tuple[str, bool]]  # text, whether it goes by rule
+Subtree = tuple[int, int, int]  # hash, first block, block after the last
+
+
+def parse(page: str) -> tuple[Blocks, list[Subtree]]:
+    """Blocks in page order, and the subtrees over them that could be template."""
+    out: Blocks = []
+    trees: list[Subtree] = []
     pending: list[str] = []
-    stack = [_Node("", False, False, 0, False)]
+    stack = _Open()
 
     def flush() -> None:
         if pending:
             text = " ".join(entities.unescape("".join(pending)).split())
             pending.clear()
             if text:
-                out.append((text, stack[-1].main, []))
+                out.append((text, stack[-1][2]))
+                stack[-1][5].append(text)
 
     def close() -> None:
-        node = stack[-1]
-        if node.tag in BLOCK:
+        tag, _, _, inside, first, parts = stack[-1]
+        block = tag in BLOCK
+        if block:
             flush()
-        stack.pop()
-        if node.tag in BLOCK and not node.skip and node.tag not in ("html", "body", "article", "main", "br") and len(out) > node.first and (node.structure or not node.main):
-            h = xxhash.xxh64_intdigest("\0".join([node.tag, *(b[0] for b in out[node.first :])]).encode("utf-8", "surrogatepass")) >> 1
-            for b in out[node.first :]:
-                b[2].append(h)
+        stack.leave()
+        if not block:
+            stack[-1][5] += parts
+        elif parts:
+            h = xxhash.xxh64_intdigest("\0".join([tag, *parts]).encode("utf-8", "surrogatepass")) >> 1
+            stack[-1][5].append(f"\1{h:x}")
+            if tag not in ("html", "body", "article", "main", "br") and (not inside or tag in STRUCTURE):
+                trees.append((h, first, len(out)))
+
+    def close_to(k: int) -> None:
+        while len(stack) > k:
+            close()
 
     at = 0
     while m := _TAG.search(page, at):
-        if m.start() > at and not stack[-1].skip:
+        if m.start() > at and not stack[-1][1]:
             pending.append(page[at : m.start()])
         at = m.end()
         tag = m.group(4)
@@ -116,53 +158,38 @@ def blocks(page: str) -> list[tuple[str, bool, list[int]]]:
             continue
         tag = tag.lower()
         if m.group(3):
-            if tag == "p" and not any(n.tag == "p" for n in stack):
+            k = stack.nearest((tag,))
+            if not k and tag == "p":
                 flush()
-                continue
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if k and not (tag not in BLOCK and tag not in NEVER and any(n.tag in BLOCK and n.tag != "p" for n in stack[k + 1 :])):
-                while len(stack) > k:
-                    close()
+            elif k and (tag in BLOCK or tag in NEVER or stack.blocks[-1] <= k):
+                close_to(k)
             continue
-        top = stack[-1]
         if tag in BLOCK:
-            if not top.skip:
+            if not stack[-1][1]:
                 flush()
-            if tag in CLOSES_P:
-                k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in CLOSES_P), 0)
-                if k and stack[k].tag == "p":
-                    while len(stack) > k:
-                        close()
-            if tag in LIKE:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in LIKE[tag]:
-                        while len(stack) > i:
-                            close()
-                        break
-                    if stack[i].tag in STOPS[tag]:
-                        break
+            if tag in CLOSES_P and (k := stack.closers[-1]) and stack[k][0] == "p":
+                close_to(k)
+        if tag in LIKE and (k := stack.nearest(LIKE[tag])) > stack.nearest(STOPS[tag]):
+            # the outermost of its like that no stop parts from here
+            close_to(min(x for t in LIKE[tag] if stack.at.get(t) and (x := stack.at[t][-1]) > stack.nearest(STOPS[tag])))
         if tag == "body":  # a head left open ends here
-            while len(stack) > 1 and stack[-1].tag != "html":
-                close()
+            close_to(max(1, stack.nearest(("html",)) + 1))
         if tag in VOID or m.group(5).endswith("/") and tag not in BLOCK:
             continue
-        top = stack[-1]
-        skip = top.skip or unwanted(tag, m.group(5))
-        if skip and not top.skip and tag in ("nav", "header", "footer", "aside", "form"):
-            flush()
+        _, no_text, by_rule, inside, _, _ = stack[-1]
         if tag in RAW:
-            if end := _CLOSE_RAW[tag].search(page, at):
-                at = end.end()
-            else:
-                at = len(page)
+            end = _CLOSE_RAW[tag].search(page, at)
+            at = end.end() if end else len(page)
             continue
-        stack.append(_Node(tag, skip, top.main or tag in ("article", "main"), len(out), tag in STRUCTURE))
-    if at < len(page) and not stack[-1].skip:
+        rule = by_rule or not no_text and ruled(tag, m.group(5), inside)
+        if rule and not by_rule and tag not in BLOCK:
+            flush()  # an inline element that goes by rule is a block of its own
+        stack.push([tag, no_text or tag in NEVER, rule, inside or tag in ("article", "main"), len(out), []])
+    if at < len(page) and not stack[-1][1]:
         pending.append(page[at:])
-    while len(stack) > 1:
-        close()
+    close_to(1)
     flush()
-    return out
+    return out, trees
 
 
 def host(url: str | None) -> str:
@@ -172,40 +199,54 @@ def host(url: str | None) -> str:
         return ""
 
 
+PARSED = "page_id long, url string, host string, body long, blocks array<string>, ruled array<boolean>, trees array<struct<h: long, a: int, z: int>>"
+_TREES = pa.list_(pa.struct([("h", pa.int64()), ("a", pa.int32()), ("z", pa.int32())]))
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        hosts, bodies, texts, marks, inner = [], [], [], [], []
-        for url, page in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            found = blocks(page)
-            hosts.append(host(url))
-            texts.append([x[0] for x in found])
-            marks.append([x[2] for x in found])
-            inner.append([x[1] for x in found])
-            if 2 * sum(len(x[0]) for x in found if x[1]) > sum(len(x[0]) for x in found):
-                found = [x for x in found if x[1]]
-            bodies.append(xxhash.xxh64_intdigest("\0".join(x[0] for x in found).encode("utf-8", "surrogatepass")) >> 1)
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array(hosts, pa.string()), pa.array(bodies, pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(marks, pa.list_(pa.list_(pa.int64()))), pa.array(inner, pa.list_(pa.bool_()))],
-            names=["page_id", "url", "host", "body", "blocks", "marks", "inner"],
-        )
+        found = [parse(page) for page in b.column(2).to_pylist()]
+        hosts = [host(u) for u in b.column(1).to_pylist()]
+        bodies = [xxhash.xxh64_intdigest("\0".join(t for t, rule in blocks if not rule).encode("utf-8", "surrogatepass")) >> 1 for blocks, _ in found]
+        columns = [b.column(0), b.column(1), pa.array(hosts, pa.string()), pa.array(bodies, pa.int64()), pa.array([[t for t, _ in x] for x, _ in found], pa.list_(pa.string())), pa.array([[r for _, r in x] for x, _ in found], pa.list_(pa.bool_()))]
+        trees = pa.array([[{"h": h, "a": a, "z": z} for h, a, z in x] for _, x in found], _TREES)
+        yield pa.RecordBatch.from_arrays([*columns, trees], names=["page_id", "url", "host", "body", "blocks", "ruled", "trees"])
+
+
+def main_text(blocks: list[str], ruled: list[bool], trees: list[dict], gone: list[int] | None) -> tuple[str, int, int]:
+    """Text of the blocks that neither a template subtree holds nor a rule removes; how many blocks go by count and by rule."""
+    gone, steps = set(gone or ()), [0] * (len(blocks) + 1)
+    for t in trees:
+        if t["h"] in gone:
+            steps[t["a"]] += 1
+            steps[t["z"]] -= 1
+    out, over, counted = [], 0, 0
+    for text, rule, step in zip(blocks, ruled, steps, strict=False):
+        over += step
+        counted += over > 0
+        if not over and not rule:
+            out.append(text)
+    return " ".join(out), counted, len(blocks) - counted - len(out)
+
+
+def _without_template(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        made = [main_text(*x) for x in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True)]
+        columns = [pa.array([x[0] for x in made], pa.string()), pa.array([len(x[0]) for x in made], pa.int64()), *(pa.array([x[k] for x in made], pa.int64()) for k in (1, 2))]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["page_id", "url", "text", "n_chars", "n_template", "n_ruled"])
 
 
 def extract(pages: DataFrame, many: int = MANY) -> DataFrame:
-    """page_id, url, text, n_chars."""
+    """page_id, url, text, n_chars; n_template and n_ruled: blocks that went by count and by rule."""
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    parsed = materialize(source.mapInArrow(_parsed, "page_id long, url string, host string, body long, blocks array<string>, marks array<array<long>>, inner array<boolean>").withColumn("key", F.xxhash64("host", "body", "marks")), "parsed-pages")
-    seen = parsed.select("host", "body", F.explode(F.array_distinct(F.flatten("marks"))).alias("mark")).distinct().groupBy("host", "mark").agg(F.count("*").alias("n"))
-    template = seen.where(F.col("n") >= many).select("host", "mark")
-    # pages that hold such a subtree get a second look; a table of fixed size tells on the scan that others do not
-    hit = materialize(
-        parsed.select("key", F.explode(F.array_distinct(F.flatten("marks"))).alias("mark"), "host").join(template, ["host", "mark"]).groupBy("key").agg(F.collect_set("mark").alias("gone")),
-        "template-hits",
-    )
+    parsed = materialize(source.mapInArrow(_parsed, PARSED).withColumn("key", F.xxhash64("host", "body", "trees.h")), "parsed-pages")
+    marks = F.explode(F.array_distinct("trees.h")).alias("mark")
+    seen = parsed.select("host", "body", marks).distinct().groupBy("host", "mark").agg(F.count("*").alias("n"))
+    template = materialize(seen.where(F.col("n") >= many).select("host", "mark"), "template")
+    # only pages that may hold such a subtree are shuffled; tables of fixed size tell on the scan that others do not
+    held = flagged(parsed.select("key", "host", marks), template, "mark").where("maybe").select("key", "mark", "host")
+    hit = materialize(held.join(template, ["host", "mark"]).groupBy("key").agg(F.collect_set("mark").alias("gone")), "template-hits")
     rows = flagged(parsed, hit, "key")
     looked = rows.where("maybe").join(hit, "key", "left")
     left = looked.unionByName(rows.where("not maybe").withColumn("gone", F.lit(None).cast("array<bigint>")))
-    kept = F.expr("filter(arrays_zip(blocks, marks, inner), x -> gone is null or not arrays_overlap(x.marks, gone))")
-    chars = "aggregate(kept, 0L, (n, x) -> n + if({}, length(x.blocks), 0))"
-    mostly = f"2 * {chars.format('x.inner')} > {chars.format('true')}"
-    text = F.array_join(F.expr(f"transform(if({mostly}, filter(kept, x -> x.inner), kept), x -> x.blocks)"), " ")
-    return left.select("page_id", "url", kept.alias("kept")).select("page_id", "url", text.alias("text")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return left.select("page_id", "url", "blocks", "ruled", "trees", "gone").mapInArrow(_without_template, "page_id long, url string, text string, n_chars long, n_template long, n_ruled long")

@@ -7,7 +7,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def text_of(page):
-    return " ".join(x[0] for x in html_extract.blocks(page))
+    return " ".join(text for text, rule in html_extract.parse(page)[0] if not rule)
 
 
 @pytest.mark.parametrize(
@@ -54,14 +54,118 @@ def test_quotes_in_articles_stay(spark):
     assert all(got[i] == f"A line that all quote. {i} is mine." for i in range(12))
 
 
-def test_article_card_is_not_the_whole_page(spark):
-    """Text beside a short article stays, template beside it goes, and a long article stands alone."""
+def test_text_beside_an_article_stays(spark):
     box = "<div>Call our office today</div>"
-    rows = [(i, "http://a.example/", f"<div>A long story, number {i}, that is the text of this page.</div><article>Card {i}</article>{box}") for i in range(10)]
-    rows += [(100 + i, "http://a.example/", f"<div>Other {i}</div><article>A long article, number {i}</article>{box}") for i in range(10)]
+    rows = [(i, "http://a.example/", f"<div>A long story, number {i}, that is the text of this page.</div><article class=teaser>Card {i}</article>{box}") for i in range(10)]
+    rows += [(100 + i, "http://a.example/", f"<p>Before {i}</p><article><p>A long article, number {i}</p><p>More of it</p></article>{box}") for i in range(10)]
     got = {r.page_id: r.text for r in html_extract.extract(pages(spark, rows)).collect()}
     assert all(got[i] == f"A long story, number {i}, that is the text of this page. Card {i}" for i in range(10))
-    assert all(got[100 + i] == f"A long article, number {i}" for i in range(10))
+    assert all(got[100 + i] == f"Before {i} A long article, number {i} More of it" for i in range(10))
+
+
+@pytest.mark.parametrize("name", ["social-history", "related-work", "header", "notice-of-war", "share-price-table"])
+def test_class_words_in_articles(name):
+    assert text_of(f"<article><p class={name}>Text of it</p><div class='comments'>no</div><div class=ad>no</div></article>") == "Text of it"
+
+
+def test_headers(spark):
+    assert text_of("<header>Site</header><article><header><h1>Title</h1></header><p>x</p><footer>by me</footer></article>") == "Title x"
+
+
+def brute_extract(rows, many):
+    """Subtrees counted by host in plain Python, with their whole text for a key; pages read by the standard library's parser."""
+    from collections import defaultdict
+    from html.parser import HTMLParser
+    from urllib.parse import urlsplit
+
+    class Tree(HTMLParser):
+        def __init__(self, page):
+            super().__init__()
+            self.root = self.now = {"tag": "", "attributes": "", "up": None, "in": []}
+            self.feed(page)
+            self.close()
+
+        def handle_starttag(self, tag, attributes):
+            node = {"tag": tag, "attributes": " ".join(f'{k}="{v}"' for k, v in attributes), "up": self.now, "in": []}
+            self.now["in"].append(node)
+            self.now = node
+
+        def handle_endtag(self, tag):
+            self.now = self.now["up"]
+
+        def handle_data(self, text):
+            self.now["in"].append(text)
+
+    def walk(node, inside, rule, over, out, seen, gone):
+        for x in node["in"]:
+            if isinstance(x, str):
+                if text := " ".join(x.split()):
+                    out.append((text, rule, over))
+                continue
+            key = repr(shape(x))
+            can = x["tag"] not in ("article", "main") and (not inside or x["tag"] in html_extract.STRUCTURE) and contents(x)
+            if can:
+                seen.add(key)
+            now = inside or x["tag"] in ("article", "main")
+            walk(x, now, rule or html_extract.ruled(x["tag"], x["attributes"], inside), over or can and key in gone, out, seen, gone)
+
+    def shape(node):
+        return (node["tag"], *(" ".join(x.split()) if isinstance(x, str) else shape(x) for x in node["in"]))
+
+    def contents(node):
+        return any(x.split() if isinstance(x, str) else contents(x) for x in node["in"])
+
+    counts, trees = defaultdict(set), {}
+    for i, url, page in rows:
+        trees[i] = Tree(page).root, urlsplit(url).hostname
+        out, seen = [], set()
+        walk(trees[i][0], False, False, False, out, seen, ())
+        for key in seen:
+            counts[trees[i][1], key].add(tuple(t for t, rule, _ in out if not rule))
+    result = {}
+    for i, (root, name) in trees.items():
+        out = []
+        walk(root, False, False, False, out, set(), {k for h, k in counts if h == name and len(counts[h, k]) >= many})
+        result[i] = " ".join(t for t, rule, over in out if not rule and not over), sum(map(bool, (o for _, _, o in out)))
+    return result
+
+
+def random_pages(seed, n=120):
+    import random
+
+    rng = random.Random(seed)
+    boxes = ["<div><p>Call our office</p><ul><li>one</li><li>two</li></ul></div>", "<section>Weather <div>sunny</div></section>", "<nav><ul><li>Home</li></ul></nav>", "<div class=\"ad\">buy</div>", "<ul><li>Share it</li></ul>"]
+    rows = []
+    for i in range(n):
+        parts = [f"<p>Story {rng.randrange(n // 2)} here</p>" for _ in range(rng.randint(0, 3))] + rng.choices(boxes, k=rng.randint(0, 4))
+        rng.shuffle(parts)
+        body = "".join(parts)
+        if rng.random() < 0.5:
+            body = f"<article><h1>Head {i % 7}</h1>{body}<p>The end {i}</p></article>" + rng.choice(boxes)
+        rows.append((i, f"http://{rng.choice('aab')}.example/{i}", f"<div>{body}</div>" if rng.random() < 0.3 else body))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_against_brute_force(spark, seed):
+    """Texts, and how many blocks go by count; without the count some pages have other texts."""
+    rows = random_pages(seed)
+    got = {r.page_id: (r.text, r.n_template) for r in html_extract.extract(pages(spark, rows)).collect()}
+    assert got == brute_extract(rows, html_extract.MANY)
+    never = {r.page_id: r.text for r in html_extract.extract(pages(spark, rows), many=10**9).collect()}
+    assert sum(never[i] != got[i][0] for i in never) > 20
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<b>" * 20_000 + "x" + "</i>" * 20_000, "<div><b>" * 20_000 + "x" + "</i></b>" * 20_000, "<i>" + "<div>y" * 20_000 + "</i>" * 20_000, "<li><p>" * 20_000, "<table>" + "<tr><td>z" * 20_000, "<p>" + "word " * 400_000, "<" * 50_000, "<a " * 20_000],
+)
+def test_long_and_deep_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_extract.parse(page)
+    assert time.process_time() - began < 5
 
 
 def test_template_of_a_section_goes_on_a_large_host(spark):
@@ -72,7 +176,7 @@ def test_template_of_a_section_goes_on_a_large_host(spark):
 
 
 def test_whole_table(spark):
-    """Pages are documents dressed up: each text is its title and one document."""
+    """Pages are documents dressed up: each text is its title and one document, whole."""
     texts = {" ".join((r.text or "").split()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in registry.queries()["op4_html_extract"](spark, SF).collect():
         words = r.text.split(" ")
