@@ -12,11 +12,13 @@ construction, so a document's graph has its candidates alone:
 Loopy sum-product message passing, in sweeps forwards and backwards through the document until no message changes by
 TOLERANCE, gives each candidate's label, so evidence reaches every occurrence; labels other than ``O`` outside the base spans
 become added spans (also of the kind ``secret``: keys, tokens, passwords). Weights are trained here by piecewise
-likelihood on at most SAMPLE documents with candidates, those of least hash, under distant labels: the base spans, and
-high-entropy tokens for ``secret``. Nothing else is sampled.
+likelihood on all documents, under distant labels: the base spans, and for ``secret`` tokens of letters and digits that
+a word such as `token` or `password` announces at one of their occurrences in the document. So an occurrence that nothing
+announces has the label too, which its own features cannot tell: skip potentials learn to carry it.
 
-Defined results: a null or empty text has no spans; repeated rows are read each; an empty table gives an
-empty result; further columns are ignored. Offsets count code points, ends exclusive.
+Defined results: a null or empty text has no spans; repeated rows are read each; a row without doc_id is read like others; very
+long texts take time in proportion to their length (and their candidates' sweeps); an empty table gives an empty result;
+further columns, whatever their names, are ignored. Offsets count code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -34,20 +36,23 @@ from pyspark.sql import functions as F
 
 from grafmill.llm.common import texts
 
-SAMPLE = 4000
-#: Sweeps end when no message changes by more; those after PLAIN are damped. A bound, by the document's candidates, holds where loops never settle.
-TOLERANCE, PLAIN = 1e-3, 20
+#: Sweeps end when no message changes by more. Those after PLAIN are damped, every CALM sweeps twice as much, so that they end everywhere.
+TOLERANCE, PLAIN, CALM = 1e-3, 20, 20
+#: Bound of learned chain and skip potentials.
+CLIP = 6.0
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
 LABELS = ("O", *KINDS)
 L = len(LABELS)
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: An email's parts at its sign: [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
+LOCAL, DOMAIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-", re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+#: A match begins where its digits do, so runs of digits are read once.
+IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_CANDIDATE = re.compile(r"\S*[0-9@]\S*|(?<!\S)[A-Z]{16,}(?!\S)")
+_CANDIDATE = re.compile(r"(?<!\S)(?:\S*[0-9@]\S*|[A-Z]{16,}(?!\S))")
 _NON_DIGIT = re.compile(r"[^0-9]")
 
 Span = tuple[int, int, int]  # kind, start, end
@@ -63,11 +68,26 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> list[Span]:
+    """Outwards from each sign: what is before it, back to the match before, and the longest domain behind it."""
+    out: list[Span] = []
+    free, at = 0, text.find("@")
+    while at >= 0:
+        # no part holds a sign, so each stretch between two signs is looked at twice at most
+        begin = free + len(text[free:at].rstrip(LOCAL))
+        found = DOMAIN.match(text, at + 1) if begin < at else None
+        if found:
+            out.append((0, begin, found.end()))
+        free = found.end() if found else at + 1
+        at = text.find("@", at + 1)
+    return out
+
+
 def base_spans(text: str) -> list[Span]:
     """By kind as listed, then start."""
     out: list[Span] = []
     if "@" in text:
-        out += [(0, *m.span()) for m in EMAIL.finditer(text)]
+        out += emails(text)
     if not _DIGIT.search(text):
         return out
     for m in IP.finditer(text):
@@ -102,23 +122,23 @@ _KEYWORDS = {"password", "passwd", "pwd", "token", "secret", "key", "apikey", "a
 _CONTACT = {"phone", "tel", "mobile", "fax", "call", "telefon", "tél", "teléfono"}
 
 
-def secretive(token: str) -> bool:
-    """Long, of letters and digits mixed: the distant label of `secret`."""
-    core = token.rsplit("=", 1)[-1].strip("\"'")
-    digits = sum(c.isdigit() for c in core)
-    return len(core) >= 16 and core.isascii() and core.isalnum() and 0 < digits < len(core) and (core.isupper() or core.islower() or len(set(core)) >= 10)
+#: Features of an occurrence; all others are the token's own.
+CONTEXT = frozenset(("keyword", "contact"))
+_BEFORE = re.compile(r"[^\W_]+(?:_[^\W_]+)*")
+
+
+def announced(text: str, a: int, b: int) -> set[str]:
+    """The two words before a token, and what it assigns to, in lower case."""
+    words = _BEFORE.findall(text[max(0, a - 32) : a].lower())[-2:]
+    head, equals, _ = text[a:b].partition("=")
+    return {*words, *([head.lower()] if equals else ())}
 
 
 def features(text: str, a: int, b: int) -> tuple[str, ...]:
     t = text[a:b]
     digits = sum("0" <= c <= "9" for c in t)
     letters = sum(c.isalpha() for c in t)
-    before = text[max(0, a - 24) : a].lower().split()
-    word = before[-1].strip("\"':=(") if before else ""
-    if not word and len(before) > 1:
-        word = before[-2].strip("\"':=(")
-    if "=" in t:
-        word = t.split("=", 1)[0].lower()
+    words = announced(text, a, b)
     out = [
         f"digits{0 if not digits else 1 if digits < 3 else 2 if digits < 5 else 3 if digits < 8 else 4 if digits < 16 else 5 if digits < 20 else 6}",
         f"letters{0 if not letters else 1 if letters < 4 else 2 if letters < 12 else 3}",
@@ -131,13 +151,16 @@ def features(text: str, a: int, b: int) -> tuple[str, ...]:
         out.append("plus")
     if t[0] == "(" and t[-1] == ")":
         out.append("brackets")
-    if secretive(t):
-        out.append("secretive")
+    if digits and letters:
+        changes = sum(x.isdigit() != y.isdigit() for x, y in zip(t, t[1:], strict=False))
+        out.append(f"changes{0 if changes < 2 else 1 if changes < 6 else 2}")
+        if all(c in "0123456789abcdefABCDEF" for c in t):
+            out.append("hexadecimal")
     if t.isascii() and t.isupper() and len(t) >= 16:
         out.append("capitals")
-    if word in _KEYWORDS:
+    if words & _KEYWORDS:
         out.append("keyword")
-    if word in _CONTACT:
+    if words & _CONTACT:
         out.append("contact")
     if digits and digits + t.count(".") == len(t):
         parts = t.split(".")
@@ -171,13 +194,20 @@ class Field:
     def __init__(self, unary: dict[str, np.ndarray], chain: np.ndarray, skip: np.ndarray):
         self.unary, self.chain, self.skip = unary, chain, skip
 
-    def marginals(self, text: str, spots: list[tuple[int, int]]) -> np.ndarray:
+    def potentials(self, text: str, spots: list[tuple[int, int]]) -> np.ndarray:
+        """Log potentials of single candidates. What a token's shape says is said once for all its occurrences, so each has its share."""
+        times = Counter(text[a:b].casefold() for a, b in spots)
         phi = np.zeros((len(spots), L))
         for i, (a, b) in enumerate(spots):
+            m = times[text[a:b].casefold()]
             for f in features(text, a, b):
                 w = self.unary.get(f)
                 if w is not None:
-                    phi[i] += w
+                    phi[i] += w if f in CONTEXT else w / m
+        return phi
+
+    def marginals(self, text: str, spots: list[tuple[int, int]]) -> np.ndarray:
+        phi = self.potentials(text, spots)
         chain, skip = links(text, spots)
         if not chain and not skip:
             return _softmax(phi)
@@ -191,20 +221,18 @@ class Field:
         forth.sort(key=lambda x: x[1])
         back.sort(key=lambda x: -x[1])
         belief = phi.copy()
-        for sweep in range(PLAIN + 80 + len(spots)):
-            change = 0.0
+        sweep, change = 0, TOLERANCE
+        while change >= TOLERANCE:
+            change, sweep = 0.0, sweep + 1
+            damped = 0.5 ** max(0, -(-(sweep - PLAIN) // CALM))
             for order, sent, heard in ((forth, later, earlier), (back, earlier, later)):
                 for e, src, dst, table in order:
                     x = belief[src] - heard[e]
                     new = np.log(np.exp(x - x.max()) @ table)
-                    step = new - new.max() - sent[e]
-                    if sweep >= PLAIN:
-                        step *= 0.5
+                    step = (new - new.max() - sent[e]) * damped
                     sent[e] += step
                     belief[dst] += step
                     change = max(change, step.max(), -step.min())
-            if change < TOLERANCE:
-                break
         return _softmax(belief)
 
 
@@ -232,9 +260,12 @@ class Covered:
 
 
 def distant(text: str, spots: list[tuple[int, int]], base: list[Span]) -> list[int]:
-    """Labels that training takes for true."""
+    """Labels that training takes for true; a secret is one wherever it occurs in the text."""
     covered = Covered(base)
-    return [covered.kind(a, b, 0.5) or (LABELS.index("secret") if secretive(text[a:b]) else 0) for a, b in spots]
+    core = lambda a, b: text[a:b].rsplit("=", 1)[-1].strip("\"'").casefold()
+    secrets = {core(a, b) for a, b in spots if announced(text, a, b) & _KEYWORDS}
+    secrets = {t for t in secrets if len(t) >= 8 and any(c.isdigit() for c in t) and any(c.isalpha() for c in t)}
+    return [covered.kind(a, b, 0.5) or (LABELS.index("secret") if core(a, b) in secrets else 0) for a, b in spots]
 
 
 def observed(text: str) -> Counter:
@@ -251,7 +282,7 @@ def observed(text: str) -> Counter:
 def train(counts: dict[tuple[str, str, int], int]) -> Field:
     """Piecewise: a softmax model of the features, and log ratios of label pairs at chain and skip edges."""
     seen: Counter = Counter()
-    pairs = {"chain": np.full((L, L), 0.5), "skip": np.full((L, L), 0.5) + 2 * np.eye(L)}
+    pairs = {"chain": np.full((L, L), 0.5), "skip": np.full((L, L), 0.05) + 2 * np.eye(L)}
     single = np.full(L, 1.0)
     for (kind, key, y), k in counts.items():
         if kind == "unary":
@@ -266,20 +297,37 @@ def train(counts: dict[tuple[str, str, int], int]) -> Field:
     for i, ((fs, label), k) in enumerate(sorted(seen.items())):
         x[i, [at[f] for f in fs]] = 1
         y[i], n[i] = label, k
-    w = np.zeros((len(names), L))
-    target = np.eye(L)[y] if len(seen) else np.zeros((0, L))
-    total = max(1.0, n.sum())
-    for _ in range(400):
-        p = _softmax(x @ w) if len(seen) else target
-        w += 2.0 * (x.T @ ((target - p) * n[:, None]) / total - 1e-4 * w)
+    w = softmax_fit(x, np.eye(L)[y] if len(seen) else np.zeros((0, L)), n)
     share = single / single.sum()
 
-    def ratio(name: str) -> np.ndarray:
-        joint = pairs[name] + pairs[name].T if name == "skip" else pairs[name]
-        joint = joint / joint.sum()
-        return np.clip(np.log(joint) - np.log(share[:, None] * share[None, :]), -3, 3)
-
-    return Field({f: w[i] for f, i in at.items()}, ratio("chain"), ratio("skip"))
+    chain = pairs["chain"] / pairs["chain"].sum()
+    # against chance at chain edges; at skip edges against agreement, which costs nothing: what the tokens share is said once
+    tied = pairs["skip"] + pairs["skip"].T
+    skip = np.log(tied / np.sqrt(np.outer(np.diag(tied), np.diag(tied))))
+    chain = np.log(chain) - np.log(share[:, None] * share[None, :])
+    return Field({f: w[i] for f, i in at.items()}, np.clip(chain, -CLIP / 2, CLIP / 2), np.clip(skip, -CLIP, CLIP))
+
+
+def softmax_fit(x: np.ndarray, target: np.ndarray, n: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
+    """Weights (features, labels) of least mean loss plus ridge, by Newton's method with steps halved where the loss grows."""
+    n = n / max(1.0, n.sum())
+    w = np.zeros((x.shape[1], target.shape[1]))
+    loss = lambda w: -(n * np.log(np.maximum((_softmax(x @ w) * target).sum(1), 1e-300))).sum() + ridge / 2 * (w * w).sum()
+    now = loss(w)
+    for _ in range(60):
+        p = _softmax(x @ w) if len(x) else target
+        gradient = x.T @ ((p - target) * n[:, None]) + ridge * w
+        labels = range(target.shape[1])
+        hessian = np.block([[x.T @ (x * (n * p[:, a] * ((a == b) - p[:, b]))[:, None]) for b in labels] for a in labels])
+        step = np.linalg.solve(hessian + ridge * np.eye(len(hessian)), gradient.T.ravel()).reshape(target.shape[1], -1).T if w.size else w
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        new = loss(w - size * step)
+        if new >= now - 1e-12:
+            break
+        w, now = w - size * step, new
+    return w
 
 
 def added_spans(field: Field, text: str, base: list[Span]) -> list[Span]:
@@ -309,19 +357,16 @@ def joined(spans: list[Span]) -> str:
 
 
 def fit(docs: DataFrame) -> Field:
-    """Train on at most SAMPLE documents that have candidates, whole texts; executors count, the driver gets distinct features alone."""
-    with_some = docs.where(F.col("text").rlike("[0-9@]"))
-    # the SAMPLE-th least hash, from hashes alone; texts stay where they are
-    h = F.xxhash64("doc_id", F.lit(11))
-    bound = with_some.select(h.alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h")).head()[0]
-    rows = with_some.where(h <= (bound if bound is not None else 0)).select("text")
+    """Train on all documents, whole texts; executors count, the driver gets distinct sets of features alone."""
+    rows = docs.where(F.col("text").rlike("[0-9@]|[A-Z]{16}")).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()  # as many as there are sets of features, a few thousand
         for b in batches:
-            total: Counter = Counter()
             for text in b.column(0).to_pylist():
                 total.update(observed(text))
-            kind, key, y = zip(*total, strict=True) if total else ((), (), ())
+        if total:
+            kind, key, y = zip(*total, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(key, pa.string()), pa.array(y, pa.int32()), pa.array(total.values(), pa.int64())], names=["kind", "key", "y", "n"])
 
     told = rows.mapInArrow(run, "kind string, key string, y int, n long").groupBy("kind", "key", "y").agg(F.sum("n").alias("n"))
