@@ -8,6 +8,7 @@
    body count once, so copies of an article are no template. Counts are combined before their shuffle, which moves
    hashes, never markup.
 3. Subtrees found on at least MANY different pages of a host, whatever its size, are template and go.
+   Subtrees all of whose blocks go by rule (4) need no count, as it would change nothing.
    Inside an `article` or `main` element only structural elements (div, section, lists, tables, nav and so on) can be template: text
    that several articles quote stays.
 4. What a host repeats too seldom to be counted out goes by rule: nav, header, footer and aside elements and hidden ones, and
@@ -81,10 +82,10 @@ def ruled(tag: str, attributes: str, inside: bool) -> bool:
 
 
 class _Open(list):
-    """Open elements: [tag, no text, by rule, inside article or main, first block, parts of the hash]; where each tag is open."""
+    """Open elements: [tag, no text, by rule, inside article or main, blocks and those of main text before, parts of the hash]; where each tag is open."""
 
     def __init__(self) -> None:
-        super().__init__([["", False, False, False, 0, []]])
+        super().__init__([["", False, False, False, (0, 0), []]])
         self.at: dict[str, list[int]] = {}
         self.blocks: list[int] = [0]  # open blocks other than p
         self.closers: list[int] = [0]  # open elements whose opening closes a p
@@ -121,17 +122,20 @@ def parse(page: str) -> tuple[Blocks, list[Subtree]]:
     trees: list[Subtree] = []
     pending: list[str] = []
     stack = _Open()
+    plain = 0  # blocks that no rule removes
 
     def flush() -> None:
+        nonlocal plain
         if pending:
             text = " ".join(entities.unescape("".join(pending)).split())
             pending.clear()
             if text:
                 out.append((text, stack[-1][2]))
+                plain += not stack[-1][2]
                 stack[-1][5].append(text)
 
     def close() -> None:
-        tag, _, _, inside, first, parts = stack[-1]
+        tag, _, _, inside, (first, plain_before), parts = stack[-1]
         block = tag in BLOCK
         if block:
             flush()
@@ -141,7 +145,7 @@ def parse(page: str) -> tuple[Blocks, list[Subtree]]:
         elif parts:
             h = xxhash.xxh64_intdigest("\0".join([tag, *parts]).encode("utf-8", "surrogatepass")) >> 1
             stack[-1][5].append(f"\1{h:x}")
-            if tag not in ("html", "body", "article", "main", "br") and (not inside or tag in STRUCTURE):
+            if plain > plain_before and tag not in ("html", "body", "article", "main", "br") and (not inside or tag in STRUCTURE):
                 trees.append((h, first, len(out)))
 
     def close_to(k: int) -> None:
@@ -184,7 +188,7 @@ def parse(page: str) -> tuple[Blocks, list[Subtree]]:
         rule = by_rule or not no_text and ruled(tag, m.group(5), inside)
         if rule and not by_rule and tag not in BLOCK:
             flush()  # an inline element that goes by rule is a block of its own
-        stack.push([tag, no_text or tag in NEVER, rule, inside or tag in ("article", "main"), len(out), []])
+        stack.push([tag, no_text or tag in NEVER, rule, inside or tag in ("article", "main"), (len(out), plain), []])
     if at < len(page) and not stack[-1][1]:
         pending.append(page[at:])
     close_to(1)
@@ -223,8 +227,9 @@ def main_text(blocks: list[str], ruled: list[bool], trees: list[dict], gone: lis
     out, over, counted = [], 0, 0
     for text, rule, step in zip(blocks, ruled, steps, strict=False):
         over += step
-        counted += over > 0
-        if not over and not rule:
+        if not rule and over:
+            counted += 1
+        elif not rule:
             out.append(text)
     return " ".join(out), counted, len(blocks) - counted - len(out)
 
@@ -237,7 +242,7 @@ def _without_template(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def extract(pages: DataFrame, many: int = MANY) -> DataFrame:
-    """page_id, url, text, n_chars; n_template and n_ruled: blocks that went by count and by rule."""
+    """page_id, url, text, n_chars; n_template and n_ruled: blocks that went by count alone, and by rule."""
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
     parsed = materialize(source.mapInArrow(_parsed, PARSED).withColumn("key", F.xxhash64("host", "body", "trees.h")), "parsed-pages")
     marks = F.explode(F.array_distinct("trees.h")).alias("mark")

@@ -126,7 +126,7 @@ def brute_extract(rows, many):
     for i, (root, name) in trees.items():
         out = []
         walk(root, False, False, False, out, set(), {k for h, k in counts if h == name and len(counts[h, k]) >= many})
-        result[i] = " ".join(t for t, rule, over in out if not rule and not over), sum(map(bool, (o for _, _, o in out)))
+        result[i] = " ".join(t for t, rule, over in out if not rule and not over), sum(bool(over) and not rule for _, rule, over in out)
     return result
 
 
