@@ -3,18 +3,20 @@
 1. Word counts of the whole corpus (Spark aggregates them, combined before the shuffle) give a character trigram
    language model: each distinct clean word adds the logarithm of its count to its trigrams. The model has
    one number for each trigram of a fixed alphabet.
-2. A token that looks obfuscated (digits or symbols among letters, runs of one letter, letters set apart by
-   spaces or punctuation) becomes a lattice: each character may stand for itself, for the letters it imitates, be
-   a separator to delete or one more of a run. Viterbi finds the likeliest word under channel costs and language model.
+2. A token that may be obfuscated (digits or symbols among letters, a letter masked by one symbol, doubled letters, letters of
+   another script that look like Latin ones, letters set apart by spaces or punctuation) becomes a lattice: each character may
+   stand for itself, for the letters it imitates, be a separator to delete or one more of a run. Viterbi, over all states,
+   finds the likeliest word under channel costs and language model; what stands there is read as well as what is behind it.
    Letters set apart are joined, however many, and the lattice may also end a word and begin the next between any two.
 3. Labelled rows (labels.toxic, crc32(doc_id) mod 4 not 2; at most SAMPLE of them, those of least
    hash) give for each feature (word, word beginnings, inner n-grams) how many toxic and clean documents hold
    it. Features that tell enough make the lexicon; a word's weight is that of its best feature.
-4. A document's evidence is the sum of its three strongest distinct words over original and restored text; a logistic
-   curve over it, fitted on the same rows, gives the score. Labels, lang, source and doc_id are no inputs.
+4. A document's evidence is the sum of its distinct words' weights over original and restored text, each next strongest one
+   counting half of the one before; a logistic curve over it, fitted on the same rows, gives the score. Labels, lang, source and doc_id are no inputs.
 
 Defined results: a null or empty text has no evidence and the score that goes with it; repeated rows are scored each;
-without labels of both kinds the score is 0; an empty table gives an empty result; further columns are ignored.
+tokens and texts of any length are read whole; without labels of both kinds the score is 0; an empty table gives an empty result;
+further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -36,8 +38,6 @@ from grafmill.llm.common import materialize, texts
 SAMPLE = 20_000
 #: A feature needs this many toxic training documents and this log odds.
 LEAST_TOXIC, LEAST_ODDS = 4, 2.5
-#: Lexicon entries, at most: the strongest. Bounded by SAMPLE in any case.
-LEXICON = 50_000
 #: What a Python worker remembers at most: tokens, words' features, features counted before they are passed on.
 MEMO, FEATURES_MEMO, COUNTED = 200_000, 20_000, 250_000
 
@@ -48,17 +48,20 @@ OTHER = _CODE["\1"]
 
 LOOKS_LIKE = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "aeiou", "%": "aeiou", "&": "aeiou", "v": "u", "u": "v",
+    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "v": "u", "u": "v",
 }
+#: Symbols that may stand for any letter.
+WILD = "*#%&"
+LOOKS_LIKE |= dict.fromkeys(WILD, "abcdefghijklmnopqrstuvwxyz")
 _CYRILLIC = dict(zip("аеорсухіѕ", "aeopcyxis", strict=True))
 LOOKS_LIKE |= _CYRILLIC
 SEPARATORS = set(".-_*~'`,·•/\\|^+=:; ")
 KEEP, SWAP, SWAP_WILD, DROP, RUN = 0.0, 1.5, 3.0, 1.0, 0.7
-#: Edges of a token that are no part of its word.
-_EDGE = re.compile(r"^[^\w@$!|]+|[^\w@$|]+$|(?<=[a-zà-ÿ])[$|!]+$")
-_NOISY = re.compile(r"[^\W\d_][\W\d_]+[^\W\d_]|^[\d@$!|]+[^\W\d_]|[^\W\d_][\d@$|]+$|([^\W\d_])\1\1")
+#: Edges of a token that are no part of its word; one symbol in the place of a first or last letter is.
+_EDGE = re.compile(r"^[^\w@$!|*#%&]+|^[*#%&](?![^\W\d_])[^\w@$!|]*|^[*#%&]{2,}|(?<![*#%&])[^\w@$|*#%&]+$|[*#%&]{2,}[^\w@$|]*$|(?<=[a-zà-ÿ])[$|!]+$")
+_NOISY = re.compile(rf"[^\W\d_][\W\d_]+[^\W\d_]|^[\d@$!|*#%&]+[^\W\d_]|[^\W\d_][\d@$|*#%&]+$|([^\W\d_])\1|[{''.join(_CYRILLIC)}]")
 #: What glues words into one token; runs of a letter that say no more than three of it.
-_GLUE, _RUNS = re.compile(r"[-._/\\,:;=+~]+"), re.compile(r"([^\W\d_])\1{3,}")
+_GLUE, _RUNS, _RUN = re.compile(r"[-._/\\,:;=+~]+"), re.compile(r"([^\W\d_])\1{3,}"), re.compile(r"([^\W\d_])\1+")
 #: In the tokens' lengths: runs of tokens of one or two characters, letters set apart.
 _SHORT = re.compile(rb"[\x01\x02]{4,}")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -68,6 +71,11 @@ def code(c: str) -> int:
     return _CODE.get(c, OTHER)
 
 
+def fold(word: str) -> str:
+    """What all readings of a word of letters share."""
+    return _RUN.sub(r"\1", word.replace("v", "u"))
+
+
 class CharModel:
     """Character trigrams, smoothed by their bigrams."""
 
@@ -116,8 +124,6 @@ class CharModel:
                         state, value, link = (a, b), cost + channel + 1.0, word
                     if state not in new or value < new[state][0]:
                         new[state] = (value, link)
-            if len(new) > 24:
-                new = dict(sorted(new.items(), key=lambda t: t[1][0])[:24])
             if edges:
                 ended = min(((cost + self.cost[a][b][0], word) for (a, b), (cost, word) in new.items() if b), key=lambda t: t[0], default=None)
                 if ended and ((0, 0) not in new or ended[0] < new[0, 0][0]):
@@ -153,7 +159,7 @@ def _counted(seen: dict[str, int]) -> pa.RecordBatch:
     out: dict[str, int] = {}
     for w, n in seen.items():
         w = w.strip(".,;:!?\"'()[]|*%$&#<>")
-        if w.isalpha() and len(w) <= 40:
+        if w.isalpha():
             out[w] = out.get(w, 0) + n
     return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["word", "n"])
 
@@ -199,7 +205,7 @@ class Restorer:
         """Words of a lower-cased token; if it looks obfuscated, also what is behind its glued parts and, last, behind all of it."""
         core = _EDGE.sub("", raw)
         found = (core,) if core.isalpha() else tuple(_WORD.findall(core))
-        if _NOISY.search(core):
+        if _NOISY.search(core) and self.promising(core):
             core = _RUNS.sub(r"\1\1\1", core)
             parts = [p for p in _GLUE.split(core) if len(p) > 2]
             if len(parts) > 1:
@@ -207,6 +213,10 @@ class Restorer:
             found = (*found, self.model.restore(core))
         return found
 
+    def promising(self, core: str) -> bool:
+        """Whether what is behind a token can matter."""
+        return True
+
     def token(self, raw: str) -> tuple[str, ...]:
         found = self.tokens.get(raw)
         if found is None:
@@ -235,24 +245,30 @@ class Restorer:
 
 
 class Scorer(Restorer):
-    """Evidence of a text: words' weights from the lexicon, the three strongest distinct ones added."""
+    """Evidence of a text: words' weights from the lexicon, each next one counting half."""
 
     def __init__(self, model: CharModel, lexicon: dict[str, float]):
         import ahocorasick
 
         super().__init__(model)
-        self.found = ahocorasick.Automaton()
+        self.found, self.folded = ahocorasick.Automaton(), ahocorasick.Automaton()
         for f, w in lexicon.items():
             # "=word" is the whole word, "^be" its beginning; edges are marked in the word searched
             self.found.add_word(f"^{f[1:]}=" if f[0] == "=" else f, w)
+            self.folded.add_word(fold(f"^{f[1:]}=" if f[0] == "=" else f), True)
         if lexicon:
             self.found.make_automaton()
+            self.folded.make_automaton()
         self.weights: dict[str, float] = {}
         self.any = bool(lexicon)
 
     def weight(self, word: str) -> float:
         return max((w for _, w in self.found.iter(f"^{word}=")), default=0.0) if self.any else 0.0
 
+    def promising(self, core: str) -> bool:
+        """In a token of letters only runs, and u for v, can be noise: if it holds no folded entry, nothing behind it holds one."""
+        return not core.isalpha() or not _CYRILLIC.keys().isdisjoint(core) or self.any and next(self.folded.iter(fold(f"^{core}=")), None) is not None
+
     def of_token(self, raw: str) -> float:
         out = max(map(self.weight, self.read(raw)), default=0.0)
         if len(self.weights) >= MEMO:
@@ -281,7 +297,8 @@ class Scorer(Restorer):
             for w, x in known.items():
                 apart[w] = max(x, apart.get(w, 0.0))
         strong += filter(None, apart.values())
-        return sum(sorted(strong, reverse=True)[:3])
+        strong.sort(reverse=True)
+        return sum(w * 0.5**i for i, w in enumerate(strong))
 
 
 def held_out(doc_id: int) -> bool:
@@ -337,14 +354,14 @@ def fit_lexicon(rows: DataFrame, model: CharModel) -> dict[str, float]:
         return {}
     odds = F.log((F.col("t") + 0.5) / (n[1] + 1)) - F.log((F.col("c") + 0.5) / (n[0] + 1))
     told = rows.mapInArrow(run, "feature string, t long, c long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(F.col("t") >= LEAST_TOXIC)
-    told = told.withColumn("w", odds).where(F.col("w") >= LEAST_ODDS).orderBy(F.desc("w"), F.desc("t"), "feature").limit(LEXICON)
-    return {r.feature: float(r.w) for r in told.select("feature", "w").collect()}
+    # as many as SAMPLE documents can hold; most are rare
+    return {r.feature: float(r.w) for r in told.withColumn("w", odds).where(F.col("w") >= LEAST_ODDS).select("feature", "w").collect()}
 
 
 def evidence(docs: DataFrame, model: CharModel, lexicon: dict[str, float], *more: str) -> DataFrame:
     """doc_id, further columns, evidence."""
     spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast((model, lexicon))  # a fixed alphabet's trigrams and at most LEXICON entries
+    shipped = spark.sparkContext.broadcast((model, lexicon))  # a fixed alphabet's trigrams and a lexicon of SAMPLE documents
     kinds = ", ".join(f"{c} {t}" for c, t in docs.select("doc_id", *more).dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

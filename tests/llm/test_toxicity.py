@@ -80,3 +80,78 @@ def test_long_tokens_are_decoded(words):
     assert restorer.read("st" + "u" * 60 + "pid")[-1] == "stupid"
     assert "idiot" in restorer.read("people-with-a-wonderful-little-garden-and-house-id1ot")
     assert toxicity.Scorer(words, {"=moron": 3.0}).evidence("the.people.and.the.little.garden.with.a.m0r0n") == 3.0
+
+
+def cheapest(model, token):
+    """Every way through the lattice tried: the least cost, and a word that has it."""
+    import itertools
+
+    T, best = toxicity, (np.inf, "")
+    ways = []
+    for i, c in enumerate(token):
+        here = [(c, T.KEEP)] if c.isalpha() else []
+        if c.isalpha() and i and c == token[i - 1]:
+            here.append(("", T.RUN + 1.0))
+        here += [(x, (T.SWAP_WILD if len(T.LOOKS_LIKE[c]) > 2 else T.SWAP) + (1.5 if c.isalpha() and c not in T._CYRILLIC else 0)) for x in T.LOOKS_LIKE.get(c, "")]
+        if not c.isalpha():
+            here.append(("", 1.0 + (T.DROP if c in T.SEPARATORS else T.DROP + 3 if len(T.LOOKS_LIKE.get(c, "")) != 1 and c not in "1|6" else 9.0)))
+        ways.append(here)
+    for path in itertools.product(*ways):
+        word, cost, a, b = "".join(x for x, _ in path), sum(k for _, k in path), 0, 0
+        for x in word:
+            cost += model.cost[a][b][T.code(x)]
+            a, b = b, T.code(x)
+        cost += model.cost[a][b][0]
+        best = min(best, (cost, word))
+    return best
+
+
+def test_decoder_against_every_path(words):
+    """Viterbi finds the cheapest of all words, also where wild symbols make many states."""
+    for token in ("1d10t", "st*pid", "m0r0n", "s**pid", "iid10t", "i.d-i0t", "*diot", "v1u8", "5tuup1d", "4ss3ss", "|d!ot"):
+        assert words.restore(token) == cheapest(words, token)[1], token
+
+
+@pytest.mark.parametrize(("noisy", "word"), [("stuupid", "stupid"), ("mmoorroonn", "moron"), ("*diot", "idiot"), ("idio*", "idiot"), ("moro#", "moron"), ("idі0t", "idiot"), ("іdіоt", "idiot"), ("(st*pid!)", "stupid"), ("st**id", "stupid")])
+def test_tokens_that_reach_the_lattice(words, noisy, word):
+    assert word in toxicity.Restorer(words).read(noisy)
+    assert toxicity.Scorer(words, {f"={word}": 3.0}).evidence(f"the {noisy} garden") == 3.0
+
+
+@pytest.mark.parametrize("text", ["que*** de%%% onier###", "wonderful", "little garden"])
+def test_words_that_are_not_touched(words, text):
+    assert toxicity.Restorer(words).restored(text).replace("*", "").replace("%", "").replace("#", "").split() == text.replace("*", "").replace("%", "").replace("#", "").split()
+
+
+def obfuscated():
+    """Documents with a toxic word, plain in the labelled ones, obfuscated in the others, and clean documents."""
+    import random
+
+    rng = random.Random(8)
+    filler = "the garden and house with people in little morning of wonderful summer days near rivers where children sing".split()
+    noise = {"idiot": ["1d10t", "i d i o t", "i.d.i.o.t", "*diot", "idііot", "iiidioott"], "stupid": ["$tup1d", "st*pid", "s t u p i d", "stuuupid", "s-t-u-p-i-d"], "moron": ["m0r0n", "moro#", "mmoorroonn", "m_o_r_o_n"]}
+    docs, labels, hidden = [], [], []
+    for i in range(400):
+        say = [rng.choice(filler) for _ in range(30)]
+        toxic = i % 4 == 1
+        if toxic:
+            word = rng.choice(list(noise))
+            held = toxicity.held_out(i)
+            say.insert(rng.randrange(5, 25), rng.choice(noise[word]) if held else word)
+            hidden += [i] * held
+        docs.append((i, " ".join(say)))
+        labels.append((i, 1, int(toxic)))
+    return docs, labels, hidden
+
+
+def test_restoration_turns_verdicts(spark, frame, monkeypatch):
+    """Obfuscated toxic words are caught, and missed where restoration is left out; clean documents stay clean."""
+    docs, labels, hidden = obfuscated()
+    told = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r.predicted for r in toxicity.score_toxicity(frame(docs), told).collect()}
+    assert sum(out[i] for i in hidden) >= 0.85 * len(hidden) and not any(out[i] for i, _, y in labels if not y)
+    counts = np.zeros(toxicity.N**3)
+    scorer = toxicity.Scorer(toxicity.CharModel(counts), {f"={w}": 3.0 for w in ("idiot", "stupid", "moron")})
+    monkeypatch.setattr(toxicity.Restorer, "read", lambda self, raw: (raw,))
+    monkeypatch.setattr(toxicity.Restorer, "runs", lambda self, tokens: [])
+    assert not any(scorer.evidence(t) for i, t in docs if i in hidden)
