@@ -6,7 +6,7 @@
 2. A signature holds the minima of BANDS * ROWS universal hashes; representatives that share a band meet in
    a bucket. At the threshold 0.85 a pair misses all buckets with probability (1 - 0.85**4)**32 < 1e-10.
 3. First each text is compared with the smallest id that it shares any bucket with: one pair a text at most. Pairs whose
-   signatures are far apart go (the bound lies more than six standard deviations below the threshold); the rest are
+   signatures are far apart go (the bound lies more than eight standard deviations below the threshold); the rest are
    confirmed on full sets. Links join texts into components.
 4. Buckets that still hold several components are compared in full, signatures against signatures, as arrays, larger
    buckets as pairs of blocks; only rows of different components and of like sizes meet. First each text puts forward its
@@ -14,17 +14,23 @@
    Rows without a near one need not go further.
    In what is left each near pair is confirmed on full sets where it meets, in the first bucket that it shares, unless
    links found there connect it already; only links leave the task. So no link between components is lost,
-   however large the bucket. A block holds at most BLOCK rows and about WEIGHT shingles.
+   however large the bucket: of two components one at least is not the bucket's largest, and only rows of such ones (seekers)
+   look at others. So all rows of a bucket are dealt over blocks once, and seekers go to each of them; where seekers are many,
+   they are in blocks too, and pairs of blocks meet. A block holds at most BLOCK rows and about WEIGHT shingles.
 5. Links go through alternating large-star and small-star steps, until nothing changes.
 
+What may be missed: a pair at the threshold 0.85 shares no band with probability 6e-11 (at 0.8: 5e-8), and has minima that agree
+so little (SLACK) with probability 1e-16 (1e-14); both fall fast with similarity.
+
 Defined results: null text as empty; empty texts are kept, each its own component; equal rows fall into one class;
-rows that repeat one doc_id are one document (one row each, same verdict); a row without doc_id is linked with
-equal sets alone; an empty table gives an empty result; further columns are ignored.
+rows with words that repeat one doc_id are one document (one row each, same verdict): if their texts differ, it is linked with all that
+any of them is linked with; a row without doc_id is linked with equal sets alone; texts may be of any length; an empty table
+gives an empty result; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +43,11 @@ from grafmill.llm.exact_dedup import possible
 
 BANDS, ROWS = 32, 4
 #: Rows of a bucket compared in one task at most.
-BLOCK = 4096
+BLOCK = 2048
 #: Words whose hashes a Python worker remembers.
 MEMO = 200_000
-#: Signature agreement below this much under the threshold is no link: 6 sigma of 128 minima.
-SLACK = 0.2
+#: Signature agreement below this much under the threshold is no link: over 8 sigma of 128 minima.
+SLACK = 0.3
 #: Shingles of a block whose sets are compared in one task, about.
 WEIGHT = 1 << 20
 
@@ -175,8 +181,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     classes = signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     members = materialize(signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "classes")
     reps = members.where("doc_id = rep and n_shingles > 0").select("doc_id").distinct()
-    sigs = materialize(signed.select("doc_id", "n_shingles", "sig").dropDuplicates(["doc_id"]).join(reps, "doc_id"), "representatives")
+    sigs = materialize(signed.select("doc_id", "n_shingles", "set_key", "sig").dropDuplicates(["doc_id", "set_key"]).join(reps, "doc_id"), "representatives")
     links = _links(docs, sigs, k, percent)
+    # texts of one doc_id belong together
+    told = members.where("n_shingles > 0 and doc_id is not null")
+    several = told.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
+    same = materialize(told.select("doc_id", F.col("rep").alias("b")).distinct().join(several, "doc_id").where("a <> b").select("a", "b"), "one-id")
+    if not same.isEmpty():
+        links = same if links is None else links.unionByName(same)
     if links is None:
         component = members.withColumn("component_id", F.col("rep"))
     else:
@@ -201,7 +213,7 @@ def _links(docs: DataFrame, sigs: DataFrame, k: int, percent: int) -> DataFrame
     near = materialize(near.mapInArrow(_estimated(least), "a long, b long"), "candidates")
     links = materialize(_confirm(docs, near, k, percent), "links")
 
-    rows = _blocks(_mixed(bands, links).join(short, "doc_id"), F.ceil(F.col("n") / BLOCK)).select(*_KEY, "doc_id", "component", "n_shingles", "sig")
+    rows = _blocks(_mixed(bands, links).join(short, "doc_id"), lambda n, _: n / BLOCK).select(*_KEY, "doc_id", "component", "n_shingles", "sig")
     found = materialize(_dealt(rows).mapInArrow(_by_blocks(_nearest(least, percent)), "bucket long, doc long, partner long, agree int"), "found")
     best = found.where("partner is not null").groupBy("doc").agg(F.max_by("partner", F.struct("agree", -F.col("partner"))).alias("partner"))
     near = materialize(best.select(F.least("doc", "partner").alias("a"), F.greatest("doc", "partner").alias("b")).distinct(), "candidates")
@@ -211,32 +223,42 @@ def _links(docs: DataFrame, sigs: DataFrame, k: int, percent: int) -> DataFrame
     # only rows that have a near one of another component in their bucket
     bands = bands.join(found.select("bucket", F.col("doc").alias("doc_id")).distinct(), ["bucket", "doc_id"])
     mixed = _mixed(bands, links)
-    sets = possible(docs, mixed.select("doc_id")).mapInArrow(_sets(k), "doc_id long, found binary")
-    told = sigs.drop("n_shingles").join(mixed.select("doc_id").distinct(), "doc_id", "left_semi").join(sets, "doc_id").dropDuplicates(["doc_id"])
-    rows = _blocks(mixed.join(materialize(told, "sets"), "doc_id"), F.ceil(F.greatest(F.col("n") / (BLOCK // 2), F.col("weight") / WEIGHT))).select(*_KEY, "doc_id", "component", "n_shingles", "sig", "band", "found")
+    sets = possible(docs, mixed.select("doc_id")).mapInArrow(_sets(k), "doc_id long, set_key binary, found binary")
+    told = sigs.drop("n_shingles").join(mixed.select("doc_id").distinct(), "doc_id", "left_semi").join(sets, ["doc_id", "set_key"]).dropDuplicates(["doc_id", "set_key"]).drop("set_key")
+    rows = _blocks(mixed.join(materialize(told, "sets"), "doc_id"), lambda n, weight: F.greatest(n / (BLOCK // 2), weight / WEIGHT)).select(*_KEY, "doc_id", "component", "n_shingles", "sig", "band", "found")
     links = links.unionByName(materialize(_dealt(rows).mapInArrow(_by_blocks(_linked(least, percent)), "a long, b long"), "links"))
     return None if links.isEmpty() else links
 
 
-_KEY = ("bucket", "lo", "hi", "own")
+_KEY = ("bucket", "lo", "hi", "seeks")
 
 
 def _mixed(bands: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows (bucket, doc_id, ..., component) of the buckets that hold several components; n rows of ``weight`` shingles each."""
+    """Rows (bucket, doc_id, ..., component, seeks) of the buckets that hold several components, with their numbers of rows and
+    shingles, ``n`` and ``weight``, and those of the seekers, ``n_seek`` and ``weight_seek``."""
     if links.isEmpty():
         left = bands.withColumn("component", F.col("doc_id"))
     else:
         left = bands.join(components(links), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     left = materialize(left, "labelled")
-    still = left.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"), F.sum("n_shingles").alias("weight")).where("x <> y")
-    return materialize(left.join(still.drop("x", "y"), "bucket"), "mixed")
-
-
-def _blocks(rows: DataFrame, blocks: Column) -> DataFrame:
-    """Each row once for each pair of blocks of its bucket that it belongs to: (lo, hi), and its own block."""
-    out = rows.withColumn("blocks", blocks.cast("long"))
-    out = out.withColumn("own", F.pmod(F.xxhash64("doc_id", "bucket"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return out.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    sizes = left.groupBy("bucket", "component").agg(F.count("*").alias("k"), F.sum("n_shingles").alias("w"))
+    # the bucket's largest component; a bucket of one has none that seeks
+    still = sizes.groupBy("bucket").agg(F.max(F.struct("k", "w", "component")).alias("top"), F.sum("k").alias("n"), F.sum("w").alias("weight")).where(F.col("n") > F.col("top.k"))
+    still = still.select("bucket", F.col("top.component").alias("largest"), "n", "weight", (F.col("n") - F.col("top.k")).alias("n_seek"), (F.col("weight") - F.col("top.w")).alias("weight_seek"))
+    return materialize(left.join(still, "bucket").withColumn("seeks", F.col("component") != F.col("largest")).drop("largest"), "mixed")
+
+
+def _blocks(rows: DataFrame, size: Callable[[Column, Column], Column]) -> DataFrame:
+    """Each row once for each task (lo, hi) of its bucket that it belongs to: all rows are dealt over blocks hi, seekers also over
+    blocks lo; a row goes to its block hi with every lo (seeks: false), a seeker to its block lo with every hi (seeks: true)."""
+    count = lambda n, weight: F.greatest(F.lit(1), F.ceil(size(F.col(n), F.col(weight)))).cast("long")
+    spread = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    out = rows.withColumns({"his": count("n", "weight"), "los": count("n_seek", "weight_seek")})
+    h = F.xxhash64("doc_id", "bucket")
+    # a task of few seekers holds a whole block of rows, one of a whole block of seekers as many rows again
+    home = out.withColumns({"hi": F.pmod(h, F.col("his")), "lo": F.explode(spread("los")), "seeks": F.lit(False)})
+    seek = out.where("seeks").withColumns({"lo": F.pmod(h, F.col("los")), "hi": F.explode(spread("his"))})
+    return home.unionByName(seek)
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -247,7 +269,8 @@ def _dealt(rows: DataFrame) -> DataFrame:
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x, k).tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "found"])
+            found = [shingles(x, k).tobytes() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([xxhash.xxh128_digest(x) if x else None for x in found], pa.binary()), pa.array(found, pa.binary())], names=["doc_id", "set_key", "found"])
 
     return run
 
@@ -281,26 +304,25 @@ def _by_blocks(compare):
 
 
 class _Block:
-    """Rows of a block pair by size, and which of them are near a given one."""
+    """Rows of one task by size, which of them seek, and which of the others are near a given one."""
 
     def __init__(self, table: pa.Table, least: float, percent: int, kind: type):
         table = table.combine_chunks()
         n = table["n_shingles"].to_numpy()
-        order = np.argsort(n, kind="stable")
-        self.table, n = table.take(pa.array(order)), n[order]
-        self.own, self.doc, self.component = (self.table[c].to_numpy().copy() for c in ("own", "doc_id", "component"))
+        seeks = table["seeks"].to_numpy(zero_copy_only=False)
+        order = np.lexsort((n, seeks))  # those looked at first, by size
+        self.table, n, seeks = table.take(pa.array(order)), n[order], seeks[order]
+        self.doc, self.component = (self.table[c].to_numpy().copy() for c in ("doc_id", "component"))
         self.sig = np.frombuffer(b"".join(self.table["sig"].to_pylist()), kind).reshape(len(n), -1)
+        home = n[~seeks]
         # sizes within the threshold's ratio: a stretch of the rows around each one
-        self.up, self.down = np.searchsorted(n, n * 100 / percent, "right"), np.searchsorted(n, n * percent / 100, "left")
-        self.across, self.least = table["lo"][0] != table["hi"][0], least * self.sig.shape[1]
-        # of two different components one at least is not the largest: its rows look at all others
-        names, size = np.unique(self.component, return_counts=True)
-        self.seekers = np.flatnonzero(self.component != names[size.argmax()])
+        self.up, self.down = np.searchsorted(home, n * 100 / percent, "right"), np.searchsorted(home, n * percent / 100, "left")
+        self.least, self.seekers = least * self.sig.shape[1], np.flatnonzero(seeks)
 
     def near(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows of other components near row i, nearest first; how many minima agree; where they agree."""
+        """Rows of other components near seeker i, nearest first; how many minima agree; where they agree."""
         j = np.arange(self.down[i], self.up[i])
-        j = j[(self.component[j] != self.component[i]) & ((self.own[j] != self.own[i]) if self.across else True)]
+        j = j[self.component[j] != self.component[i]]
         same = self.sig[j] == self.sig[i]
         agree = same.sum(1)
         order = np.lexsort((self.doc[j], -agree))

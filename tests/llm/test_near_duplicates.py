@@ -29,6 +29,32 @@ def test_rows_without_id(spark, frame):
     assert got == [(0, 0, True), (0, 0, True), (0, 4, False), (4, 4, True)]
 
 
+def test_one_id_with_several_texts(spark, frame):
+    """It is linked with what any of its texts is linked with, the same in every run."""
+    rng = random.Random(9)
+    one, two, three = ([f"{p}{rng.randrange(500)}" for _ in range(120)] for p in "abc")
+    near_one, near_two = [*one[:60], "x", *one[61:]], [*two[:40], "y", *two[41:]]
+    rows = [(7, one), (7, two), (7, two), (3, near_one), (9, near_two), (5, three), (12, three[:110]), (12, one[:30]), (None, near_one), (None, three)]
+    rows = [(d, " ".join(t)) for d, t in rows] + [(8, None), (8, " ".join(three))]
+    for _ in range(2):
+        got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash.near_duplicates(frame(rows), 3, 85).collect())
+        assert got == [(0, 3, False), (0, 5, False), (3, 3, True), (5, 5, True), (7, 3, False), (7, 3, False), (7, 3, False), (8, 5, False), (8, 8, True), (9, 3, False), (12, 5, False), (12, 5, False)]
+
+
+def test_a_bucket_of_many_is_dealt_over_tasks(spark, frame):
+    """Rows of a bucket are copied for its seekers alone; every seeker meets every row once."""
+    n, few = 300, 7
+    rows = spark.createDataFrame([(5, i, 10) for i in range(n)], "bucket long, doc_id long, n_shingles long")
+    mixed = minhash._mixed(rows, spark.createDataFrame([(i, few) for i in range(few + 1, n)], "a long, b long"))
+    dealt = minhash._blocks(mixed, lambda k, _: k / 64).select("lo", "hi", "seeks", "doc_id").collect()
+    tasks = {}
+    for r in dealt:
+        tasks.setdefault((r.lo, r.hi), ([], []))[r.seeks].append(r.doc_id)
+    met = sorted((s, h) for homes, seekers in tasks.values() for s in seekers for h in homes)
+    assert met == sorted((s, h) for s in range(few) for h in range(n))
+    assert max(len(h) + len(s) for h, s in tasks.values()) < 130 and len(dealt) == n + few * 5
+
+
 def test_empty_table(spark, frame):
     assert minhash.near_duplicates(frame([]), 3, 85).count() == 0
 
