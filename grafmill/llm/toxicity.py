@@ -389,16 +389,37 @@ def fit_curve(rows: pd.DataFrame) -> tuple[float, float]:
     return float(beta[0]), float(max(beta[1], 0.0))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
-    docs = texts(docs)
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[CharModel, dict[str, float], tuple[float, float] | None]:
+    """Character model, lexicon and curve; no curve without labels of both kinds."""
     model = char_model(docs)
     rows = materialize(training(docs, labels), "labelled")
     lexicon = fit_lexicon(rows, model)
     fitted = evidence(rows, model, lexicon, "toxic").select("toxic", "evidence").toPandas()  # at most SAMPLE rows
-    both = fitted["toxic"].nunique() == 2
-    a, b = fit_curve(fitted) if both else (0.0, 0.0)
+    return model, lexicon, fit_curve(fitted) if fitted["toxic"].nunique() == 2 else None
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    docs = texts(docs)
+    model, lexicon, curve = fit(docs, labels)
+    a, b = curve or (0.0, 0.0)
     z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.lit(a) + F.lit(b) * F.col("evidence")))
-    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-z)) if both else F.lit(0.0)
+    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-z)) if curve else F.lit(0.0)
     out = evidence(docs, model, lexicon).withColumn("score", score)
     return out.select("doc_id", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """Rows of ``docs``, with all their columns, whose score is below ``threshold``: judged where they are read, whatever their doc_id."""
+    model, lexicon, curve = fit(texts(docs), labels)
+    if curve is None:
+        return docs
+    shipped, at = docs.sparkSession.sparkContext.broadcast((model, lexicon)), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*shipped.value)
+        for b in batches:
+            z = np.array([curve[0] + curve[1] * scorer.evidence(t or "") for t in b.column(at).to_pylist()])
+            yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -38,6 +38,30 @@ def test_stages_keep_the_columns_of_documents(spark, frame, k):
     assert {1, 3} <= {r.doc_id for r in out.collect()} or k in (1, 2)
 
 
+WORDS = " ".join(f"word{i}" for i in range(200))
+
+
+def test_rows_without_id(spark, frame):
+    """Copies and near copies go whether they have a doc_id or not; of rows alike one stays."""
+    rows = [(None, "a mail a@b.cd"), (None, "a mail a@b.cd"), (5, "a mail a@b.cd"), (5, "a mail a@b.cd"), (None, "once"), (None, None), (None, ""), (6, None), (5, "other text of the same id")]
+    got = sorted((r.doc_id or 0, r.text or "", r.lang, r.salt) for r in corpus_pipeline.remove_copies(spark, frame(rows), SF).collect())
+    assert got == sorted([(5, "a mail a@b.cd", "en", 2), (0, "once", "en", 2), (6, "", "en", 2), (5, "other text of the same id", "en", 2)])
+    rows = [(None, WORDS + " end"), (4, WORDS), (None, "something else"), (None, WORDS + " more"), (9, WORDS + " and more")]
+    got = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.remove_near_copies(spark, frame(rows), SF).collect())
+    assert got == [(0, "something else"), (4, WORDS)]
+
+
+def test_toxic_rows_without_id_go(spark, frame, tmp_path):
+    words = "idiot moron stupid".split()
+    rows = [(i, f"{WORDS[: 20 + i]} {words[i % 3] if i % 4 == 0 else 'garden'} here") for i in range(120)]
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    more = [(None, "you 1d10t"), (None, "fine words"), (3, "a moron too"), (None, None)]
+    out = corpus_pipeline.remove_toxic(spark, frame([*rows, *more]), str(tmp_path)).collect()
+    texts = [r.text for r in out]
+    assert "fine words" in texts and None in texts and "you 1d10t" not in texts and "a moron too" not in texts
+    assert {r.doc_id for r in out} == {None} | {i for i, _ in rows if i % 4}
+
+
 def test_empty_table(spark, frame):
     docs = frame([])
     for _, stage in corpus_pipeline.STAGES:
