@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grafmill.functions import vec
-from grafmill.operators.matrix import in_blocks
+from grafmill.operators.matrix import block_grid
+from grafmill.operators.pairs import meet
 from grafmill.plans.iterate import settle
 
 FLOOR = 1e-12
@@ -205,7 +206,8 @@ def with_parameters(records: DataFrame, params: dict[str, DataFrame], roles: dic
     """Records with each role's vector as a column ``<role>_x``; records without a parameter row drop out."""
     out = records.withColumn("zero", F.lit(0).cast("long")) if "zero" in roles.values() and "zero" not in records.columns else records
     for role, key in roles.items():
-        out = out.join(params[role].select(F.col("id").alias(key), F.col("x").alias(f"{role}_x")), key)
+        side = params[role].select(F.col("id").alias(key), F.col("x").alias(f"{role}_x"))
+        out = out.join(F.broadcast(side) if key == "zero" else side, key)  # zero: B, one row
     return out
 
 
@@ -310,17 +312,20 @@ def fold_step(records: DataFrame, params: dict[str, DataFrame], loss: Loss, own:
         return g
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[tuple] = []
+        rows: list[tuple] = []  # role, id, sum, how many
+        sums = Sums()
         now, state, b_mean = None, {}, None
 
         def leave() -> None:
             if state:
-                rows.extend((r, now, np.atleast_1d(state[r]).tolist()) for r in own)
+                rows.extend((r, now, np.atleast_1d(state[r]).tolist(), 1) for r in own)
                 if b_mean is not None:
-                    rows.append(("b", 0, b_mean.tolist()))
+                    sums.add("b", 0, b_mean)
 
         for pdf in batches:
-            for row in pdf.to_dict("records"):
+            names = list(pdf.columns)
+            for values in zip(*(pdf[c].tolist() for c in names), strict=True):
+                row = dict(zip(names, values, strict=True))
                 if not state or row[user] != now:
                     leave()
                     now, b_mean = row[user], None
@@ -331,13 +336,13 @@ def fold_step(records: DataFrame, params: dict[str, DataFrame], loss: Loss, own:
                         part = g["b"] / row["n_own"]
                         b_mean = part if b_mean is None else b_mean + part
                     else:
-                        rows.append((r, int(row[loss.roles[r]]), g[r].tolist()))
-            yield pd.DataFrame(rows, columns=["role", "id", "x"])
+                        sums.add(r, int(row[loss.roles[r]]), g[r])
+            yield pd.DataFrame(rows + sums.taken(HELD), columns=TOLD)
             rows.clear()
         leave()
-        yield pd.DataFrame(rows, columns=["role", "id", "x"])
+        yield pd.DataFrame(rows + sums.taken(0), columns=TOLD)
 
-    told = settle(joined.repartition(user).sortWithinPartitions(user, *sort).mapInPandas(run, "role string, id long, x array<double>"))
+    told = settle(joined.repartition(user).sortWithinPartitions(user, *sort).mapInPandas(run, TOLD_TYPES))
     out = dict(params)
     for r in own:
         out[r] = _replaced(params[r], told.where(F.col("role") == r))
@@ -349,14 +354,39 @@ def fold_step(records: DataFrame, params: dict[str, DataFrame], loss: Loss, own:
     return out
 
 
+#: Gradients are summed for each (role, id) in their task; so many sums are held before they are passed on.
+HELD = 50_000
+TOLD, TOLD_TYPES = ["role", "id", "x", "n"], "role string, id long, x array<double>, n long"
+
+
+class Sums(dict):
+    """(role, id) -> [sum of vectors, how many]."""
+
+    def add(self, role: str, key: int, x: np.ndarray) -> None:
+        held = self.get((role, key))
+        if held is None:
+            self[role, key] = [np.array(x, float), 1]
+        else:
+            held[0] += x
+            held[1] += 1
+
+    def taken(self, more_than: int) -> list[tuple]:
+        """All rows, and nothing is held any more, if there are more than so many."""
+        if len(self) <= more_than:
+            return []
+        out = [(role, key, np.atleast_1d(x).tolist(), n) for (role, key), (x, n) in self.items()]
+        self.clear()
+        return out
+
+
 def _replaced(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("id", F.col("x").alias("new")), "id", "left").select("id", F.coalesce("new", "x").alias("x"))
 
 
 def _moved(old: DataFrame, gradients: DataFrame, lr: float) -> DataFrame:
-    """``old`` - lr * mean gradient; rows without gradients stay."""
+    """``old`` - lr * mean gradient, from sums (id, x, n); rows without gradients stay."""
     row = old.select(F.size("x").alias("d")).head()
-    mean = gradients.groupBy("id").agg(vec.vavg("x", row.d if row else 1).alias("g"))
+    mean = gradients.groupBy("id").agg(F.array(*(F.sum(F.col("x")[k]) / F.sum("n") for k in range(row.d if row else 1))).alias("g"))
     return old.join(mean, "id", "left").select("id", F.when(F.col("g").isNull(), F.col("x")).otherwise(vec.axpy(F.col("x"), -lr, F.col("g"))).alias("x"))
 
 
@@ -370,25 +400,26 @@ def collective_fold_step(mu: DataFrame, ms: DataFrame, mv: DataFrame, params: di
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, u = None, None
+        sums = Sums()
         for pdf in batches:
             rows: list[tuple] = []
             for row in pdf.itertuples():
                 if u is None or row.a != now:
                     if u is not None:
-                        rows.append(("u", now, u.tolist()))
+                        rows.append(("u", now, u.tolist(), 1))
                     now, u = row.a, np.array(row.x, float)
                 y = np.asarray(row.y, float)
                 e = u @ y - row.r
-                rows.append(("vs"[row.k], row.b, (row.weight * (e * u + lam * y)).tolist()))
+                sums.add("vs"[row.k], row.b, row.weight * (e * u + lam * y))
                 u = u - lr / row.n * row.weight * (e * y + lam * u)
-            yield pd.DataFrame(rows, columns=["role", "id", "x"])
-        if u is not None:
-            yield pd.DataFrame([("u", now, u.tolist())], columns=["role", "id", "x"])
+            yield pd.DataFrame(rows + sums.taken(HELD), columns=TOLD)
+        last = [("u", now, u.tolist(), 1)] if u is not None else []
+        yield pd.DataFrame(last + sums.taken(0), columns=TOLD)
 
-    told = settle(records.repartition("a").sortWithinPartitions("a", "k", "b").mapInPandas(run, "role string, id long, x array<double>"))
+    told = settle(records.repartition("a").sortWithinPartitions("a", "k", "b").mapInPandas(run, TOLD_TYPES))
     both = with_parameters(mv.select(F.col("a").alias("i"), F.col("b").alias("c"), "r"), {"v": params["v"], "s": params["s"]}, {"v": "i", "s": "c"})
     e = vec.dot(F.col("v_x"), F.col("s_x")) - F.col("r")
-    g = lambda role, key, x, y: both.select(F.lit(role).alias("role"), F.col(key).alias("id"), vec.scale(_grow(e, F.col(y), F.col(x), lam), lam_v).alias("x"))
+    g = lambda role, key, x, y: both.select(F.lit(role).alias("role"), F.col(key).alias("id"), vec.scale(_grow(e, F.col(y), F.col(x), lam), lam_v).alias("x"), F.lit(1).cast("long").alias("n"))
     gradients = told.where("role <> 'u'").unionByName(g("v", "i", "v_x", "s_x")).unionByName(g("s", "c", "s_x", "v_x"))
     return {"u": _replaced(params["u"], told.where("role = 'u'")), "v": _moved(params["v"], gradients.where("role = 'v'"), lr), "s": _moved(params["s"], gradients.where("role = 's'"), lr)}
 
@@ -396,19 +427,22 @@ def collective_fold_step(mu: DataFrame, ms: DataFrame, mv: DataFrame, params: di
 # ---------------------------------------------------------------------------------------------- least squares
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve(a: pd.Series, b: pd.Series) -> pd.Series:
-    right = np.stack(b.to_list())
-    left = np.stack(a.to_list()).reshape(len(right), right.shape[1], right.shape[1])
+    right, upper = np.stack(b.to_list()), np.stack(a.to_list())
+    d = right.shape[1]
+    rows, columns = np.triu_indices(d)
+    left = np.empty((len(right), d, d))
+    left[:, rows, columns] = left[:, columns, rows] = upper
     return pd.Series(list(np.linalg.solve(left, right[:, :, None])[:, :, 0]))
 
 
 def als_half(ratings: DataFrame, factors: DataFrame, key: str, other: str, d: int, lam: float) -> DataFrame:
     """(id, x) of ``key`` from the other side's factors: (sum v vᵀ + lam I)^-1 sum r v; lam is not scaled by counts.
 
-    Sums are combined before the shuffle; solving runs on batches of small systems.
+    Sums, of the upper triangle alone, are combined before the shuffle; solving runs on batches of small systems.
     """
     joined = ratings.join(factors.select(F.col("id").alias(other), F.col("x").alias("v")), other)
     v = F.col("v")
-    left = F.array(*(F.sum(v[j] * v[k]) + (lam if j == k else 0.0) for j in range(d) for k in range(d)))
+    left = F.array(*(F.sum(v[j] * v[k]) + (lam if j == k else 0.0) for j in range(d) for k in range(j, d)))
     right = F.array(*(F.sum(F.col("r") * v[k]) for k in range(d)))
     return joined.groupBy(F.col(key).alias("id")).agg(left.alias("a"), right.alias("b")).select("id", _solve("a", "b").alias("x"))
 
@@ -436,19 +470,19 @@ def predict_pairs(pairs: DataFrame, params: dict[str, DataFrame], loss: Loss) ->
     return joined.select(*pairs.columns, loss.predict(columns(joined)).alias("score"))
 
 
-def predict_all(u: DataFrame, v: DataFrame, block: int = 4096) -> DataFrame:
-    """(u, i, score) of every user and item. Items come in blocks; each user row meets each block once and is
-    multiplied there as a matrix, so no row pairs are joined one by one."""
-    dealt, n = in_blocks(v, "id", block)
-    items = dealt.groupBy("block").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("x")).alias("m"))
-    users = u.select(F.col("id").alias("u"), "x").join(F.broadcast(n))  # one row: a number
-    met = users.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(items, "block").select("u", "x", "ids", "m")
+def predict_all(u: DataFrame, v: DataFrame, block: int = 4096, users: int = 1024) -> DataFrame:
+    """(u, i, score) of every user and item. Both come in blocks; each block of users meets each of items once and they are
+    multiplied as matrices, so no row pairs are joined one by one."""
+    met = block_grid(u.select("id", "x"), "id", users, v.select("id", "x"), "id", block)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for row in pdf.itertuples():
-                x = np.asarray(row.x)
-                yield pd.DataFrame({"u": row.u, "i": row.ids, "score": np.asarray(row.m).reshape(-1, len(x)) @ x})
+            for left, right in zip(pdf["left"], pdf["right"], strict=True):
+                items, m = np.array([r["id"] for r in right]), np.stack([r["x"] for r in right])
+                for at in range(0, len(left), 64):  # as many scores at once as 64 users have
+                    some = left[at : at + 64]
+                    scores = np.stack([r["x"] for r in some]) @ m.T
+                    yield pd.DataFrame({"u": np.repeat([r["id"] for r in some], len(items)), "i": np.tile(items, len(some)), "score": scores.ravel()})
 
     return met.mapInPandas(run, "u long, i long, score double")
 
@@ -479,7 +513,7 @@ def zero_bias(ratings: DataFrame, key: str = "u") -> DataFrame:
 
 
 def preferences(ratings: DataFrame) -> DataFrame:
-    """(u, a, b): the user rates a above b."""
-    x = ratings.select("u", F.col("i").alias("a"), F.col("r").alias("ra"))
-    y = ratings.select("u", F.col("i").alias("b"), F.col("r").alias("rb"))
-    return x.join(y, "u").where("ra > rb").select("u", "a", "b")
+    """(u, a, b): the user rates a above b. A user's ratings meet in pairs of blocks, so one with very many is spread over tasks."""
+    x = ratings.select(F.col("u").alias("key"), F.col("i").alias("a"), F.col("r").alias("ra"))
+    y = ratings.select(F.col("u").alias("key"), F.col("i").alias("b"), F.col("r").alias("rb"))
+    return meet(x, y, "ra > rb").select(F.col("key").alias("u"), "a", "b")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grafmill.functions import vec
@@ -94,16 +96,19 @@ def hits(edges: DataFrame, iterations: int, alpha: float = 0.9, normalize: bool
 
 
 def shortest_paths(edges: DataFrame, source: int, iterations: int) -> DataFrame:
-    """(id, dist): cheapest way of at most ``iterations`` links; a link without w costs 1. """
+    """(id, dist): cheapest way of at most ``iterations`` links; a link without w costs 1. Each round goes on from the nodes
+    that got cheaper in the one before; it ends when there are none."""
     w = F.col("w") if "w" in edges.columns else F.lit(1.0)
     links = settle(edges.select("src", "dst", w.cast("double").alias("w")))
-    start = edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("id"), F.lit(0.0).alias("dist"))
+    start = edges.sparkSession.range(1).select(F.lit(source).cast("long").alias("id"), F.lit(0.0).alias("dist"), F.lit(True).alias("fresh"))
 
-    def step(dist: DataFrame, _: int) -> DataFrame:
-        reached = links.join(dist.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), (F.col("dist") + F.col("w")).alias("dist"))
-        return dist.unionByName(reached).groupBy("id").agg(F.min("dist").alias("dist"))
+    def step(state: DataFrame, _: int) -> DataFrame:
+        front = state.where("fresh").select(F.col("id").alias("src"), "dist")
+        reached = links.join(front, "src").select(F.col("dst").alias("id"), (F.col("dist") + F.col("w")).alias("dist"), F.lit(None).cast("double").alias("before"))
+        best = state.select("id", "dist", F.col("dist").alias("before")).unionByName(reached).groupBy("id").agg(F.min("dist").alias("dist"), F.min("before").alias("before"))
+        return best.select("id", "dist", (F.col("before").isNull() | (F.col("dist") < F.col("before"))).alias("fresh"))
 
-    return iterate(start, step, iterations)
+    return iterate(start, step, iterations, stop=lambda old, new: new.where("fresh").isEmpty()).select("id", "dist")
 
 
 def hops(edges: DataFrame, source: int, most: int) -> DataFrame:
@@ -170,28 +175,36 @@ def sketch_size() -> Column:
     return F.sum(F.pow(F.lit(2.0), vec.lowest_zero(F.col("mask")).cast("double")) / F.lit(0.77351))
 
 
-def neighbourhood(edges: DataFrame, most: int, in_neighbours: bool = False) -> DataFrame:
-    """(h, n): the neighbourhood function for h = 0..most. ``in_neighbours``: nodes start with the bits of those that link
-    to them instead of their own."""
+def sketch_sizes(edges: DataFrame, most: int, in_neighbours: bool = False) -> Iterator[float]:
+    """The neighbourhood function for h = 0, 1, ... most, a number at a time; a step is taken when its number is asked for."""
     edges = settle(edges.select("src", "dst"))
     ids = nodes(edges)
-    masks, out = sketch(ids), None
+    masks = sketch(ids)
     if in_neighbours:
         got = edges.join(masks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.bit_or("mask").alias("mask"))
         masks = ids.join(got, "id", "left").select("id", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
     for h in range(most + 1):
-        row = masks.agg(sketch_size().alias("n")).select(F.lit(h).cast("long").alias("h"), "n")
-        out = row if out is None else out.unionByName(row)
-        if h < most:
-            masks = iterate(masks, lambda m, _: sketch_step(edges, m), 1, stop=(lambda a, b: False) if h % 3 == 2 else None)
-    return out
+        if h:
+            masks = settle(sketch_step(edges, masks))
+        yield masks.agg(F.coalesce(sketch_size(), F.lit(0.0)).alias("n")).head().n
+
+
+def neighbourhood(edges: DataFrame, most: int, in_neighbours: bool = False) -> DataFrame:
+    """(h, n): the neighbourhood function for h = 0..most. ``in_neighbours``: nodes start with the bits of those that link
+    to them instead of their own."""
+    return edges.sparkSession.createDataFrame(list(enumerate(sketch_sizes(edges, most, in_neighbours))), "h long, n double")
 
 
 def effective_diameter(edges: DataFrame, most: int, eps: float = 0.001) -> DataFrame:
-    """(diameter, n): the first h with N(h) * (1 + eps) > N(h + 1)."""
-    n = neighbourhood(edges, most)
-    ahead = n.withColumn("ahead", F.lead("n").over(Window.orderBy("h")))  # a row for each h
-    return ahead.where((F.col("n") * (1 + eps) > F.col("ahead")) | F.col("ahead").isNull()).orderBy("h").limit(1).select(F.col("h").alias("diameter"), "n")
+    """(diameter, n): the first h with N(h) * (1 + eps) > N(h + 1), or ``most``. No step is taken beyond h + 1."""
+    sizes = sketch_sizes(edges, most)
+    now = next(sizes)
+    h = 0
+    for ahead in sizes:
+        if now * (1 + eps) > ahead:
+            break
+        h, now = h + 1, ahead
+    return edges.sparkSession.createDataFrame([(h, now)], "diameter long, n double")
 
 
 def degree_distribution(edges: DataFrame, side: str) -> DataFrame:

@@ -7,12 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grafmill.operators.matrix import in_blocks
+from grafmill.operators.matrix import block_grid
+from grafmill.operators.pairs import meet
 from grafmill.plans.iterate import iterate, settle
 
-#: A variance below this share of the sum of squares is rounding, and counts as zero.
-TINY = 1e-9
-
 
 def cosine(s: dict[str, Column], lam: float) -> Column:
     """Shrunk cosine over co-rated entries; 0 for a zero norm."""
@@ -21,13 +19,15 @@ def cosine(s: dict[str, Column], lam: float) -> Column:
 
 
 def pearson(s: dict[str, Column], lam: float) -> Column:
-    """Shrunk correlation over co-rated entries; 0 where a variance is 0."""
+    """Shrunk correlation over co-rated entries; 0 where all of one side are alike."""
     va, vb = s["aa"] - s["a"] * s["a"] / s["n"], s["bb"] - s["b"] * s["b"] / s["n"]
     cov = s["ab"] - s["a"] * s["b"] / s["n"]
-    fine = (va > TINY * s["aa"]) & (vb > TINY * s["bb"])
+    fine = (s["a_least"] < s["a_most"]) & (s["b_least"] < s["b_most"]) & (va > 0) & (vb > 0)
     return F.when(fine, s["n"] / (s["n"] + lam) * cov / F.sqrt(F.when(fine, va * vb).otherwise(F.lit(1.0)))).otherwise(F.lit(0.0))
 
 
+#: Criteria of differences from a mean: ratings are taken from their owner's mean first, so that sums of squares lose no digits.
+CENTRED = {"pearson"}
 #: Criteria by name; more can be added.
 CRITERIA: dict[str, Callable[[dict[str, Column], float], Column]] = {"cosine": cosine, "pearson": pearson}
 
@@ -41,19 +41,21 @@ def inverted_index(ratings: DataFrame, user_base: bool = True) -> DataFrame:
 def similarities(ratings: DataFrame, criterion: str = "cosine", lam: float = 10.0, user_base: bool = True, max_group: int | None = None) -> DataFrame:
     """(a, b, sim) in both directions for all pairs that rated something in common.
 
-    Sums are combined before the shuffle. A group (an item's raters) of n meets n * (n - 1) / 2 times, as the operator asks; ``max_group``
-    leaves out groups larger than that for those who accept it (off: nothing is left out).
+    Sums are combined before the shuffle. A group (an item's raters) of n meets n * (n - 1) / 2 times, as the operator asks, in
+    pairs of blocks, so a group of any size is spread over tasks; ``max_group`` leaves out groups larger than that for those who accept it
+    (off: nothing is left out).
     """
     own, via = ("u", "i") if user_base else ("i", "u")
     if max_group:
         ratings = ratings.join(ratings.groupBy(via).agg(F.count("*").alias("size")).where(F.col("size") <= max_group).select(via), via, "left_semi")
-    a = ratings.select(F.col(own).alias("a"), F.col(via).alias("k"), F.col("r").alias("x"))
-    b = ratings.select(F.col(own).alias("b"), F.col(via).alias("k"), F.col("r").alias("y"))
-    sums = a.join(b, "k").where("a < b").groupBy("a", "b").agg(
-        F.count("*").cast("double").alias("n"), F.sum("x").alias("sa"), F.sum("y").alias("sb"), F.sum(F.col("x") * F.col("y")).alias("ab"), F.sum(F.col("x") * F.col("x")).alias("aa"), F.sum(F.col("y") * F.col("y")).alias("bb")
-    )
-    named = {"n": F.col("n"), "a": F.col("sa"), "b": F.col("sb"), "ab": F.col("ab"), "aa": F.col("aa"), "bb": F.col("bb")}
-    one = sums.select("a", "b", CRITERIA[criterion](named, lam).alias("sim"))
+    if criterion in CENTRED:
+        ratings = ratings.join(ratings.groupBy(own).agg(F.avg("r").alias("mean")), own).withColumn("r", F.col("r") - F.col("mean"))
+    a = ratings.select(F.col(own).alias("a"), F.col(via).alias("key"), F.col("r").alias("x"))
+    b = ratings.select(F.col(own).alias("b"), F.col(via).alias("key"), F.col("r").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    wanted = {"n": F.count("*").cast("double"), "a": F.sum(x), "b": F.sum(y), "ab": F.sum(x * y), "aa": F.sum(x * x), "bb": F.sum(y * y), "a_least": F.min(x), "a_most": F.max(x), "b_least": F.min(y), "b_most": F.max(y)}
+    sums = meet(a, b, "a < b").groupBy("a", "b").agg(*(e.alias(f"s_{name}") for name, e in wanted.items()))
+    one = sums.select("a", "b", CRITERIA[criterion]({name: F.col(f"s_{name}") for name in wanted}, lam).alias("sim"))
     return one.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("p"), F.col("b").alias("q")), F.struct(F.col("b").alias("p"), F.col("a").alias("q")))).alias("x"), "sim").select(F.col("x.p").alias("a"), F.col("x.q").alias("b"), "sim")
 
 
@@ -72,10 +74,8 @@ def predict_rated(neighbours: DataFrame, ratings: DataFrame) -> DataFrame:
 def predict_all(neighbours: DataFrame, ratings: DataFrame, block: int = 4096) -> DataFrame:
     """(u, i, score) dense: 0.0 where no neighbour rated the item. Users meet items by blocks, never one by one."""
     scores = predict_rated(neighbours, ratings)
-    dealt, n = in_blocks(ratings.select("i").distinct(), "i", block)
-    items = dealt.groupBy("block").agg(F.collect_list("i").alias("items"))
-    users = neighbours.select(F.col("a").alias("u")).distinct().join(F.broadcast(n))  # one row: a number
-    grid = users.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).join(items, "block").select("u", F.explode("items").alias("i"))
+    users, items = neighbours.select(F.col("a").alias("u")).distinct(), ratings.select("i").distinct()
+    grid = block_grid(users, "u", block, items, "i", block).select(F.explode("left").alias("u"), "right").select("u.u", F.explode("right").alias("i")).select("u", "i.i")
     return grid.join(scores, ["u", "i"], "left").select("u", "i", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 

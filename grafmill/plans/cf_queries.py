@@ -122,10 +122,10 @@ def sims_sql(own: str, via: str, criterion: str, shrink: float = 10.0) -> str:
     if criterion == "cosine":
         value = f"case when sqrt(aa * bb) > 0 then {n} * ab / sqrt(aa * bb) else 0 end"
     else:
-        va, vb, cov = "(aa - sa * sa / n)", "(bb - sb * sb / n)", "(ab - sa * sb / n)"
-        value = f"case when {va} > 1e-9 * aa and {vb} > 1e-9 * bb then {n} * {cov} / sqrt(case when {va} * {vb} > 0 then {va} * {vb} else 1 end) else 0 end"
+        value = f"case when lx < mx and ly < my then {n} * cov / sqrt(case when va * vb > 0 then va * vb else 1 end) else 0 end"
+    moments = ", covar_pop(x.r, y.r) cov, var_pop(x.r) va, var_pop(y.r) vb, min(x.r) lx, max(x.r) mx, min(y.r) ly, max(y.r) my" if criterion == "pearson" else ""
     return (
-        f"pairs as (select x.{own} a, y.{own} b, count(*) n, sum(x.r) sa, sum(y.r) sb, sum(x.r * y.r) ab, sum(x.r * x.r) aa, sum(y.r * y.r) bb from ratings_ui x join ratings_ui y using ({via}) where x.{own} <> y.{own} group by 1, 2), "
+        f"pairs as (select x.{own} a, y.{own} b, count(*) n, sum(x.r) sa, sum(y.r) sb, sum(x.r * y.r) ab, sum(x.r * x.r) aa, sum(y.r * y.r) bb{moments} from ratings_ui x join ratings_ui y using ({via}) where x.{own} <> y.{own} group by 1, 2), "
         f"sims as (select a, b, round({value}, 9) + 0 sim from pairs), top as (select *, row_number() over (partition by a order by sim desc, b) rk from sims qualify rk <= 5)"
     )
 
@@ -527,6 +527,32 @@ def als_d2(spark, sf_dir):
     return flat(model.fit(view(spark, sf_dir, "ratings_ui"), 1), "u", "v", places=6)
 
 
+@query(told(1, UV_TOLD, 6), f"{start('u0', 'ratings_ui', 'u', 1)}, {solved('v1', 'i', 'u', 'u0')}, {solved('u1', 'u', 'i', 'v1')}")
+def loggaussian_als(spark, sf_dir):
+    """Least squares do not ask for the loss."""
+    model = models.MODELS["log_gaussian"](d=D, lam=0.1, solver="als")
+    return flat(model.fit(view(spark, sf_dir, "ratings_ui"), 1), "u", "v", places=6)
+
+
+def solved_three(name: str, key: str, other: str, table: str) -> str:
+    """Three equations by Cramer's rule."""
+    sums = ", ".join(f"sum(x{j} * x{k}) + {0.1 if j == k else 0}e0 a{j}{k}" for j in range(3) for k in range(3)) + ", " + ", ".join(f"sum(r * x{k}) b{k}" for k in range(3))
+
+    def determinant(column: int | None) -> str:
+        m = [[f"b{j}" if k == column else f"a{j}{k}" for k in range(3)] for j in range(3)]
+        minor = lambda k: [x for x in range(3) if x != k]
+        return "(" + " + ".join(f"{'-' if k == 1 else ''}{m[0][k]} * ({m[1][minor(k)[0]]} * {m[2][minor(k)[1]]} - {m[1][minor(k)[1]]} * {m[2][minor(k)[0]]})" for k in range(3)) + ")"
+
+    solution = ", ".join(f"{determinant(k)} / {determinant(None)} x{k}" for k in range(3))
+    return f"{name} as (select id, {solution} from (select {key} id, {sums} from ratings_ui join {table} f on f.id = {other} group by 1))"
+
+
+@query(told(1, {"u": ("u", 3), "v": ("v", 3)}, 4), f"{start('u0', 'ratings_ui', 'u', 1, 3)}, {solved_three('v1', 'i', 'u', 'u0')}, {solved_three('u1', 'u', 'i', 'v1')}")
+def als_d3(spark, sf_dir):
+    model = models.MODELS["gaussian"](d=3, lam=0.1, solver="als")
+    return flat(model.fit(view(spark, sf_dir, "ratings_ui"), 1), "u", "v", places=4)
+
+
 @query(None)
 def als_general(spark, sf_dir):
     model = models.MODELS["gaussian"](d=8, lam=0.1, solver="als")
@@ -539,6 +565,12 @@ def multiplied(name: str, own: str, key: str, other_key: str, other: str) -> str
     return f"{name} as (select o.id, coalesce(x0 * p0 / nullif(a * x0 + b * x1, 0), x0) x0, coalesce(x1 * p1 / nullif(b * x0 + d * x1, 0), x1) x1 from {own} o cross join ({gram}) left join ({sums}) s on s.id = o.id)"
 
 
+@query(told(1, UV_TOLD), f"{UV_START}, {multiplied('v1', 'v0', 'i', 'u', 'u0')}, {multiplied('u1', 'u0', 'u', 'i', 'v1')}")
+def loggaussian_newton(spark, sf_dir):
+    model = models.MODELS["log_gaussian"](d=D, lam=LAM, solver="newton")
+    return flat(model.fit(view(spark, sf_dir, "ratings_s"), 1), "u", "v")
+
+
 @query(told(1, UV_TOLD), f"{UV_START}, {multiplied('v1', 'v0', 'i', 'u', 'u0')}, {multiplied('u1', 'u0', 'u', 'i', 'v1')}")
 def newton_mult(spark, sf_dir):
     model = models.MODELS["gaussian"](d=D, lam=LAM, solver="newton")

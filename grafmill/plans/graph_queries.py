@@ -256,6 +256,45 @@ def io_binary_round_trip(spark, sf_dir):
     return text.read_binary(spark, path)
 
 
+@query("select src, dst from edges union all select dst, src from edges")
+def io_append(spark, sf_dir):
+    """Saved once, then appended to."""
+    path, edges = text.scratch(spark, "edges-appended"), view(spark, sf_dir, "edges")
+    text.write_text(edges, path)
+    text.write_text(graph.reverse(edges).select("src", "dst"), path, mode="append")
+    return text.read_edges(spark, path)
+
+
+@query("select value from key_lines")
+def io_lines(spark, sf_dir):
+    path = text.scratch(spark, "lines")
+    view(spark, sf_dir, "key_lines").write.text(path)
+    return text.read_lines(spark, path)
+
+
+@query("select value, cast(0 as bigint) as left_behind from key_lines")
+def io_merge_move(spark, sf_dir):
+    """Parts merged into one file, the source deleted, the result moved."""
+    parts, merged, moved = (text.scratch(spark, n) for n in ("parts", "merged", "moved"))
+    view(spark, sf_dir, "key_lines").write.text(parts)
+    text.merge_copy(spark, parts, merged, delete_source=True)
+    text.move(spark, merged, moved)
+    left = sum(text.exists(spark, p) for p in (parts, merged))
+    return text.read_lines(spark, moved).select("value", F.lit(left).cast("long").alias("left_behind"))
+
+
+@query("select id, string_agg(cast(cast(v as bigint) as varchar), ',' order by k) as line from (select id, k, cast(v as bigint) v from channels) group by id")
+def io_array_csv(spark, sf_dir):
+    """Vectors as lines of numbers."""
+    rows = view(spark, sf_dir, "channels").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", F.round("v").cast("long").alias("v")))).alias("rows"))
+    return rows.select("id", text.joined_vector("rows.v").alias("line"))
+
+
+@query(f"select cast({SOURCE} as bigint) as id, cast(0 as double) as dist")
+def io_seed_row(spark, sf_dir):
+    return text.seed_row(spark, SOURCE)
+
+
 @query("select vec_id as id, cast(k as bigint) as k, cast(x as double) as x from (select vec_id, unnest(range(len(embedding))) k, unnest(embedding) x from embeddings)")
 def io_matrix_round_trip(spark, sf_dir):
     path = text.scratch(spark, "matrix")

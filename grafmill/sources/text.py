@@ -83,9 +83,33 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def merge_copy(spark: SparkSession, source: str, target: str) -> None:
-    """All lines under ``source`` in one file under ``target``; for results small enough for one file."""
+def merge_copy(spark: SparkSession, source: str, target: str, delete_source: bool = False) -> None:
+    """All lines under ``source`` in one file under ``target``; one task writes it, as one file asks. ``delete_source`` makes it a move."""
     spark.read.text(source).coalesce(1).write.mode("overwrite").text(target)
+    if delete_source:
+        remove(spark, source)
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """A folder under another name: nothing is read or written where the file system can rename."""
+    fs, at = _file(spark, source)
+    if not fs.rename(at, _file(spark, target)[1]):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = _file(spark, path)
+    fs.delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file(spark, path)
+    return bool(fs.exists(at))
+
+
+def _file(spark: SparkSession, path: str):  # noqa: ANN202
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def tagged_union(**frames: DataFrame) -> DataFrame:
