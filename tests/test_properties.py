@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grafmill.functions import vec
-from grafmill.operators import cf, graph, matrix, models, neighbours
+from grafmill.operators import cf, graph, matrix, models, neighbours, pairs
 from grafmill.sources import text
 
 
@@ -246,7 +246,86 @@ def test_products_against_numpy(spark):
 
 def test_dense_ids_over_ranges(spark):
     ids = spark.createDataFrame([(x,) for x in (5, 1, 99, 5, 250, 3)], "id long")
-    assert {r.id: r.ix for r in matrix.dense_ids(ids, "id", width=50).collect()} == {1: 0, 3: 1, 5: 2, 99: 3, 250: 4}
+    assert {r.id: r.ix for r in matrix.dense_ids(ids, "id", parts=3).collect()} == {1: 0, 3: 1, 5: 2, 99: 3, 250: 4}
+
+
+def test_dense_ids_of_any_type_and_spread(spark):
+    """Ids spread over 2**62 are dealt over all parts, and strings are numbered in order."""
+    import random
+
+    rng = random.Random(1)
+    ids = sorted({rng.randrange(-(1 << 61), 1 << 61) for _ in range(2000)})
+    frame = spark.createDataFrame([(i,) for i in [*ids, *ids[::7]]], "id long")
+    assert sorted((r.ix, r.id) for r in matrix.dense_ids(frame, "id", parts=8).collect()) == list(enumerate(ids))
+    words = sorted({f"w{rng.randrange(10**6)}" for _ in range(300)})
+    frame = spark.createDataFrame([(w,) for w in words] + [(None,)], "id string")
+    assert sorted((r.ix, r.id) for r in matrix.dense_ids(frame, "id", parts=4).collect()) == list(enumerate(words))
+
+
+def test_pairs_of_a_hot_key_are_spread(spark, monkeypatch):
+    """One key with a third of all rows: every pair once, over many tasks' keys."""
+    monkeypatch.setattr(pairs, "BLOCK", 20)
+    rows = [(0 if i % 3 == 0 else i, i) for i in range(600)]
+    left, right = spark.createDataFrame(rows, "key long, a long"), spark.createDataFrame(rows, "key long, b long")
+    got = sorted((r.key, r.a, r.b) for r in pairs.meet(left, right, "a < b").collect())
+    hot = [i for k, i in rows if k == 0]
+    assert got == sorted((0, a, b) for a in hot for b in hot if a < b)
+    dealt = pairs._dealt(left, pairs._counted(left, right), "lo", "hi").where("key = 0").groupBy("lo", "hi").count().collect()
+    assert len(dealt) == 100 and max(r["count"] for r in dealt) < 60
+    r = spark.createDataFrame([(i % 40, i % 7, float(i % 5)) for i in range(280)], "u long, i long, r double")
+    one = sorted((x.a, x.b, round(x.sim, 9)) for x in neighbours.similarities(r).collect())
+    monkeypatch.setattr(pairs, "BLOCK", 10**9)
+    assert one == sorted((x.a, x.b, round(x.sim, 9)) for x in neighbours.similarities(r).collect())
+
+
+def test_correlation_of_close_ratings(spark):
+    """Large numbers that differ little keep their correlation; alike ones have none."""
+    r = [(u, i, 1e6 + (i * 0.001 if u < 2 else 0.0)) for u in range(3) for i in range(4)]
+    got = {(x.a, x.b): x.sim for x in neighbours.similarities(spark.createDataFrame(r, "u long, i long, r double"), "pearson", 0.0).collect()}
+    assert math.isclose(got[0, 1], 1.0, rel_tol=1e-6) and got[0, 2] == 0 and got[2, 1] == 0
+
+
+def test_dense_product_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(matrix, "SIDE", 4)
+    rng = np.random.default_rng(0)
+    a, b = rng.normal(size=(11, 9)), rng.normal(size=(9, 10))
+    left, right = (spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(m)], "id long, x array<double>") for m in (a, b))
+    got = np.zeros((11, 10))
+    for r in matrix.dense_dense(left, right).collect():
+        got[r.i, r.j] += r.c
+    assert np.allclose(got, a @ b)
+
+
+def steps_of(monkeypatch, name):
+    """Counts how often a function of the graph module is called."""
+    counted = []
+    real = getattr(graph, name)
+    monkeypatch.setattr(graph, name, lambda *x: counted.append(1) or real(*x))
+    return counted
+
+
+def test_diameter_stops_early(spark, monkeypatch):
+    counted = steps_of(monkeypatch, "sketch_step")
+    star = edges(spark, *((i, 0) for i in range(1, 9)), *((0, i) for i in range(1, 9)))
+    row = graph.effective_diameter(star, 50).head()
+    assert row.diameter <= 3 and len(counted) <= 4
+    n = [r.n for r in graph.neighbourhood(star, 3).orderBy("h").collect()]
+    assert row.n == n[row.diameter]
+
+
+def test_shortest_paths_stop_early(spark, monkeypatch):
+    seen = []
+    real = graph.iterate
+    monkeypatch.setattr(graph, "iterate", lambda state, step, n, **k: real(state, lambda s, i: seen.append(i) or step(s, i), n, **k))
+    got = {r.id: r.dist for r in graph.shortest_paths(edges(spark, *((i, i + 1) for i in range(4))), 0, 100).collect()}
+    assert got == {i: float(i) for i in range(5)} and len(seen) == 5
+
+
+def test_sums_of_gradients():
+    sums = cf.Sums()
+    for k in range(6):
+        sums.add("v", k % 2, np.array([1.0, k]))
+    assert sums.taken(2) == [] and sorted(sums.taken(1)) == [("v", 0, [3.0, 6.0], 3), ("v", 1, [3.0, 9.0], 3)] and not sums
 
 
 def test_lines_that_do_not_parse_are_left_out(spark, tmp_path):
