@@ -39,28 +39,35 @@ class Loss:
     mean: bool = False
     #: Records that have a finite value; none if all have.
     where: Callable[[dict], Column] | None = None
+    #: The number that all gradients of a record share: a column ``error``, computed once, where the builders find one.
+    error: Callable[[dict], Column] | None = None
+
+
+def _shared(error: Callable[[dict], Column]) -> Callable[[dict], Column]:
+    return lambda c: c["error"] if "error" in c else error(c)
 
 
 def _grow(err: Column, v: Column, u: Column, lam: float) -> Column:
     """err * v + lam * u."""
-    return vec.axpy(vec.scale(v, err), lam, u)
+    return F.zip_with(v, u, lambda y, x: y * err + lam * x)
 
 
 def square() -> Loss:
     p = lambda c: vec.dot(c["u"], c["v"])
-    g = lambda c, lam: {"u": _grow(p(c) - c["r"], c["v"], c["u"], lam), "v": _grow(p(c) - c["r"], c["u"], c["v"], lam)}
+    e = _shared(lambda c: p(c) - c["r"])
+    g = lambda c, lam: {"u": _grow(e(c), c["v"], c["u"], lam), "v": _grow(e(c), c["u"], c["v"], lam)}
 
     def fold(c, r, lam):
         e = c["u"] @ c["v"] - r
         return {"u": e * c["v"] + lam * c["u"], "v": e * c["u"] + lam * c["v"]}
 
-    return Loss({"u": "u", "v": "i"}, p, lambda c: (p(c) - c["r"]) ** 2, g, fold)
+    return Loss({"u": "u", "v": "i"}, p, lambda c: (p(c) - c["r"]) ** 2, g, fold, error=e)
 
 
 def log_square() -> Loss:
     """Records whose prediction is the rating itself have no finite value and are left out."""
     p = lambda c: vec.dot(c["u"], c["v"])
-    e = lambda c: F.lit(1.0) / (p(c) - c["r"])
+    e = _shared(lambda c: F.lit(1.0) / (p(c) - c["r"]))
     g = lambda c, lam: {"u": _grow(e(c), c["v"], c["u"], lam), "v": _grow(e(c), c["u"], c["v"], lam)}
 
     def fold(c, r, lam):
@@ -69,13 +76,13 @@ def log_square() -> Loss:
             return {"u": 0 * c["u"], "v": 0 * c["v"]}
         return {"u": c["v"] / d + lam * c["u"], "v": c["u"] / d + lam * c["v"]}
 
-    return Loss({"u": "u", "v": "i"}, p, lambda c: F.ln((p(c) - c["r"]) ** 2), g, fold, where=lambda c: p(c) != c["r"])
+    return Loss({"u": "u", "v": "i"}, p, lambda c: F.ln((p(c) - c["r"]) ** 2), g, fold, where=lambda c: p(c) != c["r"], error=e)
 
 
 def logistic(r0: float = 0.0, r1: float = 1.0) -> Loss:
     s = lambda c: vec.sigmoid(vec.dot(c["u"], c["v"]))
     target = lambda c: (c["r"] - r0) / (r1 - r0)
-    e = lambda c: (s(c) - target(c)) * s(c) * (1 - s(c))
+    e = _shared(lambda c: (s(c) - target(c)) * s(c) * (1 - s(c)))
     g = lambda c, lam: {"u": _grow(e(c), c["v"], c["u"], lam), "v": _grow(e(c), c["u"], c["v"], lam)}
 
     def fold(c, r, lam):
@@ -83,17 +90,19 @@ def logistic(r0: float = 0.0, r1: float = 1.0) -> Loss:
         k = (x - (r - r0) / (r1 - r0)) * x * (1 - x)
         return {"u": k * c["v"] + lam * c["u"], "v": k * c["u"] + lam * c["v"]}
 
-    return Loss({"u": "u", "v": "i"}, lambda c: s(c) * (r1 - r0) + r0, lambda c: (s(c) - target(c)) ** 2, g, fold)
+    return Loss({"u": "u", "v": "i"}, lambda c: s(c) * (r1 - r0) + r0, lambda c: (s(c) - target(c)) ** 2, g, fold, error=e)
 
 
 def poisson(compat: bool = False) -> Loss:
     """Value p - r ln p. ``compat``: the gradient v - r/u + lam*u, element by element."""
     p = lambda c: F.greatest(vec.dot(c["u"], c["v"]), F.lit(FLOOR))
 
+    e = _shared(lambda c: 1 - c["r"] / p(c))
+
     def one(c, a, b, lam):
         if compat:
             return vec.axpy(F.zip_with(b, a, lambda y, x: y - c["r"] / x), lam, a)
-        return _grow(1 - c["r"] / p(c), b, a, lam)
+        return _grow(e(c), b, a, lam)
 
     def fold(c, r, lam):
         if compat:
@@ -101,21 +110,23 @@ def poisson(compat: bool = False) -> Loss:
         k = 1 - r / max(c["u"] @ c["v"], FLOOR)
         return {"u": k * c["v"] + lam * c["u"], "v": k * c["u"] + lam * c["v"]}
 
-    return Loss({"u": "u", "v": "i"}, lambda c: vec.dot(c["u"], c["v"]), lambda c: p(c) - c["r"] * F.ln(p(c)), lambda c, lam: {"u": one(c, c["u"], c["v"], lam), "v": one(c, c["v"], c["u"], lam)}, fold)
+    return Loss({"u": "u", "v": "i"}, lambda c: vec.dot(c["u"], c["v"]), lambda c: p(c) - c["r"] * F.ln(p(c)), lambda c, lam: {"u": one(c, c["u"], c["v"], lam), "v": one(c, c["v"], c["u"], lam)}, fold, error=None if compat else e)
 
 
 def square_bias() -> Loss:
     p = lambda c: vec.dot(c["u"], c["v"]) + c["bu"][0] + c["bv"][0]
 
+    error = _shared(lambda c: p(c) - c["r"])
+
     def g(c, lam):
-        e = p(c) - c["r"]
+        e = error(c)
         return {"u": _grow(e, c["v"], c["u"], lam), "v": _grow(e, c["u"], c["v"], lam), "bu": F.array(e + lam * c["bu"][0]), "bv": F.array(e + lam * c["bv"][0])}
 
     def fold(c, r, lam):
         e = c["u"] @ c["v"] + c["bu"][0] + c["bv"][0] - r
         return {"u": e * c["v"] + lam * c["u"], "v": e * c["u"] + lam * c["v"], "bu": e + lam * c["bu"], "bv": e + lam * c["bv"]}
 
-    return Loss({"u": "u", "v": "i", "bu": "u", "bv": "i"}, p, lambda c: (p(c) - c["r"]) ** 2, g, fold)
+    return Loss({"u": "u", "v": "i", "bu": "u", "bv": "i"}, p, lambda c: (p(c) - c["r"]) ** 2, g, fold, error=error)
 
 
 def hybrid(factors: bool = True, bias: bool = False, rf: float = 1.0, ru: float = 1.0, ri: float = 1.0) -> Loss:
@@ -130,8 +141,10 @@ def hybrid(factors: bool = True, bias: bool = False, rf: float = 1.0, ru: float
             out = out + c["bu"][0] * ru + c["bv"][0] * ri
         return out
 
+    error = _shared(lambda c: p(c) - c["r"])
+
     def g(c, lam):
-        e = p(c) - c["r"]
+        e = error(c)
         out = {"b": _grow(e * rf, vec.outer(c["fu"], c["fv"]), c["b"], lam)}
         if factors:
             out |= {"u": _grow(e, c["v"], c["u"], lam), "v": _grow(e, c["u"], c["v"], lam)}
@@ -153,7 +166,7 @@ def hybrid(factors: bool = True, bias: bool = False, rf: float = 1.0, ru: float
             out |= {"bu": ru * e + lam * c["bu"], "bv": ri * e + lam * c["bv"]}
         return out
 
-    return Loss(roles, p, lambda c: (p(c) - c["r"]) ** 2, g, fold, per={"b": "i" if factors else "u"}, mean=not factors)
+    return Loss(roles, p, lambda c: (p(c) - c["r"]) ** 2, g, fold, per={"b": "i" if factors else "u"}, mean=not factors, error=error)
 
 
 def bpr(compat: bool = False) -> Loss:
@@ -161,8 +174,10 @@ def bpr(compat: bool = False) -> Loss:
     x = lambda c: vec.dot(c["u"], c["va"]) - vec.dot(c["u"], c["vb"])
     sign = -1.0 if compat else 1.0
 
+    error = _shared(lambda c: vec.sigmoid(-x(c)))
+
     def g(c, lam):
-        s = vec.sigmoid(-x(c))
+        s = error(c)
         diff = F.zip_with(c["va"], c["vb"], lambda a, b: a - b)
         return {"u": vec.axpy(vec.scale(diff, -s), sign * lam, c["u"]), "va": vec.axpy(vec.scale(c["u"], -s), sign * lam, c["va"]), "vb": vec.axpy(vec.scale(c["u"], s), sign * lam, c["vb"])}
 
@@ -170,29 +185,33 @@ def bpr(compat: bool = False) -> Loss:
         s = 1 / (1 + np.exp(c["u"] @ (c["va"] - c["vb"])))
         return {"u": -s * (c["va"] - c["vb"]) + sign * lam * c["u"], "va": -s * c["u"] + sign * lam * c["va"], "vb": s * c["u"] + sign * lam * c["vb"]}
 
-    return Loss({"u": "u", "va": "a", "vb": "b"}, x, lambda c: F.ln(vec.sigmoid(x(c))), g, fold)
+    return Loss({"u": "u", "va": "a", "vb": "b"}, x, lambda c: F.ln(vec.sigmoid(x(c))), g, fold, error=error)
 
 
 def tensor_cp(temporal: bool = False) -> Loss:
     """Sum of u*v*s. ``temporal``: s is drawn to its forerunner, the records' column ``s0`` (see ``with_forerunner``)."""
     p = lambda c: vec.total(vec.times(vec.times(c["u"], c["v"]), c["s"]))
 
+    error = _shared(lambda c: p(c) - c["r"])
+
     def g(c, lam):
-        e = p(c) - c["r"]
+        e = error(c)
         held = F.zip_with(c["s"], c["s0"], lambda a, b: a - b) if temporal else c["s"]
         return {"u": _grow(e, vec.times(c["v"], c["s"]), c["u"], lam), "v": _grow(e, vec.times(c["u"], c["s"]), c["v"], lam), "s": _grow(e, vec.times(c["u"], c["v"]), held, lam)}
 
-    return Loss({"u": "p", "v": "q", "s": "o"}, p, lambda c: (p(c) - c["r"]) ** 2, g)
+    return Loss({"u": "p", "v": "q", "s": "o"}, p, lambda c: (p(c) - c["r"]) ** 2, g, error=error)
 
 
 def tensor_pair() -> Loss:
     p = lambda c: vec.dot(c["u"], c["v"]) + vec.dot(c["v"], c["s"]) + vec.dot(c["u"], c["s"])
 
+    error = _shared(lambda c: p(c) - c["r"])
+
     def g(c, lam):
-        e = p(c) - c["r"]
+        e = error(c)
         return {"u": _grow(e, vec.add(c["v"], c["s"]), c["u"], lam), "v": _grow(e, vec.add(c["u"], c["s"]), c["v"], lam), "s": _grow(e, vec.add(c["u"], c["v"]), c["s"], lam)}
 
-    return Loss({"u": "p", "v": "q", "s": "o"}, p, lambda c: (p(c) - c["r"]) ** 2, g)
+    return Loss({"u": "p", "v": "q", "s": "o"}, p, lambda c: (p(c) - c["r"]) ** 2, g, error=error)
 
 
 def with_forerunner(records: DataFrame, s: DataFrame, d: int) -> DataFrame:
@@ -216,6 +235,11 @@ def columns(df: DataFrame) -> dict[str, Column]:
     return {c.removesuffix("_x"): F.col(c) for c in sorted(df.columns, key=lambda c: c.endswith("_x"))}
 
 
+def with_error(joined: DataFrame, loss: Loss) -> DataFrame:
+    """Records with the number that their gradients share: a gradient's elements would compute it anew, each of them."""
+    return joined.withColumn("error", loss.error(columns(joined))) if loss.error is not None else joined
+
+
 def batch_step(records: DataFrame, params: dict[str, DataFrame], loss: Loss, dims: dict[str, int], lr: float, lam: float, tie: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """One full-batch step: every record's gradient at the old parameters, averaged for each row, x - lr * average.
 
@@ -225,6 +249,7 @@ def batch_step(records: DataFrame, params: dict[str, DataFrame], loss: Loss, dim
     joined = with_parameters(records, params, loss.roles)
     if loss.where is not None:
         joined = joined.where(loss.where(columns(joined)))
+    joined = with_error(joined, loss)
     grads = loss.gradient(columns(joined), lam)
     name = {r: (tie or {}).get(r, r) for r in loss.roles}
     each = [F.struct(F.lit(name[r]).alias("role"), F.col(key).alias("id"), grads[r].alias("g")) for r, key in loss.roles.items() if r not in loss.per]
@@ -270,6 +295,7 @@ def collective_step(frames: list[tuple[DataFrame, str, str, float]], params: dic
     loss, parts = square(), None
     for records, left, right, weight in frames:
         joined = with_parameters(records.select(F.col("a").alias("u"), F.col("b").alias("i"), "r"), {"u": params[left], "v": params[right]}, {"u": "u", "v": "i"})
+        joined = with_error(joined, loss)
         g = loss.gradient(columns(joined), lam)
         both = F.array(*(F.struct(F.lit(role).alias("role"), F.col(key).alias("id"), vec.scale(g[name], weight).alias("g")) for role, key, name in ((left, "u", "u"), (right, "i", "v"))))
         one = joined.select(F.explode(both).alias("one")).select("one.*")
