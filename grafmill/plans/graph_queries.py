@@ -283,10 +283,10 @@ def io_merge_move(spark, sf_dir):
     return text.read_lines(spark, moved).select("value", F.lit(left).cast("long").alias("left_behind"))
 
 
-@query("select id, string_agg(cast(cast(v as bigint) as varchar), ',' order by k) as line from (select id, k, cast(v as bigint) v from channels) group by id")
+@query("select id, string_agg(cast(cast(v as bigint) as varchar), ',' order by k) as line from (select id, k, cast(floor(v) as bigint) v from channels) group by id")
 def io_array_csv(spark, sf_dir):
     """Vectors as lines of numbers."""
-    rows = view(spark, sf_dir, "channels").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", F.round("v").cast("long").alias("v")))).alias("rows"))
+    rows = view(spark, sf_dir, "channels").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", F.floor("v").cast("long").alias("v")))).alias("rows"))
     return rows.select("id", text.joined_vector("rows.v").alias("line"))
 
 
