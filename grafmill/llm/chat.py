@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grafmill.llm.common import materialize
+
 HEAD, MIDDLE, TAIL = "<|im_start|>", "\n", "<|im_end|>\n"
 #: Turns in a bucket.
 BUCKET = 1024
@@ -47,46 +49,51 @@ def plain(text: Column) -> Column:
 
 
 def rotate(conversations: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """conv_id, perspective, place, turn, speaker, rendered, start, mask_start, mask_end."""
-    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), _names().alias("role"), safe(F.coalesce(F.col("text"), F.lit(""))).alias("text"))
+    """conv_id, perspective, place, turn, speaker, rendered, start, mask_start, mask_end.
+
+    Turns are put in order once, with their texts; places and starts of all perspectives come from lengths alone, and meet the texts last.
+    """
+    long = lambda c: F.col(c).cast("long").alias(c)
+    at = F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / bucket).cast("long").alias("bucket")
+    turns = conversations.select(long("conv_id"), long("turn"), _names().alias("role"), safe(F.coalesce(F.col("text"), F.lit(""))).alias("text")).select("*", at)
+    order = Window.partitionBy("conv_id", "bucket").orderBy("turn", "role", "text")
+    ordered = materialize(turns.withColumns({"k": F.row_number().over(order), "size": F.length("text")}), "turns")
     # combined before the shuffle: a row for each conversation and role
-    cast = turns.where("role <> 'system'").select("conv_id", F.col("role").alias("perspective")).distinct()
+    cast = ordered.where("role <> 'system'").select("conv_id", F.col("role").alias("perspective")).distinct()
     same = F.col("t.conv_id").eqNullSafe(F.col("c.conv_id"))
-    each = turns.alias("t").join(cast.alias("c"), same).select("t.conv_id", "c.perspective", "t.turn", "t.role", "t.text")
-    own = F.col("role") == F.col("perspective")
-    header = F.when(own, F.lit("assistant")).when(F.col("role") == "system", F.lit("system")).otherwise(F.concat(F.lit("user name="), F.col("role")))
-    opening = F.concat(F.lit(HEAD), header, F.lit(MIDDLE))
-    segments = each.select(
+    each = ordered.alias("t").join(cast.alias("c"), same).select("t.conv_id", "c.perspective", "t.bucket", "t.k", "t.role", "t.size")
+    each = each.withColumn("n", F.length(_opening()).cast("long") + F.col("size") + len(TAIL))
+    sums = each.groupBy("conv_id", "perspective", "bucket").agg(F.sum("n").alias("n"), F.count("*").alias("k"))
+    before = Window.partitionBy("conv_id", "perspective").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("conv_id", "perspective", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("k_before"))
+    inner = Window.partitionBy("conv_id", "perspective", "bucket").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    placed = each.withColumn("in_bucket", F.coalesce(F.sum("n").over(inner), F.lit(0)))
+    on = F.col("p.conv_id").eqNullSafe(F.col("s.conv_id")) & (F.col("p.perspective") == F.col("s.perspective")) & (F.col("p.bucket") == F.col("s.bucket"))
+    spots = placed.alias("p").join(sums.alias("s"), on).select("p.conv_id", "p.perspective", "p.bucket", "p.k", (F.col("k_before") + F.col("p.k") - 1).cast("long").alias("place"), (F.col("n_before") + F.col("in_bucket")).cast("long").alias("start"))
+    here = F.col("x.conv_id").eqNullSafe(F.col("o.conv_id")) & (F.col("x.bucket") == F.col("o.bucket")) & (F.col("x.k") == F.col("o.k"))
+    out = spots.alias("x").join(ordered.alias("o"), here).select("x.conv_id", "x.perspective", "x.place", "o.turn", "o.role", "o.text", "x.start")
+    own, opening = F.col("role") == F.col("perspective"), _opening()
+    from_, to = F.col("start") + F.length(opening), F.col("start") + F.length(opening) + F.length("text") + len(TAIL) - 1
+    return out.select(
         "conv_id",
         "perspective",
+        "place",
         "turn",
         F.col("role").alias("speaker"),
-        "text",
         F.concat(opening, F.col("text"), F.lit(TAIL)).alias("rendered"),
-        F.when(own, F.length(opening)).alias("mask_from"),
-        F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / bucket).cast("long").alias("bucket"),
-    ).withColumn("n", F.length("rendered").cast("long"))
-    sums = segments.groupBy("conv_id", "perspective", "bucket").agg(F.sum("n").alias("n"), F.count("*").alias("k"))
-    before = Window.partitionBy("conv_id", "perspective").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("conv_id", "perspective", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("k_before"))
-    inner = Window.partitionBy("conv_id", "perspective", "bucket").orderBy("turn", "speaker", "text")
-    placed = segments.withColumn("k", F.row_number().over(inner)).withColumn("in_bucket", F.coalesce(F.sum("n").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    on = F.col("p.conv_id").eqNullSafe(F.col("s.conv_id")) & (F.col("p.perspective") == F.col("s.perspective")) & (F.col("p.bucket") == F.col("s.bucket"))
-    out = placed.alias("p").join(sums.alias("s"), on)
-    start = F.col("n_before") + F.col("in_bucket")
-    return out.select(
-        "p.conv_id",
-        "p.perspective",
-        (F.col("k_before") + F.col("k") - 1).cast("long").alias("place"),
-        "p.turn",
-        "p.speaker",
-        "p.rendered",
-        start.alias("start"),
-        F.when(F.col("mask_from").isNull(), F.lit(0)).otherwise(start + F.col("mask_from")).cast("long").alias("mask_start"),
-        F.when(F.col("mask_from").isNull(), F.lit(0)).otherwise(start + F.col("n") - 1).cast("long").alias("mask_end"),
+        "start",
+        F.when(own, from_).otherwise(F.lit(0)).cast("long").alias("mask_start"),
+        F.when(own, to).otherwise(F.lit(0)).cast("long").alias("mask_end"),
     )
 
 
+def _opening() -> Column:
+    """What stands before a turn's text, of ``role`` and ``perspective``."""
+    role = F.col("role")
+    header = F.when(role == F.col("perspective"), F.lit("assistant")).when(role == "system", F.lit("system")).otherwise(F.concat(F.lit("user name="), role))
+    return F.concat(F.lit(HEAD), header, F.lit(MIDDLE))
+
+
 def dialogues(segments: DataFrame) -> DataFrame:
     """conv_id, perspective, rendered, masks: whole dialogues, for conversations that fit into a row."""
     rows = F.array_sort(F.collect_list(F.struct("place", "rendered", "mask_start", "mask_end")))
