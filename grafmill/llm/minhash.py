@@ -43,7 +43,7 @@ from grafmill.llm.exact_dedup import possible
 
 BANDS, ROWS = 32, 4
 #: Rows of a bucket compared in one task at most.
-BLOCK = 2048
+BLOCK = 1024
 #: Words whose hashes a Python worker remembers.
 MEMO = 200_000
 #: Signature agreement below this much under the threshold is no link: over 8 sigma of 128 minima.
