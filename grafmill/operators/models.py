@@ -165,7 +165,7 @@ class Neighbourhood:
     user_base: bool = True
 
     def fit(self, ratings: DataFrame) -> DataFrame:
-        return neighbours.top_neighbours(neighbours.similarities(ratings, self.criterion, self.lam, self.user_base), self.k)
+        return neighbours.nearest(ratings, self.criterion, self.lam, self.user_base, self.k)
 
     def predict_all(self, ratings: DataFrame, near: DataFrame) -> DataFrame:
         if self.user_base:

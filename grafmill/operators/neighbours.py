@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grafmill.operators import tiles
 from grafmill.operators.matrix import block_grid
 from grafmill.operators.pairs import meet
 from grafmill.plans.iterate import iterate, settle
@@ -65,6 +68,51 @@ def top_neighbours(sims: DataFrame, k: int = 121) -> DataFrame:
     return sims.withColumn("sim", F.round("sim", 9) + F.lit(0.0)).withColumn("rk", F.row_number().over(w).cast("long")).where(F.col("rk") <= k)
 
 
+#: Pairs meet in matrices if they are more than so many for a rating and no row has more than so many ratings.
+MEETINGS, LONGEST = 16, 8192
+#: Ratings of a block, rows of a block at least and at most, blocks that give every executor work.
+RATINGS, LEAST_ROWS, MOST_ROWS, BLOCKS = 4_000_000, 256, 8192, 24
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def nearest(ratings: DataFrame, criterion: str = "cosine", lam: float = 10.0, user_base: bool = True, k: int = 121) -> DataFrame:
+    """(a, b, sim, rk): ``top_neighbours`` of ``similarities``, with no row for each pair.
+
+    All pairs are compared, so work grows with the square of the rows. Whole rows are dealt into blocks; two blocks are multiplied as
+    matrices in tiles, and of each row the k best of a block go on. What is shuffled is a row's ratings for each block, then k rows for each row and block;
+    a task holds two blocks. Where few pairs meet, rows are long, or ratings are not finite, pairs meet one by one.
+    """
+    own, via = ("u", "i") if user_base else ("i", "u")
+    ratings, kinds = settle(ratings.select(own, via, "r")), dict(ratings.dtypes)
+    each = ratings.groupBy(own).agg(F.count("*").alias("n"), F.sum(F.when(F.coalesce(F.abs("r") < float("inf"), F.lit(False)), 0).otherwise(1)).alias("odd"))
+    rows = each.where(F.col(own).isNotNull()).agg(F.count("*").alias("rows"), F.max("n").alias("longest"), F.sum("n").alias("ratings"), F.sum("odd").alias("odd")).head()
+    meetings = ratings.groupBy(via).agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).head()[0]
+    whole = kinds[own] in WHOLE and kinds[via] in WHOLE and criterion in tiles.CRITERIA
+    if not whole or not rows.rows or rows.odd or rows.longest > LONGEST or meetings <= MEETINGS * rows.ratings:
+        return top_neighbours(similarities(ratings, criterion, lam, user_base), k)
+    size = min(max(rows.rows // BLOCKS, LEAST_ROWS), MOST_ROWS, RATINGS // rows.longest)
+    n = -(-rows.rows // size)
+    entry = F.struct(F.col(own).cast("long").alias("own"), F.col(via).cast("long").alias("via"), F.col("r").cast("double").alias("r"))
+    dealt = ratings.where(F.col(own).isNotNull() & F.col(via).isNotNull()).groupBy(F.pmod(F.xxhash64(F.col(own).cast("long")), F.lit(n)).alias("block")).agg(F.collect_list(entry).alias("x"))
+    parts = min(n * (n + 1) // 2, 4096)
+    left = dealt.select(F.col("block").alias("lb"), F.explode(F.sequence("block", F.lit(n - 1).cast("long"))).alias("rb"), F.col("x").alias("left"))
+    right = dealt.select(F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("lb"), F.col("block").alias("rb"), F.col("x").alias("right"))
+    centred = criterion in CENTRED
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                lb, rb = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
+                one = tiles.block(batch.column(2)[at].values, centred)
+                two = one if lb == rb else tiles.block(batch.column(3)[at].values, centred)
+                told = tiles.nearest(one, two, criterion, lam, k, lb == rb)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*told, strict=True)], names=["a", "b", "sim"])
+
+    met = left.repartition(parts, "lb", "rb").join(right.repartition(parts, "lb", "rb"), ["lb", "rb"])
+    found = met.mapInArrow(run, "a long, b long, sim double")
+    return top_neighbours(found.select(F.col("a").cast(kinds[own]).alias("a"), F.col("b").cast(kinds[own]).alias("b"), "sim"), k)
+
+
 def predict_rated(neighbours: DataFrame, ratings: DataFrame) -> DataFrame:
     """(u, i, score) for all (user, item) with a neighbour who rated the item: weighted mean."""
     joined = neighbours.select(F.col("a").alias("u"), F.col("b").alias("v"), "sim").join(ratings.select(F.col("u").alias("v"), "i", "r"), "v")

@@ -131,7 +131,7 @@ def sims_sql(own: str, via: str, criterion: str, shrink: float = 10.0) -> str:
 
 
 def nearest(spark, sf_dir, criterion: str, user_base: bool) -> DataFrame:
-    return neighbours.top_neighbours(neighbours.similarities(view(spark, sf_dir, "ratings_ui"), criterion, 10.0, user_base), 5)
+    return neighbours.nearest(view(spark, sf_dir, "ratings_ui"), criterion, 10.0, user_base, 5)
 
 
 TOP = "select a, b, sim, rk from top"

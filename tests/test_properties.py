@@ -229,6 +229,37 @@ def test_neighbourhood_model(spark):
         assert model.predict_pairs(data, near, data.select("u", "i")).count() == data.count()
 
 
+def many_meet(spark, kind):
+    """40 users who share most of 20 items; ``few``: values of which many are alike."""
+    value = {"wide": lambda u, i: ((u * 37 + i * 101) % 97) / 7 - 3, "few": lambda u, i: float((u * i) % 3 if u % 4 else 1)}[kind]
+    return spark.createDataFrame([(u * 3, i, value(u, i)) for u in range(40) for i in range(20) if (u * 5 + i * 3) % 4], "u long, i long, r double")
+
+
+@pytest.mark.parametrize("kind", ["wide", "few"])
+@pytest.mark.parametrize("spare", [0, 75, 10**9])  # no column, some and all of them multiplied densely
+def test_nearest_by_blocks_is_the_same(spark, monkeypatch, kind, spare):
+    """No row for each pair is made, over several blocks and tiles, with the same neighbours, ranks and similarities."""
+    data = many_meet(spark, kind)
+    want = {c: sorted(map(tuple, neighbours.top_neighbours(neighbours.similarities(data, c), 4).collect())) for c in ("cosine", "pearson")}
+    for name, value in {"ROWS": 5, "COLUMNS": 7, "DENSE": 3, "PAIRS": 10, "SPARE": spare}.items():
+        monkeypatch.setattr(neighbours.tiles, name, value)
+    monkeypatch.setattr(neighbours, "LEAST_ROWS", 16)
+    monkeypatch.setattr(neighbours, "MEETINGS", 0)
+    monkeypatch.setattr(neighbours, "similarities", None)  # would make a row for each pair
+    for c, rows in want.items():
+        got = sorted(map(tuple, neighbours.nearest(data, c, k=4).collect()))
+        assert [x[:2] + x[3:] for x in got] == [x[:2] + x[3:] for x in rows]
+        assert [x[2] for x in got] == pytest.approx([x[2] for x in rows], abs=2e-9)
+
+
+def test_nearest_of_odd_ratings(spark):
+    """Nulls, numbers that are none and ids of other types meet one by one, as before."""
+    data = many_meet(spark, "wide")
+    for odd in (data.withColumn("r", F.when(F.col("i") != 3, F.col("r"))), data.withColumn("u", F.concat(F.lit("u"), "u"))):
+        want = neighbours.top_neighbours(neighbours.similarities(odd), 3)
+        assert sorted(map(tuple, neighbours.nearest(odd, k=3).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_preferences_are_strict(spark):
     data = spark.createDataFrame([(0, 1, 1.0), (0, 2, 2.0), (0, 3, 2.0)], "u long, i long, r double")
     assert sorted(map(tuple, cf.preferences(data).collect())) == [(0, 2, 1), (0, 3, 1)]
