@@ -368,7 +368,7 @@ def fold_step(records: DataFrame, params: dict[str, DataFrame], loss: Loss, own:
         leave()
         yield pd.DataFrame(rows + sums.taken(0), columns=TOLD)
 
-    told = settle(joined.repartition(user).sortWithinPartitions(user, *sort).mapInPandas(run, TOLD_TYPES))
+    told = settle(together(joined, user).sortWithinPartitions(user, *sort).mapInPandas(run, TOLD_TYPES))
     out = dict(params)
     for r in own:
         out[r] = _replaced(params[r], told.where(F.col("role") == r))
@@ -380,6 +380,12 @@ def fold_step(records: DataFrame, params: dict[str, DataFrame], loss: Loss, own:
     return out
 
 
+def together(rows: DataFrame, key: str) -> DataFrame:
+    """Rows with all of a key in one partition. Dealt by the key itself, the shuffle would be left out after a join on it, and with
+    it the partitions: the join's own shuffle is read as its tasks wrote it once adaptive execution turns that join into a broadcast."""
+    return rows.repartition(F.xxhash64(key))
+
+
 #: Gradients are summed for each (role, id) in their task; so many sums are held before they are passed on.
 HELD = 50_000
 TOLD, TOLD_TYPES = ["role", "id", "x", "n"], "role string, id long, x array<double>, n long"
@@ -442,7 +448,7 @@ def collective_fold_step(mu: DataFrame, ms: DataFrame, mv: DataFrame, params: di
         last = [("u", now, u.tolist(), 1)] if u is not None else []
         yield pd.DataFrame(last + sums.taken(0), columns=TOLD)
 
-    told = settle(records.repartition("a").sortWithinPartitions("a", "k", "b").mapInPandas(run, TOLD_TYPES))
+    told = settle(together(records, "a").sortWithinPartitions("a", "k", "b").mapInPandas(run, TOLD_TYPES))
     both = with_parameters(mv.select(F.col("a").alias("i"), F.col("b").alias("c"), "r"), {"v": params["v"], "s": params["s"]}, {"v": "i", "s": "c"})
     e = vec.dot(F.col("v_x"), F.col("s_x")) - F.col("r")
     g = lambda role, key, x, y: both.select(F.lit(role).alias("role"), F.col(key).alias("id"), vec.scale(_grow(e, F.col(y), F.col(x), lam), lam_v).alias("x"), F.lit(1).cast("long").alias("n"))

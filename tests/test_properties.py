@@ -181,6 +181,55 @@ def test_sequential_pass_streams_over_batches(spark):
     assert np.allclose(got[0], u)
 
 
+@pytest.mark.parametrize("kind", ["ratings", "preferences", "collective"])
+def test_a_user_is_passed_once_when_joins_turn_into_broadcasts(spark, kind):
+    """Joins planned as shuffles and broadcast at run time leave a user's records together."""
+    data = ratings(spark, 30, 9).repartition(5).cache()
+    pair = lambda key: data.select(F.col("u"), F.col("i").alias(key), "r")
+
+    def run():
+        if kind == "collective":
+            out = models.Collective(d=2, lr=0.3, solver="sequential").fit(data, pair("s"), data.select("i", F.pmod("u", F.lit(9)).alias("s"), "r").distinct(), 1)
+        else:
+            out = models.MODELS["gaussian" if kind == "ratings" else "bpr"](d=2, lr=0.3, solver="sequential").fit(data, 1)
+        return {r: sorted((x.id, *x.x) for x in out[r].collect()) for r in "uv"}
+
+    want = run()
+    planned = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for name, value in planned.items():
+        spark.conf.set(name, value)
+    try:
+        got = run()
+    finally:
+        for name in planned:
+            spark.conf.unset(name)
+    assert {r: len(x) for r, x in got.items()} == {"u": 30, "v": 9} == {r: len(x) for r, x in want.items()}
+    assert all(np.allclose(got[r], want[r]) for r in "uv")
+
+
+def test_users_are_dealt_after_a_join_on_them(spark):
+    """The shuffle that keeps a user together stands, though a join on the user has dealt the rows before."""
+    planned = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for name, value in planned.items():
+        spark.conf.set(name, value)
+    try:
+        joined = ratings(spark).join(spark.range(8).withColumnRenamed("id", "u"), "u")
+        plan = cf.together(joined, "u").mapInPandas(lambda x: x, joined.schema)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in planned:
+            spark.conf.unset(name)
+    assert "REPARTITION_BY_COL" in plan
+
+
+def test_least_squares_of_many_ratings_of_one_item(spark, monkeypatch):
+    """An item's ratings are dealt over parts if they are many; sums are the same, and no sums are shuffled for each rating."""
+    monkeypatch.setattr(cf, "HOT", 3)
+    test_least_squares_against_numpy(spark)
+    data = ratings(spark)
+    half = cf.als_half(data, models.MODELS["gaussian"](d=4).start(data)["u"], "i", "u", 4, 0.1)
+    assert "REPARTITION_BY_COL" in half._jdf.queryExecution().executedPlan().toString()
+
+
 def test_least_squares_against_numpy(spark):
     data, d = ratings(spark), 4
     model = models.MODELS["gaussian"](d=d, lam=0.1, solver="als")
