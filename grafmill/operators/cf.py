@@ -467,16 +467,29 @@ def _solve(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(list(np.linalg.solve(left, right[:, :, None])[:, :, 0]))
 
 
+#: Ratings of a row that one part sums.
+HOT = 65_536
+
+
 def als_half(ratings: DataFrame, factors: DataFrame, key: str, other: str, d: int, lam: float) -> DataFrame:
     """(id, x) of ``key`` from the other side's factors: (sum v vᵀ + lam I)^-1 sum r v; lam is not scaled by counts.
 
-    Sums, of the upper triangle alone, are combined before the shuffle; solving runs on batches of small systems.
+    Sums are of the upper triangle alone; solving runs on batches of small systems. Where a row's sums are wider than what a rating
+    brings to them (d above 3) ratings are shuffled with their vectors and summed after it, those of a row with very many in parts.
     """
-    joined = ratings.join(factors.select(F.col("id").alias(other), F.col("x").alias("v")), other)
-    v = F.col("v")
-    left = F.array(*(F.sum(v[j] * v[k]) + (lam if j == k else 0.0) for j in range(d) for k in range(j, d)))
-    right = F.array(*(F.sum(F.col("r") * v[k]) for k in range(d)))
-    return joined.groupBy(F.col(key).alias("id")).agg(left.alias("a"), right.alias("b")).select("id", _solve("a", "b").alias("x"))
+    v = [F.col(f"v{k}") for k in range(d)]
+    sums = {f"a{j}_{k}": F.sum(v[j] * v[k]) for j in range(d) for k in range(j, d)} | {f"b{k}": F.sum(F.col("r") * v[k]) for k in range(d)}
+    factors = factors.select(F.col("id").alias(other), *(F.col("x")[k].alias(f"v{k}") for k in range(d)))
+    if d > 3:
+        hot = ratings.groupBy(key).agg(F.ceil(F.count("*") / HOT).cast("long").alias("parts")).where("parts > 1")  # a row for each HOT ratings at most
+        part = F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1).cast("long")))
+        ratings = ratings.select(key, other, "r").join(F.broadcast(hot), key, "left").select(key, other, "r", part.alias("part"))
+        each = ratings.join(factors, other).select(F.col(key).alias("id"), "part", "r", *v).repartition("id", "part").groupBy("id", "part").agg(*(e.alias(n) for n, e in sums.items()))
+        summed = each.groupBy("id").agg(*(F.sum(n).alias(n) for n in sums))
+    else:
+        summed = ratings.join(factors, other).groupBy(F.col(key).alias("id")).agg(*(e.alias(n) for n, e in sums.items()))
+    left = F.array(*(F.col(f"a{j}_{k}") + (lam if j == k else 0.0) for j in range(d) for k in range(j, d)))
+    return summed.select("id", left.alias("a"), F.array(*(F.col(f"b{k}") for k in range(d))).alias("b")).select("id", _solve("a", "b").alias("x"))
 
 
 def als_step(ratings: DataFrame, u: DataFrame, d: int, lam: float) -> tuple[DataFrame, DataFrame]:
