@@ -246,6 +246,8 @@ def batch_step(records: DataFrame, params: dict[str, DataFrame], loss: Loss, dim
     ``tie``: roles that are one parameter frame (va and vb of a preference are both rows of V). Gradients of all roles come
     from one pass over the records and meet in one shuffle, combined before it; the result is computed here, as one table.
     """
+    if not tie and not loss.per:
+        return dict(params) | moved_by({r: params[r] for r in loss.roles}, gradients_by_key(records, params, loss, dims, lam), lr)
     joined = with_parameters(records, params, loss.roles)
     if loss.where is not None:
         joined = joined.where(loss.where(columns(joined)))
@@ -265,6 +267,42 @@ def batch_step(records: DataFrame, params: dict[str, DataFrame], loss: Loss, dim
     return dict(params) | {r: new[n] for r, n in name.items()} | {n: new[n] for n in name.values() if n in params}
 
 
+def gradients_by_key(records: DataFrame, params: dict[str, DataFrame], loss: Loss, dims: dict[str, int], lam: float) -> DataFrame:
+    """(role, id, g): mean gradients, from one sum for each key column.
+
+    Roles of one key are joined one after the other, so records are shuffled once for each key, with numbers in the place of arrays; what belongs to the
+    key joined last is summed where it was joined, without a shuffle.
+    """
+    keys: dict[str, list[str]] = {}
+    for role, key in loss.roles.items():
+        keys.setdefault(key, []).append(role)
+    joined = records
+    for key, roles in keys.items():
+        for r in roles:
+            joined = joined.join(params[r].select(F.col("id").alias(key), *(F.get("x", F.lit(k)).alias(f"{r}_{k}") for k in range(dims[r]))), key)
+    joined = joined.select(*records.columns, *(F.array(*(F.col(f"{r}_{k}") for k in range(dims[r]))).alias(f"{r}_x") for r in loss.roles))
+    if loss.where is not None:
+        joined = joined.where(loss.where(columns(joined)))
+    joined = with_error(joined, loss)
+    grads, out, before = loss.gradient(columns(joined), lam), None, []
+    for key, roles in keys.items():
+        # the keys joined before are asked for in each sum: with the same columns, all sums read the same shuffles
+        each = joined.select(F.col(key).alias("id"), F.concat(*(grads[r] for r in roles)).alias("g"), *([F.xxhash64(*before).alias("seen")] if before else []))
+        n = F.count(F.get("g", F.lit(0)))
+        width = sum(dims[r] for r in roles)
+        sums = each.groupBy("id").agg(F.array(*(F.sum(F.get("g", F.lit(k))) / n for k in range(width))).alias("g"), *([F.max("seen").alias("seen")] if before else []))
+        if before:
+            sums = sums.where("seen is not null")
+        at, parts = 1, []
+        for r in roles:
+            parts.append(F.struct(F.lit(r).alias("role"), "id", F.slice("g", at, dims[r]).alias("g")))
+            at += dims[r]
+        one = sums.select(F.explode(F.array(*parts)).alias("one")).select("one.*")
+        out = one if out is None else out.unionByName(one)
+        before.append(key)
+    return out
+
+
 def mean_gradients(gradients: DataFrame, width: int) -> DataFrame:
     """(role, id, g) of many records -> their mean for each row; arrays shorter than ``width`` end in nulls."""
     return gradients.groupBy("role", "id").agg(F.array(*(F.avg(F.get("g", F.lit(k))) for k in range(width))).alias("g"))

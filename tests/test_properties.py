@@ -157,6 +157,22 @@ def test_loss_falls(spark, name):
     assert value(model.fit(data, 4, start)) < value(start)
 
 
+def test_batch_step_shuffles_records_once_for_each_key(spark):
+    """Factors and biases of a key are joined one after the other, and the item's gradients are summed where they were joined."""
+    planned = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for name, value in planned.items():
+        spark.conf.set(name, value)
+    try:
+        data, model = cf.settle(ratings(spark)), models.MODELS["bias"](d=2)
+        params = {r: cf.settle(x) for r, x in model.start(data).items()}
+        told = cf.gradients_by_key(data, params, model.loss(), {"u": 2, "v": 2, "bu": 1, "bv": 1}, 0.1)
+        plan = told._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in planned:
+            spark.conf.unset(name)
+    assert len([x for x in plan.splitlines() if " Exchange hashpartitioning" in x]) <= 7  # at most: records by u and by i, four parameters, gradients by u
+
+
 def test_one_rating_a_user_makes_both_solvers_agree_on_users(spark):
     data = spark.createDataFrame([(u, u % 3, 0.5) for u in range(5)], "u long, i long, r double")
     batch, fold = (models.MODELS["gaussian"](d=2, lr=0.1, solver=s).fit(data, 1) for s in ("batch", "sequential"))
