@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grafmill.operators import tiles
-from grafmill.operators.matrix import block_grid
+from grafmill.operators.matrix import block_grid, dense_ids
 from grafmill.operators.pairs import meet
 from grafmill.plans.iterate import iterate, settle
 
@@ -142,14 +142,71 @@ def sorted_lines(scores: DataFrame) -> DataFrame:
     return scores.groupBy("u").agg(F.concat_ws(";", F.transform(rows, lambda x: F.concat(x["i"].cast("string"), F.lit(","), x["s"].cast("string")))).alias("line"))
 
 
+#: Items that walk together, as a power of two; sums (of so many items each) that one task may hold; parts of a walk at most.
+BITS, SUMS, PARTS = 4, 1 << 20, 32
+
+
 def relational(edges: DataFrame, interactions: DataFrame, n_items: int, iterations: int, alpha: float) -> DataFrame:
-    """(u, i, r): interests walk from the followed to followers, with a uniform restart for what a user already has."""
-    counts = edges.groupBy("dst").agg(F.count("*").alias("n"))
-    links = settle(edges.select("src", "dst").join(counts, "dst"))
+    """(u, i, r): interests walk from the followed to followers, with a uniform restart for what a user already has.
+
+    Items walk in blocks of neighbouring ids, a column each, null where there is no interest, so a link carries a row for each block and
+    not for each item. Sums are combined before their shuffle; as a task then holds a sum for nearly every follower, a walk goes
+    to one part of the followers after the other. Where ratings are null, items walk one by one.
+    """
+    interactions = interactions.select("u", "i", "r")
+    if not iterations:
+        return interactions
+    edges, interactions = settle(edges.select("src", "dst")), settle(interactions)
+    counts = settle(edges.groupBy("dst").agg(F.count("*").alias("n")))
+    if interactions.where("r is null").head(1):
+        return _walk_by_items(edges.join(counts, "dst"), interactions, n_items, iterations, alpha)
+    kind, names = dict(interactions.dtypes)["i"], None
+    if kind in WHOLE:
+        given = interactions.withColumn("ix", F.col("i").cast("long"))
+    else:
+        names = settle(dense_ids(interactions, "i"))
+        given = interactions.join(names.withColumnRenamed("id", "i"), "i", "left")
+    width = 1 << BITS
+    v = [f"v{k}" for k in range(width)]
+    # an item that is null has a block of its own
+    given = given.select("u", F.shiftright("ix", BITS).alias("block"), F.coalesce(F.col("ix").bitwiseAND(width - 1), F.lit(0)).alias("at"), F.col("r").cast("double").alias("r"))
+    own = [F.when(F.col("at") == k, F.col("r")) for k in range(width)]
+    restart = [F.when(F.count(c) > 0, F.count(c) * (alpha / n_items)) for c in own]  # a rating that comes twice restarts twice
+    x = settle(given.groupBy("u", "block").agg(*(F.sum(c).alias(k) for c, k in zip(own, v, strict=True)), *(c.alias(f"b_{k}") for c, k in zip(restart, v, strict=True))))
+    followers = edges.select("src").distinct().count()
+    for t in range(iterations):
+        back = x.select("u", "block", *((F.col(f"b_{k}") if not t else F.when(F.col(k).isNotNull(), F.lit(alpha / n_items))).alias(k) for k in v))
+        leaving = x.join(counts, x["u"] == counts["dst"]).select("dst", "block", *((F.col(k) * (1 - alpha) / F.col("n")).alias(k) for k in v))
+        arrived = edges.join(leaving, "dst").select(F.col("src").alias("u"), "block", *v).unionByName(back)
+        parts, new = _parts(x, counts, followers), None
+        for p in range(parts):
+            some = arrived.where(F.pmod(F.xxhash64("u"), F.lit(parts)) == p) if parts > 1 else arrived
+            one = some.groupBy("u", "block").agg(*(F.sum(k).alias(k) for k in v))
+            new = one if new is None else new.unionByName(one)
+        x = settle(new) if t + 1 < iterations else new
+    told = x.select("u", "block", F.posexplode(F.array(*v)).alias("at", "r")).where("r is not null")
+    told = told.select("u", F.shiftleft("block", BITS).bitwiseOR(F.col("at").cast("long")).alias("ix"), "r")
+    if names is None:
+        return told.select("u", F.col("ix").cast(kind).alias("i"), "r")
+    return told.join(names, "ix", "left").select("u", F.col("id").alias("i"), "r")
+
+
+def _parts(x: DataFrame, counts: DataFrame, followers: int) -> int:
+    """Parts of the followers for which a walk makes no more than ``SUMS`` sums each."""
+    most = followers * x.select("block").distinct().count()
+    if most > SUMS:  # where interests are few, what is sent bounds it
+        sent = x.groupBy(F.col("u").alias("dst")).agg(F.count("*").alias("blocks")).join(counts, "dst").agg(F.sum(F.col("n") * F.col("blocks"))).head()[0]
+        most = min(most, sent or 0)
+    return max(1, min(PARTS, -(-most // SUMS)))
+
+
+def _walk_by_items(links: DataFrame, interactions: DataFrame, n_items: int, iterations: int, alpha: float) -> DataFrame:
+    """The same with a row for each link and item; null ratings restart and add nothing."""
+    links = settle(links)
 
     def step(x: DataFrame, _: int) -> DataFrame:
         sent = links.join(x.withColumnRenamed("u", "dst"), "dst").select(F.col("src").alias("u"), "i", (F.col("r") * (1 - alpha) / F.col("n")).alias("r"))
         back = x.select("u", "i", F.lit(alpha / n_items).alias("r"))
         return sent.unionByName(back).groupBy("u", "i").agg(F.sum("r").alias("r"))
 
-    return iterate(interactions.select("u", "i", "r"), step, iterations)
+    return iterate(interactions, step, iterations)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -325,6 +326,50 @@ def test_nearest_of_odd_ratings(spark):
         assert sorted(map(tuple, neighbours.nearest(odd, k=3).collect())) == sorted(map(tuple, want.collect()))
 
 
+def shuffled_records(spark, run) -> int:
+    """Records that all stages of ``run`` wrote into shuffles."""
+
+    def written():
+        store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+        stages = store.stageList(jvm.java.util.ArrayList(), False, False, getattr(store, "stageList$default$4")(), jvm.java.util.ArrayList())
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteRecords() for k in range(stages.size())}
+
+    spark.range(1).collect()
+    time.sleep(1)  # the store hears of a stage's end a little later
+    before = written()
+    run()
+    time.sleep(1)
+    return sum(n for k, n in written().items() if k not in before)
+
+
+def test_interests_walk_in_blocks_of_items(spark):
+    """What goes over a link is a row for each block of items: 60 users, 64 items, 10 links each, two steps."""
+    follow = cf.settle(edges(spark, *((u, (u * 7 + k * 11) % 60) for u in range(60) for k in range(10))))
+    have = cf.settle(spark.createDataFrame([(u, i, float((u * i) % 9)) for u in range(60) for i in range(64)], "u long, i long, r double"))
+    assert shuffled_records(spark, neighbours.relational(follow, have, 64, 2, 0.2).collect) < 2 * 60 * 64
+
+
+@pytest.mark.parametrize("kind", ["whole", "words", "nulls"])
+@pytest.mark.parametrize("sums", [1 << 20, 20])  # followers in one part, and in several
+def test_interests_walk_as_items_do(spark, monkeypatch, kind, sums):
+    """Against one row for each link and item: negative, far and null items, users without links, a rating that comes twice."""
+    monkeypatch.setattr(neighbours, "SUMS", sums)
+    follow = edges(spark, *((u, (u * 7 + k * 11) % 30) for u in range(25) for k in range(1 + u % 4)), (3, None), (None, 4))
+    items = (-40, -1, 0, 5, 15, 16, 17, 10**12, None)
+    rows = [(u, i, float(((u or 0) * 3 + k) % 7) - 1) for u in (*range(20), 77, None) for k, i in enumerate(items) if ((u or 0) + k) % 3] + [(1, 0, 2.5)]
+    have = spark.createDataFrame(rows, "u long, i long, r double")
+    if kind == "words":
+        have = have.withColumn("i", F.concat(F.lit("w"), "i"))
+    if kind == "nulls":
+        have = have.withColumn("r", F.when(F.col("r") > 0, F.col("r")))
+    links = follow.join(follow.groupBy("dst").agg(F.count("*").alias("n")), "dst")
+    told = lambda df: sorted(((x.u, x.i, x.r) for x in df.collect()), key=repr)
+    want, got = told(neighbours._walk_by_items(links, have, 9, 3, 0.2)), told(neighbours.relational(follow, have, 9, 3, 0.2))
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    for a, b in zip(got, want, strict=True):
+        assert a[2] == pytest.approx(b[2], abs=1e-12) if b[2] is not None else a[2] is None
+
+
 def test_preferences_are_strict(spark):
     data = spark.createDataFrame([(0, 1, 1.0), (0, 2, 2.0), (0, 3, 2.0)], "u long, i long, r double")
     assert sorted(map(tuple, cf.preferences(data).collect())) == [(0, 2, 1), (0, 3, 1)]
