@@ -121,6 +121,7 @@ def predict_rated(neighbours: DataFrame, ratings: DataFrame) -> DataFrame:
 
 def predict_all(neighbours: DataFrame, ratings: DataFrame, block: int = 4096) -> DataFrame:
     """(u, i, score) dense: 0.0 where no neighbour rated the item. Users meet items by blocks, never one by one."""
+    neighbours = settle(neighbours.select("a", "b", "sim"))  # read twice: for scores and for users
     scores = predict_rated(neighbours, ratings)
     users, items = neighbours.select(F.col("a").alias("u")).distinct(), ratings.select("i").distinct()
     grid = block_grid(users, "u", block, items, "i", block).select(F.explode("left").alias("u"), "right").select("u.u", F.explode("right").alias("i")).select("u", "i.i")

@@ -318,6 +318,21 @@ def test_nearest_by_blocks_is_the_same(spark, monkeypatch, kind, spare):
         assert [x[2] for x in got] == pytest.approx([x[2] for x in rows], abs=2e-9)
 
 
+def test_dense_predictions_find_neighbours_once(spark):
+    """Scores and users are both had of the neighbours, which are costly."""
+    found = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            found.add(batch.num_rows)
+            yield batch
+
+    data = cf.settle(many_meet(spark, "wide"))
+    near = cf.settle(neighbours.nearest(data, k=4))
+    out = neighbours.predict_all(near.mapInArrow(counted, near.schema), data).collect()
+    assert len(out) == 40 * 20 and found.value == near.count()
+
+
 def test_nearest_of_odd_ratings(spark):
     """Nulls, numbers that are none and ids of other types meet one by one, as before."""
     data = many_meet(spark, "wide")
