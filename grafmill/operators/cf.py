@@ -11,11 +11,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grafmill.functions import vec
+from grafmill.operators import pairs
 from grafmill.operators.matrix import block_grid
 from grafmill.operators.pairs import meet
 from grafmill.plans.iterate import settle
@@ -319,6 +321,98 @@ def moved_by(params: dict[str, DataFrame], mean: DataFrame, lr: float) -> dict[s
     return {name: new.where(F.col("role") == name).select("id", "x") for name in params}
 
 
+#: Gradients of items that a task holds before it adds those of an item together.
+ADDED = 200_000
+
+
+def ranked_step(ratings: DataFrame, params: dict[str, DataFrame], dims: dict[str, int], lr: float, lam: float, compat: bool = False) -> dict[str, DataFrame]:
+    """The batch step of ``bpr`` over all preferences of ratings (u, i, r), with no row for a preference: (u, v).
+
+    A user's ratings come together and their preferences are a matrix, of which sums by row and column are what the gradients need. A user
+    of more ratings than a block is cut into pairs of blocks, as ``pairs.meet`` does, so one with very many is spread over tasks.
+    """
+    d, sign = dims["u"], -1.0 if compat else 1.0
+    each = lambda role: [F.get("x", F.lit(k)).alias(f"{role}_{k}") for k in range(d)]
+    rated = ratings.select("u", "i", F.col("r").cast("double").alias("r")).where("r is not null")
+    rated = rated.join(params["v"].select(F.col("id").alias("i"), *each("v")), "i")
+    large = rated.groupBy("u").agg(F.ceil(F.count("*") / pairs.BLOCK).cast("long").alias("blocks")).where("blocks > 1")
+    rated = rated.join(params["u"].select(F.col("id").alias("u"), *each("u")), "u").join(large, "u", "left")
+    own, others = F.pmod(F.xxhash64("i", "r"), F.coalesce("blocks", F.lit(1).cast("long"))), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    unit = lambda lo, hi, side: F.struct(lo.alias("lo"), hi.alias("hi"), F.lit(side).alias("side"))
+    zero = F.lit(0).cast("long")
+    copies = F.concat(F.transform(others, lambda o: unit(own, o, 0)), F.transform(others, lambda o: unit(o, own, 1)))  # preferred, and not
+    rated = rated.withColumn("unit", F.explode(F.when(F.col("blocks").isNull(), F.array(unit(zero, zero, 2))).otherwise(copies)))
+    rated = rated.select(F.col("u").cast("long").alias("u"), "unit.*", F.col("i").cast("long").alias("i"), "r", *(f"{role}_{k}" for role in "uv" for k in range(d)))
+
+    def told(role: str, ids: np.ndarray, x: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * d, pa.int32()), pa.array(np.ascontiguousarray(x, float).ravel()))
+        return pa.RecordBatch.from_arrays([pa.array([role] * len(ids), pa.string()), pa.array(ids, pa.int64()), lists, pa.array(n, pa.int64())], names=TOLD)
+
+    def added(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, x, n = (np.concatenate(y) for y in zip(*parts, strict=True))
+        ids, at = np.unique(ids, return_inverse=True)
+        return ids, np.stack([np.bincount(at, x[:, k], len(ids)) for k in range(d)], 1), np.bincount(at, n, len(ids)).astype(np.int64)
+
+    def gradients(side, i, r, u, v):
+        """Of one unit: sum and number for the user, and for items (ids, sums, numbers)."""
+        if np.isnan(r).any():
+            r = np.unique(r, return_inverse=True)[1]  # a number that is none is above all others, as in SQL
+        up, low = side != 1, side != 0
+        above, score = r[up][:, None] > r[low], v @ u
+        with np.errstate(over="ignore"):
+            s = above / (1 + np.exp(score[up][:, None] - score[low]))
+        weight, n = np.zeros(len(i)), np.zeros(len(i), np.int64)
+        weight[up] -= s.sum(1)
+        weight[low] += s.sum(0)
+        n[up] += above.sum(1)
+        n[low] += above.sum(0)
+        total, met = int(above.sum()), n > 0
+        return weight @ v + total * sign * lam * u, total, (i[met], weight[met, None] * u + (n[met] * sign * lam)[:, None] * v[met], n[met])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, items, size = None, [], 0
+
+        def passed(cols: list[np.ndarray], bounds: np.ndarray) -> pa.RecordBatch:
+            nonlocal items, size
+            ids, sums, numbers = [], [], []
+            us, vs = np.stack(cols[6 : 6 + d], 1), np.stack(cols[6 + d :], 1)
+            for first, last in zip(bounds[:-1], bounds[1:], strict=True):
+                g, n, one = gradients(cols[3][first:last], cols[4][first:last], cols[5][first:last], us[first], vs[first:last])
+                if n:
+                    ids.append(cols[0][first])
+                    sums.append(g)
+                    numbers.append(n)
+                    items.append(one)
+                    size += len(one[0])
+            return told("u", np.array(ids, np.int64), np.array(sums), np.array(numbers, np.int64))
+
+        for batch in batches:
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            if not len(cols[0]):
+                continue
+            new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)) + 1
+            if len(new):
+                yield passed(cols, np.r_[0, new])
+            held = [c[new[-1] if len(new) else 0 :] for c in cols]  # the last unit may go on
+            if size > ADDED:
+                items = [added(items)]
+                if len(items[0][0]) > HELD:
+                    yield told("v", *items[0])
+                    items = []
+                size = sum(len(x[0]) for x in items)
+        if held is not None:
+            yield passed(held, np.array([0, len(held[0])]))
+        if items:
+            yield told("v", *added(items))
+
+    units = rated.repartition(F.xxhash64("u", "lo", "hi")).sortWithinPartitions("u", "lo", "hi")
+    mean = units.mapInArrow(run, TOLD_TYPES).groupBy("role", "id").agg(F.array(*(F.sum(F.get("x", F.lit(k))) / F.sum("n") for k in range(d))).alias("g"))
+    new = moved_by({"u": params["u"], "v": params["v"]}, mean, lr)
+    return dict(params) | new | {"va": new["v"], "vb": new["v"]}
+
+
 def loss_metric(records: DataFrame, params: dict[str, DataFrame], loss: Loss) -> DataFrame:
     """(loss, thousandths, cnt): sum of values, sum of values cut to whole thousandths, number of records."""
     joined = with_parameters(records, params, loss.roles)

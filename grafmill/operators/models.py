@@ -94,22 +94,29 @@ class Factorization:
 
 @dataclass
 class Ranking(Factorization):
-    """Pairwise preferences, made of the ratings."""
+    """Pairwise preferences (u, a, b), or those of ratings (u, i, r); of these the batch step makes no row for a preference."""
 
     name: str = "bpr"
 
     def start(self, records: DataFrame) -> dict[str, DataFrame]:
-        items = records.select(F.col("a").alias("i")).unionByName(records.select(F.col("b").alias("i")))
+        items = records if "i" in records.columns else records.select(F.col("a").alias("i")).unionByName(records.select(F.col("b").alias("i")))
         v = cf.starting(items, "i", 2, self.d)
         return {"u": cf.starting(records, "u", 1, self.d), "va": v, "vb": v, "v": v}
 
     def fit(self, records: DataFrame, steps: int = 100, params: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
-        return super().fit(records if "a" in records.columns else cf.preferences(records), steps, params)
+        if "a" in records.columns:
+            return super().fit(records, steps, params)
+        kinds = dict(records.dtypes)
+        params = params or self.start(records)  # users and items without a preference too
+        by_user = self.solver != "sequential" and kinds["u"] in neighbours.WHOLE and kinds["i"] in neighbours.WHOLE
+        return super().fit(records.select("u", "i", "r") if by_user else cf.preferences(records), steps, params)
 
     def _step(self, records: DataFrame, params: dict[str, DataFrame], dims: dict[str, int]) -> dict[str, DataFrame]:
         if self.solver == "sequential":
             out = cf.fold_step(records, params, self.loss(), ["u"], "together", self.lr, self.lam, ["a", "b"])
             return out | {"v": out["va"]}
+        if "i" in records.columns:
+            return cf.ranked_step(records, params, dims, self.lr, self.lam, **self.options)
         return cf.batch_step(records, params, self.loss(), dims, self.lr, self.lam, {"va": "v", "vb": "v"})
 
     def predict_pairs(self, pairs: DataFrame, params: dict[str, DataFrame]) -> DataFrame:

@@ -385,6 +385,31 @@ def test_interests_walk_as_items_do(spark, monkeypatch, kind, sums):
         assert a[2] == pytest.approx(b[2], abs=1e-12) if b[2] is not None else a[2] is None
 
 
+@pytest.mark.parametrize("compat", [False, True])
+@pytest.mark.parametrize("block", [4, 2048])  # users of several blocks, and of one
+def test_ratings_are_ranked_without_a_row_for_a_preference(spark, monkeypatch, block, compat):
+    """Against the step over all preferences: ties, nulls, numbers that are none, a user and an item without a preference, ratings that come twice."""
+    rows = [(u, i, float((u * 3 + i * 5) % 7)) for u in range(12) for i in range(9) if (u + i) % 4]
+    rows += [(1, 3, 2.5), (2, 3, float("nan")), (2, 5, float("nan")), (3, 2, None), (50, 1, 1.0), (51, 70, 1.0), (None, 2, 1.0), (4, None, 9.0)]
+    data = cf.settle(spark.createDataFrame(rows, "u long, i long, r double").where("u is not null and i is not null or r > 0"))
+    model = models.MODELS["bpr"](d=3, lr=0.3, lam=0.1, compat=compat)
+    start = model.start(data)
+    want = model.fit(cf.settle(cf.preferences(data)), 2, start)
+    monkeypatch.setattr(cf, "preferences", None)  # would make a row for each
+    monkeypatch.setattr(pairs, "BLOCK", block)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")  # units go on over batches
+    try:
+        got = {role: {x.id: x.x for x in df.collect()} for role, df in model.fit(data, 2).items()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got["v"] == got["va"] == got["vb"] and {50, 51} <= set(got["u"]) and 70 in got["v"]
+    for role in ("u", "v"):
+        rows = {x.id: x.x for x in want[role].collect()}
+        assert set(got[role]) == set(rows)
+        for key, x in rows.items():
+            assert got[role][key] == (x if key is None else pytest.approx(x, abs=1e-12))
+
+
 def test_preferences_are_strict(spark):
     data = spark.createDataFrame([(0, 1, 1.0), (0, 2, 2.0), (0, 3, 2.0)], "u long, i long, r double")
     assert sorted(map(tuple, cf.preferences(data).collect())) == [(0, 2, 1), (0, 3, 1)]
